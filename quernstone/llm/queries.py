@@ -11,6 +11,7 @@ from .decontaminate import ORACLE as OP3_SQL
 from .decontaminate import contamination
 from .langid import predict_languages, sample_languages
 from .quality import quality_rules
+from .simhash import near_duplicates
 from .tokencount import token_counts
 from .toxicity import toxicity, train
 
@@ -34,6 +35,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), 3)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokencount": op2_tokencount,
     "op3_decontaminate": op3_decontaminate,
     "op8_quality": op8_quality,
+    "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
