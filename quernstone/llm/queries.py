@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import ORACLE as OP3_SQL
 from .decontaminate import contamination
 from .langid import predict_languages, sample_languages
+from .linededup import ORACLE as OP7_SQL
+from .linededup import dedup_lines
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .tokencount import token_counts
@@ -31,6 +34,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.col("lines_gone")
+    return found.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_gone"), F.array_join(gone.cast("array<string>"), ",").alias("lines_gone"), F.sha2("line_text", 256).alias("text_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -48,10 +57,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_tokencount": op2_tokencount,
     "op3_decontaminate": op3_decontaminate,
+    "op7_linededup": op7_linededup,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op7_linededup": OP7_SQL,
 }
