@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .langid import predict_languages, sample_languages
 from .linededup import ORACLE as OP7_SQL
 from .linededup import dedup_lines
+from .packing import best_fit_packing
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .tokencount import token_counts
@@ -34,6 +35,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.col("lines_gone")
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_tokencount": op2_tokencount,
     "op3_decontaminate": op3_decontaminate,
+    "op4_packing": op4_packing,
     "op7_linededup": op7_linededup,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
