@@ -16,6 +16,7 @@ from .linededup import dedup_lines
 from .packing import best_fit_packing
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .substrings import repeated_passages
 from .tokencount import token_counts
 from .toxicity import toxicity, train
 
@@ -41,6 +42,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.col("lines_gone")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokencount": op2_tokencount,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
+    "op6_substrings": op6_substrings,
     "op7_linededup": op7_linededup,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
