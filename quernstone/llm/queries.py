@@ -14,6 +14,7 @@ from .langid import predict_languages, sample_languages
 from .linededup import ORACLE as OP7_SQL
 from .linededup import dedup_lines
 from .packing import best_fit_packing
+from .pii import personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .substrings import repeated_passages
@@ -42,6 +43,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokencount": op2_tokencount,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
     "op6_substrings": op6_substrings,
     "op7_linededup": op7_linededup,
     "op8_quality": op8_quality,
