@@ -18,6 +18,9 @@ from .common import stored
 #: A repeated run counts if it has so many lines, or so many characters.
 MIN_LINES, MIN_CHARS = 3, 100
 ROW = ("doc", "key")
+#: Documents with deletions, and deleted lines, up to which the deletions are broadcast to the texts (some 20 MB);
+#: beyond either the texts are shuffled to them.
+BROADCAST_DOCS, BROADCAST_LINES = 200_000, 2_000_000
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,7 +80,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     line. Rows with the same id and text are one document and get the same result. Null texts stay null, with no
     lines. Columns of docs named as the new ones are replaced.
     """
-    found = repeated_lines(docs, min_lines, min_chars, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    found = stored(repeated_lines(docs, min_lines, min_chars, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone")))
+    size = found.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("lines")).first()
+    if size.docs <= BROADCAST_DOCS and size.lines <= BROADCAST_LINES:
+        found = F.broadcast(found)
     base = docs.drop("line_text", "n_lines", "lines_gone").withColumn("__of", F.xxhash64(F.col(text_col)))
     joined = base.join(found, base[id_col].eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__key")), "left")
     lines = F.split(F.col(text_col), "\n")
