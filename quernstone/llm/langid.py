@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, slices
 
@@ -170,14 +171,15 @@ def predict_languages(docs: DataFrame, samples: dict[str, str], id_col: str = "d
     Repeated rows each get their row; a null id stays null and counts as held out. No other column is read.
     """
     model = tuple(sorted(samples.items()))
+    kept = [c for c in keep if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = learned(model).predict([x or "" for x in b.column(1).to_pylist()])
-            rest = [i for i, f in enumerate(b.schema.names) if f != "__text"]
+            names, scores = learned(model).predict([x or "" for x in b.column("__text").to_pylist()])
+            rest = [i for i, f in enumerate(b.schema.names) if f != "__text" or text_col in keep]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in rest] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[b.schema.names[i] for i in rest] + ["lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), held_out(F.col(id_col)).alias("__held"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
-    out = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
-    return out.select(F.col("__id").alias("doc_id"), F.col("__held").alias("held_out"), "lang_pred", "score", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), held_out(F.col(id_col)).alias("__held"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)])
+    out = rows.mapInArrow(run, T.StructType([f for f in rows.schema if f.name != "__text" or text_col in keep]).add("lang_pred", "string").add("score", "double"))
+    back = {c: f"__k{i}" for i, c in enumerate(kept)} | {text_col: "__text"}
+    return out.select(F.col("__id").alias("doc_id"), F.col("__held").alias("held_out"), "lang_pred", "score", *[F.col(back[c]).alias(c) for c in keep])
