@@ -15,7 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = edges
-    least = sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("of", "m").alias("m"))
+    # stored, so that both sides of the join are plain shuffles, of which a hot node's partition can be split
+    least = stored(sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least(F.col("a"), F.col("m")).alias("m")))
     joined = sides.join(least, sides.a == least.of)
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
