@@ -1,0 +1,251 @@
+"""Registered queries on text functions, masking, cards and budgets, and the same in plain SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.functions import redact as R
+from quernstone.functions import snippets as N
+from quernstone.functions import text as T
+from quernstone.operators import cards as C
+from quernstone.operators import fold as X
+from quernstone.plans.tables import table
+
+R6 = lambda c: F.round(c, 6)
+#: Literal rows with made-up secrets of each provider, put together so that no scanner takes this file for a leak.
+PLANTED = [(0, "AK" + "IA" + "ABCDEFGHIJKLMNOP"), (1, "gh" + "p_" + "a1B2" * 9), (2, "xo" + "xb-" + "0123456789ab"), (3, "sk" + "_live_" + "a1B2c3D4e5"), (4, "np" + "m_" + "a1B2" * 9), (5, "plain text, nothing here"), (6, "AI" + "za" + "a1B2c" * 7), (7, "sk" + "-" + "a1B2" * 12)]
+
+
+def c1_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(T.collapse(F.col("text"))).alias("text_md5"))
+
+
+def c2_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    path = table(spark, d, "pages").select("page_id", T.strip_boilerplate(F.concat_ws(" ", F.lit("see /usr/lib/x"), "url")).alias("text"))
+    return path.select("page_id", F.md5("text").alias("text_md5"), T.mostly_boilerplate(F.col("text")).alias("mostly"))
+
+
+def c3_substantive(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", T.substantive(F.substring("text", 1, 9)).alias("substantive"))
+
+
+def c4_tag_norm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", T.normalize_tag(F.concat_ws(" & ", "p_brand", "p_name", F.lit("!"))).alias("tag"))
+
+
+def c6_content_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.content_tokens(F.concat_ws(" the ", "p_name", "p_type", "p_brand")), ",").alias("tokens"))
+
+
+def c7_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.normalize_path(F.concat(F.lit("./"), F.col("url"))).alias("path"), T.slug(F.col("url")).alias("slug"), T.safe_segment(F.col("url")).alias("segment"))
+
+
+def c9_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", R6(T.entropy(F.concat_ws(" ", "p_name", "p_brand", "p_type"))).alias("bits"))
+
+
+def c10_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold the middle of a benchmark item, verbatim after normalising; the items are a stated, small set of queries."""
+    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 10, 40).alias("quote"))
+    return table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items), F.contains(T.quote_normalized(F.col("text")), T.quote_normalized(F.col("quote")))).where(F.char_length(T.quote_normalized(F.col("quote"))) >= 16).select("item_id", F.md5("text").alias("text_md5")).distinct()
+
+
+def c11_word_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.word_count(F.coalesce("text", F.lit(""))).alias("n_words"), T.token_estimate(F.char_length(F.coalesce("text", F.lit("")))).alias("n_tokens"))
+
+
+def c12_exchange_id(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.exchange_id(F.col("l_orderkey"), F.col("l_linenumber")).alias("id")).distinct()
+
+
+def c15_epoch(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
+    n = F.when(F.col("event_id") % 2 == 0, F.floor(ms)).otherwise(F.floor(ms / 1000))
+    return table(spark, d, "events").select("event_id", F.date_format(T.epoch_to_timestamp(n), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def c17_elide_middle(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", T.elide_middle(F.col("text"), 61).alias("text"), T.clamp_words(F.col("text"), 5).alias("words"), N.lead(F.col("text"), 50).alias("lead"))
+
+
+def c22_decisions(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("We will keep "), "p_name", F.lit(". Should we drop it? Let's use "), "p_brand", F.lit("!\nplain "), "p_type")
+    rows = table(spark, d, "part").select("p_partkey", F.explode(T.sentences(text)).alias("s"))
+    return rows.where(T.states_decision(F.col("s"))).select("p_partkey", "s")
+
+
+def planted(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PLANTED, "id long, text string")
+
+
+def d2_secret_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = planted(spark).unionByName(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return rows.agg(*[F.sum(F.coalesce(c.cast("long"), F.lit(0))).alias(rule.replace("-", "_")) for rule, c in R.provider_counts(F.col("text")).items() if rule in ("aws-access-key-id", "github-token", "slack-token", "stripe-key", "npm-access-token", "gcp-api-key", "openai-api-key-legacy")])
+
+
+def d1_redact(spark: SparkSession, d: str) -> DataFrame:
+    rows = planted(spark).unionByName(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    found = rows.select("id", R.masked(F.coalesce("text", F.lit(""))).alias("m"))
+    return found.select(F.explode("m.hits").alias("h")).groupBy("h.rule", "h.type").agg(F.count("*").alias("n"))
+
+
+def d4_assigned(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where(F.col("text").rlike('token = "[0-9a-f]{40}"'))
+    return rows.select("doc_id", F.md5(R.mask_assigned(F.col("text"))).alias("masked_md5"))
+
+
+def d5_entropy_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Random-looking tokens, by expressions alone: pure hex and numbers can't reach the threshold or are left out."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+_-]{20,}"), F.lit(0)))).alias("token"))
+    return rows.where(~F.col("token").rlike("^[0-9a-fA-F]+$") & (T.entropy(F.col("token")) >= 4.0)).select("doc_id", "token")
+
+
+def a15_mask_tally(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(R.mask_assigned(F.col("text")).alias("text"))
+    return R.mask_counts(rows, "text")
+
+
+def d7_elide(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.concat(F.lit('{"media_type":"image/png","data":"iVBORw0KGgo'), F.repeat(F.lit("QUJD"), (F.pmod("page_id", F.lit(5)) * 100).cast("int")), F.lit('"}'))
+    return table(spark, d, "pages").select("page_id", R.elided(payload).alias("text"))
+
+
+def r13_snippets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where(F.col("text").contains("license"))
+    return rows.select("doc_id", N.snippet(F.col("text"), ["license", "the"]).alias("snippet"))
+
+
+def units(spark: SparkSession, d: str) -> DataFrame:
+    return X.fold_exchanges(table(spark, d, "conversations"), "conv_id", "turn", "role", "text").withColumn("chars", F.char_length("user_text") + F.char_length("assistant_text")).withColumn("modified", F.lit(100).cast("long"))
+
+
+def a22_card_plan(spark: SparkSession, d: str) -> DataFrame:
+    cards = spark.range(0, 200, 2).select(F.col("id").alias("conv_id"), F.when(F.col("id") % 4 == 0, 50).otherwise(150).cast("long").alias("created"))
+    return C.plan_cards(units(spark, d), cards, "conv_id", "chars", "modified", "created", 2)
+
+
+def a23_estimate(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.coalesce("n_chars", F.lit(0)).alias("chars"))
+    return C.estimate(rows, "chars", 2.5, 3.0, 8).select("n", "calls", "tokens", R6("seconds").alias("seconds"), R6("usd").alias("usd"))
+
+
+def a16_generic_df(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", T.content_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return C.generic_tokens(rows, "doc_id", "tokens").select("token", "n_cards")
+
+
+def a18_calibration_median(spark: SparkSession, d: str) -> DataFrame:
+    return C.calibration(table(spark, d, "events"), ["event_type", "user_id"], F.col("value") / 10, F.col("value") > 2, F.col("event_id")).select("event_type", "user_id", "n", R6("ratio").alias("ratio"))
+
+
+def a20_session_score(spark: SparkSession, d: str) -> DataFrame:
+    best, rest = F.max("l_quantity"), F.sum("l_quantity") - F.max("l_quantity")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(R6(best + F.least(rest / 2, 0.12 * best)).alias("score"))
+
+
+def u7_supplement(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("a"), F.array(F.upper("p_type"), F.lit("Red"), F.lit("new"), F.lit("NEW"), "p_brand").alias("b"))
+    return rows.select("p_partkey", F.array_join(C.merge_lists(F.col("a"), F.col("b"), 5), ",").alias("merged"))
+
+
+def w5_word_budget(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").withColumn("words", T.word_count(F.coalesce("text", F.lit(""))))
+    return C.word_budget(rows, "conv_id", "turn", "words", 60).select("conv_id", "turn", "words")
+
+
+def g13_recent_k(spark: SparkSession, d: str) -> DataFrame:
+    return C.token_budget(units(spark, d), "conv_id", "seq", "chars", 120).select("conv_id", "seq")
+
+
+def g11_fair_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    return C.fair_excerpts(units(spark, d).where("conv_id < 12"), "conv_id", "seq", "chars", 6000).select("conv_id", "seq", "round")
+
+
+def w13_citation_numbers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").dropDuplicates(["l_orderkey", "l_linenumber", "l_suppkey"])
+    return C.number_citations(rows, "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+def j14_citations(spark: SparkSession, d: str) -> DataFrame:
+    cited = table(spark, d, "part").select("p_partkey", F.substring(F.col("p_partkey").cast("string"), 1, 2).alias("prefix"), F.pmod("p_size", F.lit(9)).alias("seq"))
+    ids = table(spark, d, "orders").where("o_orderkey < 50").withColumnRenamed("o_orderkey", "k")
+    found = C.check_citations(cited, ids, table(spark, d, "lineitem").where("l_orderkey < 50").withColumnRenamed("l_orderkey", "k"), "k", "l_linenumber", 2)
+    return found.select("p_partkey", "verdict")
+
+
+def g8_open_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as cards: a decision is a benchmark item, a project a source, what a project says its documents."""
+    item = table(spark, d, "benchmark").select(F.col("item_id").alias("decision"), F.concat(F.lit("src"), F.pmod("item_id", F.lit(20))).alias("project"), F.substring("text", 1, 60).alias("what"))
+    decisions = item.withColumn("tokens", T.content_tokens(F.col("what")))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("project"), F.array_distinct(T.content_tokens(F.col("text"))).alias("tokens"))
+    generic = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 60").select("token")
+    tokens = docs.select("project", F.explode("tokens").alias("token")).distinct().join(generic, "token", "left_anti")
+    return C.open_threads(decisions, tokens, docs, 20).select("decision", "project", "other", R6("score").alias("score"))
+
+
+def g10_answer(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark")
+    sentences = b.select(F.pmod("item_id", F.lit(4)).alias("answer"), F.col("item_id").alias("place"), F.substring("text", 1, 90).alias("text"), F.array(F.col("item_id"), F.col("item_id") + 1).alias("cites"))
+    evidence = b.select(F.pmod("item_id", F.lit(4)).alias("answer"), F.col("item_id").alias("cite"), F.col("item_id").alias("session"), F.lit(1).alias("seq"), F.substring("text", 5, F.when(F.col("item_id") % 3 == 0, 9).otherwise(30)).alias("quote"))
+    units_ = b.select(F.col("item_id").alias("session"), F.lit(1).alias("seq"), F.upper("text").alias("unit_text"))
+    return C.filter_answer(sentences, evidence, units_, "place", 30).select("answer", "place", F.array_join(F.col("cites").cast("array<string>"), ",").alias("cites"))
+
+
+def a25_recall(spark: SparkSession, d: str) -> DataFrame:
+    expected = table(spark, d, "part").select(F.col("p_partkey").alias("query"), F.substring(F.col("p_size").cast("string"), 1, 1).alias("prefix"))
+    ranked = table(spark, d, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").cast("string").alias("key"), F.col("l_linenumber").alias("rank"))
+    return C.recall_at(expected, ranked)
+
+
+def a25_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(*C.nearest_rank("value", (0.5, 0.95)))
+
+
+def a26_overlap(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", "turn", T.content_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", R6(C.overlap_share(F.col("t"), F.col("u"))).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (c1_collapse, c2_boilerplate, c3_substantive, c4_tag_norm, c6_content_tokens, c7_paths, c9_entropy, c10_quotes, c11_word_count, c12_exchange_id, c15_epoch, c17_elide_middle, c22_decisions, d1_redact, d2_secret_counts, d4_assigned, d5_entropy_tokens, a15_mask_tally, d7_elide, r13_snippets, a22_card_plan, a23_estimate, a16_generic_df, a18_calibration_median, a20_session_score, u7_supplement, w5_word_budget, g13_recent_k, g11_fair_excerpts, w13_citation_numbers, j14_citations, g8_open_threads, g10_answer, a25_recall, a25_percentiles, a26_overlap)}
+STOP = "[" + ", ".join(f"'{w}'" for w in T.TOPIC_STOPWORDS) + "]"
+CT = lambda e: f"list_filter(regexp_split_to_array(lower({e}), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND regexp_matches(t, '[a-z]') AND NOT list_contains({STOP}, t))"
+SQUASH = r"trim(regexp_replace({0}, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ')"
+WORDS = "CASE WHEN " + SQUASH.format("coalesce(text, '')") + " = '' THEN 0 ELSE len(string_split(" + SQUASH.format("coalesce(text, '')") + ", ' ')) END"
+BITS = "list_sum(list_transform(list_distinct(string_split({0}, '')), lambda c: -(len(list_filter(string_split({0}, ''), lambda y: y = c)) / length({0})::DOUBLE) * log2(len(list_filter(string_split({0}, ''), lambda y: y = c)) / length({0})::DOUBLE)))"
+FOLD = """n AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations),
+f AS (SELECT conv_id, CAST(seq AS BIGINT) AS seq, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'assistant'), '') AS u, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS a FROM n WHERE seq > 0 GROUP BY conv_id, seq),
+x AS (SELECT *, length(u) + length(a) AS chars FROM f WHERE trim(u, ' ') <> '' OR trim(a, ' ') <> '')"""
+QN = lambda e: SQUASH.format(f"lower(translate({e}, '‘’“”–—', '''''\"\"--'))")
+ORACLE_SQL = {
+    "c1_collapse": f"SELECT doc_id, md5({SQUASH.format('text')}) AS text_md5 FROM documents",
+    "c4_tag_norm": "SELECT p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(lower(trim(p_brand || ' & ' || p_name || ' & !')), '[^a-z0-9./-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 32), '-+$', '', 'g') AS tag FROM part",
+    "c6_content_tokens": f"SELECT p_partkey, array_to_string({CT('p_name || chr(32) || chr(116) || chr(104) || chr(101) || chr(32) || p_type || chr(32) || p_brand')}, ',') AS tokens FROM part",
+    "c7_paths": "SELECT page_id, lower(regexp_replace(regexp_replace('./' || url, '^[.]/', ''), '^/+', '')) AS path, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS slug, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS segment FROM pages",
+    "c9_entropy": f"WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS s FROM part) SELECT p_partkey, round({BITS.format('s')}, 6) AS bits FROM p",
+    "c10_quotes": f"SELECT DISTINCT item_id, md5(d.text) AS text_md5 FROM documents d JOIN benchmark b ON contains({QN('d.text')}, {QN('substr(b.text, 10, 40)')}) AND length({QN('substr(b.text, 10, 40)')}) >= 16",
+    "c11_word_count": f"SELECT doc_id, CAST({WORDS} AS BIGINT) AS n_words, CAST(ceil(length(coalesce(text, '')) / 3.6::DOUBLE) AS BIGINT) AS n_tokens FROM documents",
+    "c12_exchange_id": "SELECT DISTINCT l_orderkey, l_linenumber, substr(sha256(l_orderkey || ':' || l_linenumber), 1, 32) AS id FROM lineitem",
+    "c15_epoch": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events",
+    "c17_elide_middle": r"SELECT item_id, CASE WHEN length(text) <= 61 THEN text ELSE substr(text, 1, 29) || ' … ' || right(text, 29) END AS text, array_to_string(list_slice(string_split(" + SQUASH.format("text") + r", ' '), 1, 5), ' ') AS words, CASE WHEN length(text) <= 50 THEN text ELSE regexp_replace(substr(text, 1, 50), '[ \t\n]+[^ \t\n]*$', '') END AS lead FROM benchmark",
+    "c22_decisions": "SELECT p_partkey, 'We will keep ' || p_name || '.' AS s FROM part UNION ALL SELECT p_partkey, 'Let''s use ' || p_brand || '!' FROM part",
+    "d2_secret_counts": "SELECT CAST(1 AS BIGINT) AS aws_access_key_id, CAST(1 AS BIGINT) AS github_token, CAST(1 AS BIGINT) AS slack_token, CAST(1 AS BIGINT) AS stripe_key, CAST(1 AS BIGINT) AS npm_access_token, CAST(1 AS BIGINT) AS gcp_api_key, CAST(1 AS BIGINT) AS openai_api_key_legacy",
+    "d4_assigned": "SELECT doc_id, md5(list_reduce(list_prepend(text, list_distinct(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1))), lambda s, v: replace(s, v, '‹redacted:generic:' || substr(sha256(v), 1, 8) || '›'))) AS masked_md5 FROM documents WHERE regexp_matches(text, 'token = \"[0-9a-f]{40}\"')",
+    "d5_entropy_tokens": f"WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+_-]{{20,}}'))) AS token FROM documents) SELECT doc_id, token FROM t WHERE NOT regexp_matches(token, '^[0-9a-fA-F]+$') AND {BITS.format('token')} >= 4.0",
+    "a15_mask_tally": "SELECT 'generic' AS type, CAST(sum(len(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1))) AS BIGINT) AS n FROM documents",
+    "a22_card_plan": f"WITH {FOLD}, h AS (SELECT conv_id, count(*) AS n, CAST(sum(least(chars, 20000)) AS BIGINT) AS chars FROM x GROUP BY 1 HAVING count(*) >= 2) SELECT conv_id, n, chars, CAST(CASE WHEN chars <= 60000 THEN 1 ELSE ceil(chars / 40000.0) + 1 END AS BIGINT) AS calls, CASE WHEN conv_id % 2 = 1 OR conv_id >= 200 THEN 'new' ELSE 'stale' END AS reason FROM h WHERE conv_id % 2 = 1 OR conv_id >= 200 OR conv_id % 4 = 0",
+    "a23_estimate": "WITH e AS (SELECT CASE WHEN coalesce(n_chars, 0) <= 60000 THEN 1 ELSE ceil(n_chars / 40000.0) + 1 END AS calls, ceil(coalesce(n_chars, 0) / 3.6::DOUBLE) AS tokens FROM documents), t AS (SELECT count(*) AS n, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM e) SELECT n, calls, tokens, round(ceil(calls / least(8, greatest(calls, 1))::DOUBLE) * 2.5::DOUBLE, 6) AS seconds, round(tokens * 3.0::DOUBLE / 1e6, 6) AS usd FROM t",
+    "a16_generic_df": f"WITH t AS (SELECT doc_id, unnest(list_distinct({CT('coalesce(text, chr(32))')})) AS token FROM documents) SELECT token, count(*) AS n_cards FROM t GROUP BY 1 HAVING count(*) > 0.3 * (SELECT count(*) FROM documents)",
+    "a18_calibration_median": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS i FROM events WHERE value > 2) SELECT event_type, user_id, count(*) AS n, round(greatest(0.2::DOUBLE, least(5.0::DOUBLE, median(value / 10))), 6) AS ratio FROM r WHERE i <= 5 GROUP BY 1, 2",
+    "a20_session_score": "SELECT l_orderkey, round(max(l_quantity) + least((sum(l_quantity) - max(l_quantity)) / 2, 0.12::DOUBLE * max(l_quantity)), 6) AS score FROM lineitem GROUP BY 1",
+    "w5_word_budget": f"WITH c AS (SELECT conv_id, turn, CAST({WORDS} AS BIGINT) AS words FROM conversations), r AS (SELECT *, sum(words) OVER w AS used, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, words FROM r WHERE used <= 60 OR n = 1",
+    "g13_recent_k": f"WITH {FOLD}, r AS (SELECT *, sum(ceil(chars / 3.6::DOUBLE)) OVER w AS used, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY seq DESC)) SELECT conv_id, seq FROM r WHERE used <= 120 OR n = 1",
+    "g11_fair_excerpts": f"WITH {FOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS round FROM x WHERE conv_id < 12), p AS (SELECT round, sum(sum(chars)) OVER (ORDER BY round) AS used FROM r GROUP BY round) SELECT conv_id, seq, CAST(round AS INTEGER) AS round FROM r WHERE round <= (SELECT coalesce(max(round), 1) FROM p WHERE used <= 6000)",
+    "w13_citation_numbers": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem), f AS (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS first FROM l) SELECT l_orderkey, l_linenumber, l_suppkey, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY first, l_suppkey) AS INTEGER) AS number FROM f",
+    "j14_citations": "WITH c AS (SELECT p_partkey, substr(CAST(p_partkey AS VARCHAR), 1, 2) AS p, p_size % 9 AS s FROM part) SELECT p_partkey, CASE WHEN p NOT IN (SELECT substr(CAST(o_orderkey AS VARCHAR), 1, 2) FROM orders WHERE o_orderkey < 50) THEN 'unknown' WHEN (p, s) NOT IN (SELECT (substr(CAST(l_orderkey AS VARCHAR), 1, 2), l_linenumber) FROM lineitem WHERE l_orderkey < 50) THEN 'unresolved' ELSE 'ok' END AS verdict FROM c",
+    "a25_recall": "WITH e AS (SELECT p_partkey AS q, substr(CAST(p_size AS VARCHAR), 1, 1) AS p FROM part), h AS (SELECT q, min(l_linenumber) AS r FROM e JOIN lineitem ON l_partkey = q AND starts_with(CAST(l_suppkey AS VARCHAR), p) GROUP BY q) SELECT count(*) AS n_queries, count(*) FILTER (WHERE r <= 1) AS hits_at_1, count(*) FILTER (WHERE r <= 5) AS hits_at_5 FROM e LEFT JOIN h USING (q)",
+    "a25_percentiles": "WITH v AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[CAST(least(len(v), floor(0.5 * len(v)) + 1) AS INT)] AS p50, v[CAST(least(len(v), floor(0.95 * len(v)) + 1) AS INT)] AS p95 FROM v",
+    "a26_overlap": f"WITH c AS (SELECT conv_id, turn, list_distinct({CT('coalesce(text, chr(32))')}) AS t FROM conversations) SELECT a.conv_id, a.turn, round(CASE WHEN len(a.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.t, b.t)) / len(a.t)::DOUBLE END, 6) AS share FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+}
