@@ -14,8 +14,11 @@ from quernstone.operators import browse as B
 from quernstone.operators import filters as P
 from quernstone.operators import fold as X
 from quernstone.operators import ghosts as G
+from quernstone.operators import sinks as K
 from quernstone.operators import stats as A
 from quernstone.plans.tables import table
+from quernstone.sources import jsonl as J
+from quernstone.streaming import sessions as S
 
 day = lambda c: F.date_format(c, "yyyy-MM-dd")
 
@@ -365,6 +368,28 @@ def t2_incremental_skip(spark: SparkSession, d: str) -> DataFrame:
     return now.join(manifest, ["o_orderkey", "bytes", "modified"], "left_anti").select("o_orderkey")
 
 
+def k1_upsert(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "customer").where("c_custkey % 3 > 0").select("c_custkey", "c_name", "c_mktsegment")
+    new = table(spark, d, "customer").where("c_custkey % 3 < 2").select("c_custkey", F.upper("c_name").alias("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.lit("NEW")).alias("c_mktsegment"))
+    return K.upsert(old, new, "c_custkey", ["c_mktsegment"])
+
+
+def k2_replace_children(spark: SparkSession, d: str) -> DataFrame:
+    old = lines(spark, d).select("l_orderkey", "l_linenumber")
+    new = old.where("l_orderkey % 5 = 0 AND l_linenumber < 3")
+    return K.replace_children(old, new, sessions(spark, d).where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+def t6_session_windows(spark: SparkSession, d: str) -> DataFrame:
+    found = S.session_counts(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def s20_sections(spark: SparkSession, d: str) -> DataFrame:
+    value = F.regexp_replace("text", r"(^|\n)(\S+)", "$1# $2")
+    return J.markdown_sections(table(spark, d, "benchmark").select(F.concat(F.lit("/notes/"), "item_id").alias("path"), F.concat(F.lit("x\n"), value, F.lit("\nbody")).alias("value"))).select("path", "line", "heading", "text")
+
+
 FOLD = """WITH n AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations),
 f AS (SELECT conv_id, CAST(seq AS BIGINT) AS seq, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'assistant'), '') AS u, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS a, count(*) AS n_turns FROM n WHERE seq > 0 GROUP BY conv_id, seq),
 x AS (SELECT * FROM f WHERE trim(u, ' ') <> '' OR trim(a, ' ') <> '')"""
@@ -387,7 +412,7 @@ SWEEP = "(SELECT o_orderkey, CAST(30 - floor((epoch_ms(TIMESTAMP '1998-10-10 12:
 YMD = "strftime({0}, '%Y-%m-%d')"
 
 QUERIES = {f.__name__: f for f in (
-    x1_fold_exchanges, m0_top_conversations, x4_paired_results, x5_last_values, x7_type_census, w6_greedy_chunks, f1_point, f2_interval_overlap, f3_equalities, f5_array_like, f7_tag_semi, f9_linked_undirected, j15_links, f10_untitled_anti, f12_exclude_null_safe, f13_tri_state, f15_rollup_orphans, f16_ignored, f18_prefix, f19_project_tiers, f20_title_tokens, f23_min_size, f24_markers, j4_card_owner, j6_ghost_anti, s14_prompt_log, g1_ghosts, g1_ghost_prompts, a13_ghost_fingerprint, j7_ever_deleted, a6_project_totals, j10_path_rollup, j9_conversation_key, g9_link_pairs, j17_neighbours, a1_harness_stats, a3_merged, a3_grand_total, a4_freshness, a7_sweep_countdown, a5_sweep_counts, a8_map_sum, a9_tag_hist, a10_tags_per_session, a11_project_counts, a14_source_fingerprint, u2_distinct_projects, u5_tag_arrays, k6_tag_changes, k6_link_changes, p1_session_row, p2_first_prompt, p3_look_up, p4_titles, p5_last_segment, p6_resume_command, w7_last_rows, w8_slice, o1_merged_branches, h4_hidden, t2_incremental_skip,
+    x1_fold_exchanges, m0_top_conversations, x4_paired_results, x5_last_values, x7_type_census, w6_greedy_chunks, f1_point, f2_interval_overlap, f3_equalities, f5_array_like, f7_tag_semi, f9_linked_undirected, j15_links, f10_untitled_anti, f12_exclude_null_safe, f13_tri_state, f15_rollup_orphans, f16_ignored, f18_prefix, f19_project_tiers, f20_title_tokens, f23_min_size, f24_markers, j4_card_owner, j6_ghost_anti, s14_prompt_log, g1_ghosts, g1_ghost_prompts, a13_ghost_fingerprint, j7_ever_deleted, a6_project_totals, j10_path_rollup, j9_conversation_key, g9_link_pairs, j17_neighbours, a1_harness_stats, a3_merged, a3_grand_total, a4_freshness, a7_sweep_countdown, a5_sweep_counts, a8_map_sum, a9_tag_hist, a10_tags_per_session, a11_project_counts, a14_source_fingerprint, u2_distinct_projects, u5_tag_arrays, k6_tag_changes, k6_link_changes, p1_session_row, p2_first_prompt, p3_look_up, p4_titles, p5_last_segment, p6_resume_command, w7_last_rows, w8_slice, o1_merged_branches, h4_hidden, t2_incremental_skip, k1_upsert, k2_replace_children, t6_session_windows, s20_sections,
 )}
 ORACLE_SQL = {
     "x1_fold_exchanges": f"{FOLD} SELECT conv_id, seq, md5(u) AS user_md5, md5(a) AS assistant_md5, n_turns, substr(sha256(conv_id || ':' || seq), 1, 32) AS id FROM x",
@@ -453,4 +478,8 @@ UNION ALL SELECT project, CAST(user_id NOT IN (SELECT user_id FROM log) AS INT),
     "o1_merged_branches": f"SELECT id, kind, {YMD.format('t')} AS day FROM (SELECT o_orderkey AS id, coalesce(ended, o_orderdate) AS t, 'session' AS kind FROM {SESS} UNION ALL SELECT l_orderkey, l_shipdate, 'ghost' FROM lineitem WHERE l_linenumber = 1) ORDER BY t DESC, id, kind LIMIT 20 OFFSET 10",
     "h4_hidden": "SELECT greatest(0, count(*) - count(*) FILTER (WHERE o_custkey >= 100)) AS hidden FROM orders",
     "t2_incremental_skip": "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 > 0 AND o_orderkey % 10 <> 1)",
+    "k1_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 < 2 THEN coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'NEW' END, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END) ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    "k2_replace_children": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 5 <> 0 OR l_linenumber < 3 GROUP BY 1",
+    "t6_session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s""",
 }
