@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -25,8 +24,9 @@ from .common import held_out
 
 #: Bounds of what is learned from: toxic and ordinary rows, characters of each.
 TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS = 1_500, 4_000, 4_000
-#: Bytes of the pieces that segments are made of, of the toxic segments and of the ordinary text.
-PIECE, TOXIC_BYTES, ORDINARY_BYTES = 5, 440, 30_000
+#: Bytes of the pieces that segments are made of: short ones, and longer ones for languages in which short ones are
+#: common; bytes of the toxic segments and of the ordinary text.
+PIECES, TOXIC_BYTES, ORDINARY_BYTES = (5, 6, 7), 440, 30_000
 #: A piece is toxic if toxic texts hold it so many times as often, and by so many standard deviations more.
 TIMES, SIGMAS = 40, 10
 #: Bytes of a window, and of the next one that it also sees.
@@ -42,34 +42,49 @@ class Model:
     weights: tuple[float, ...]
 
 
-def pieces(data: bytes) -> set[bytes]:
-    return {data[i : i + PIECE] for i in range(len(data) - PIECE + 1)}
+def pieces(data: bytes, size: int) -> np.ndarray:
+    """The bytes of every piece as one number, by place."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(a) - size + 1), np.uint64)
+    for j in range(size if len(out) else 0):
+        out = out << np.uint64(8) | a[j : j + len(out)]
+    return out
+
+
+def telling_pieces(toxic: list[bytes], ordinary: list[bytes], size: int) -> dict[int, float]:
+    """Pieces that set toxic texts apart, by their worth. Ordinary texts count only what toxic ones hold."""
+    if not toxic:
+        return {}
+    found, n = np.unique(np.concatenate([np.unique(pieces(x, size)) for x in toxic]), return_counts=True)
+    found, n = found[n > SIGMAS], n[n > SIGMAS]
+    usual = np.zeros(len(found))
+    for x in ordinary if len(found) else []:
+        own = np.unique(pieces(x, size))
+        at = np.minimum(np.searchsorted(found, own), len(found) - 1)
+        usual[at[found[at] == own]] += 1
+    expected = (usual + 0.5) / max(1, len(ordinary)) * len(toxic)
+    sigmas = (n - expected) / np.sqrt(expected + 1)
+    good = (n >= TIMES * expected) & (sigmas > SIGMAS)
+    return dict(zip(found[good].tolist(), sigmas[good].tolist()))
 
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     """Segments, the best last (nearest to the window), that cover the pieces which set toxic texts apart."""
-    of_toxic, of_ordinary = Counter(), Counter()
-    for x in toxic:
-        of_toxic.update(pieces(x))
-    for x in ordinary:
-        of_ordinary.update(pieces(x))
-    worth = {}
-    for p, n in of_toxic.items():
-        expected = (of_ordinary[p] + 0.5) / max(1, len(ordinary)) * len(toxic)
-        sigmas = (n - expected) / math.sqrt(expected + 1)
-        if n >= TIMES * expected and sigmas > SIGMAS:
-            worth[p] = sigmas
+    worth: dict[tuple[int, int], float] = {}
+    for k in PIECES:  # a longer piece counts where no shorter one inside of it does
+        inner = lambda p: ((j, p >> 8 * i & (1 << 8 * j) - 1) for j in PIECES if j < k for i in range(k - j + 1))  # noqa: B023, E731
+        worth |= {(k, p): w for p, w in telling_pieces(toxic, ordinary, k).items() if worth.keys().isdisjoint(inner(p))}
+    known = {k: np.array([p for j, p in worth if j == k], np.uint64) for k in PIECES}
     runs: set[bytes] = set()
     for x in toxic:
-        i, n = 0, len(x) - PIECE + 1
-        while i < n:
-            j = i
-            while j < n and x[j : j + PIECE] in worth:
-                j += 1
-            if j > i:
-                runs.add(x[i : j + PIECE - 1])
-            i = j + 1
-    gain = lambda s: sum(left.get(p, 0.0) for p in pieces(s))
+        inside = np.zeros(len(x) + 1, bool)
+        for k in PIECES:
+            for i in np.flatnonzero(np.isin(pieces(x, k), known[k])):
+                inside[i : i + k] = True
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        runs.update(x[i:j] for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()))
+    held = {s: [(k, p) for k in PIECES for p in set(pieces(s, k).tolist())] for s in runs}
+    gain = lambda s: sum(left.get(p, 0.0) for p in held[s])
     left, out, size = dict(worth), [], 0
     queue = [(-gain(s), s) for s in runs]
     heapq.heapify(queue)
@@ -83,7 +98,7 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
             continue
         out.append(s)
         size += len(s)
-        for p in pieces(s):
+        for p in held[s]:
             left.pop(p, None)
     return b"\0".join(reversed(out))
 
@@ -100,7 +115,7 @@ def features(text: str, ordinary: bytes, toxic: bytes) -> tuple[float, ...]:
     data = text.lower().encode()
     a, b = compressor(ordinary).compress, compressor(toxic).compress
     saved = [len(a(w)) - len(b(w)) for w in (data[i : i + WINDOW + OVERLAP] for i in range(0, len(data), WINDOW))] or [0]
-    close, very = sum(s >= CLOSE for s in saved), sum(s >= VERY_CLOSE for s in saved)
+    close, very = (sum(s >= least for s in saved) for least in (CLOSE, VERY_CLOSE))
     top = sorted(saved, reverse=True)[:2]
     return 1.0, top[0] / 4, (top[1] if len(top) > 1 else 0) / 4, 10 * close / len(saved), 10 * very / len(saved), math.log(len(saved))
 
