@@ -44,15 +44,19 @@ def next_order(suffixes: DataFrame, by: tuple[str, str]) -> DataFrame:
     return stored(found.select(*ROW, "raw", "at", F.col("_rank").alias("rank"), "chars", (here > F.col("first")).alias("later")))
 
 
+def pairs_ahead(order: DataFrame, step: int) -> DataFrame:
+    """Each suffix with the rank (then) of the one `step` lines on, where that has one; chars are those of both."""
+    ahead = W.partitionBy(*ROW).orderBy("at").rangeBetween(step, step)
+    pairs = order.select(*ROW, "raw", "at", "rank", F.first("rank").over(ahead).alias("then"), (F.col("chars") + F.first("chars").over(ahead)).alias("chars"))
+    return pairs.where("then is not null")
+
+
 def suffix_orders(docs: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
     """For k = 0, 1, ... the suffixes whose first 2^k lines stand elsewhere too: doc, key, raw, at, rank, chars (of
     those lines) and whether an earlier suffix has them."""
     orders = [next_order(line_table(docs, id_col, text_col), ("a", "b"))]
     while not orders[-1].isEmpty():
-        step = 1 << (len(orders) - 1)
-        ahead = W.partitionBy(*ROW).orderBy("at").rangeBetween(step, step)
-        pairs = orders[-1].select(*ROW, "raw", "at", "rank", F.first("rank").over(ahead).alias("then"), (F.col("chars") + F.first("chars").over(ahead)).alias("chars")).where("then is not null")
-        orders.append(next_order(pairs, ("rank", "then")))
+        orders.append(next_order(pairs_ahead(orders[-1], 1 << (len(orders) - 1)), ("rank", "then")))
     return orders[:-1]
 
 
@@ -61,10 +65,14 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     orders = suffix_orders(docs, id_col, text_col)
     if not orders:
         orders = [next_order(line_table(docs, id_col, text_col), ("a", "b"))]
+    runs = [(1 << k, x) for k, x in enumerate(orders)]
+    k = min_lines.bit_length() - 1
+    if 1 << k < min_lines and k < len(orders):  # two overlapping runs of 2^k lines name one of min_lines
+        runs.append((min_lines, next_order(pairs_ahead(orders[k], min_lines - (1 << k)), ("rank", "then"))))
     cover = orders[0].select(*ROW, "at", "raw", F.lit(0).alias("end"))
-    for k, x in enumerate(orders):
-        counts = x.where(F.col("later") & ((F.lit(1 << k) >= min_lines) | (F.col("chars") >= min_chars)))
-        cover = cover.union(counts.select(*ROW, "at", "raw", (F.col("at") + (1 << k)).alias("end")))
+    for n, x in runs:
+        counts = x.where(F.col("later") & ((F.lit(n) >= min_lines) | (F.col("chars") >= min_chars)))
+        cover = cover.union(counts.select(*ROW, "at", "raw", (F.col("at") + n).alias("end")))
     ends = cover.groupBy(*ROW, "at").agg(F.min("raw").alias("raw"), F.max("end").alias("end"))
     reached = F.max("end").over(W.partitionBy(*ROW).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
     gone = ends.withColumn("reached", reached).where("reached > at")
@@ -75,9 +83,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     """Every row and column of docs, and three more: line_text (the text without later copies of repeated line runs),
     n_lines, lines_gone (numbers of the deleted lines, from 0).
 
-    A run counts from min_lines lines or min_chars characters on; lines are compared without surrounding blanks, and
-    blank lines neither break runs nor go. Copies are ordered by id (null first), then by a hash of the text, then by
-    line. Rows with the same id and text are one document and get the same result. Null texts stay null, with no
+    A run counts from min_lines lines on, and, if it has 1, 2, 4, ... lines, from min_chars characters on; lines are
+    compared without surrounding blanks, and blank lines neither break runs nor go. Copies are ordered by id
+    (null first), then by a hash of the text, then by line. Rows with the same id and text are one document and get the same result. Null texts stay null, with no
     lines. Columns of docs named as the new ones are replaced.
     """
     found = stored(repeated_lines(docs, min_lines, min_chars, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone")))
@@ -97,7 +105,7 @@ ORACLE = f"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, n, trim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos FROM raw WHERE trim(line, ' ') <> ''),
 docs AS (SELECT doc_id, list(line ORDER BY pos) AS w FROM lines GROUP BY doc_id),
-wins AS (SELECT doc_id, pos, k, w[pos + 1:pos + k] AS win FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM docs, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS k) WHERE len(w) >= k)),
+wins AS (SELECT doc_id, pos, k, w[pos + 1:pos + k] AS win FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM docs, (SELECT unnest([1, 2, {MIN_LINES}, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS k) WHERE len(w) >= k)),
 firsts AS (SELECT doc_id, pos, k, list_sum(list_transform(win, lambda x: length(x))) AS chars, min((doc_id, pos)) OVER (PARTITION BY k, win) AS first FROM wins),
 covers AS (SELECT doc_id, pos, k FROM firsts WHERE (doc_id, pos) > first AND (k >= {MIN_LINES} OR chars >= {MIN_CHARS})),
 gone AS (SELECT DISTINCT l.doc_id, l.n FROM lines l JOIN covers c ON c.doc_id = l.doc_id AND l.pos >= c.pos AND l.pos < c.pos + c.k),
