@@ -33,10 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Rows of a file, where it is known how many there are at most.
+FILE_ROWS = 50_000
+
+
+def stored(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Cuts the lineage: written as Parquet to the shared folder and read again, so that a lost executor
-    costs one stage and later jobs see the same rows."""
+    costs one stage and later jobs see the same rows. With a bound on the rows given, a small table is not spread
+    over as many files as there are shuffle partitions."""
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(3 + most_rows // FILE_ROWS)
     path = f"{shared_dir(spark).rstrip('/')}/quernstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, most_rows: int) -> DataFrame:
     """edges: a > b. Large: every larger neighbour of a node is linked to the node's least one. Small: the node and
     its smaller neighbours are."""
     if large:
@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         sides = edges
     # stored, so that both sides of the join are plain shuffles, of which a hot node's partition can be split
-    least = stored(sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least(F.col("a"), F.col("m")).alias("m")))
+    least = stored(sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least(F.col("a"), F.col("m")).alias("m")), most_rows)
     joined = sides.join(least, sides.a == least.of)
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -39,7 +39,7 @@ def components(edges: DataFrame, left: str, right: str, most_rounds: int = 60) -
         if state == after or after.n == 0:
             break
         state = after
-        now = stored(_star(_star(now, True), False))
+        now = stored(_star(_star(now, True, 2 * after.n), False, 2 * after.n), 2 * after.n)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -31,17 +31,17 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(*ROW, "x.raw", "at", F.xxhash64("x.line").alias("a"), F.hash("x.line").alias("b"), F.length("x.line").cast("long").alias("chars")).dropDuplicates([*ROW, "at"])
 
 
-def ranked(suffixes: DataFrame, by: tuple[str, str]) -> DataFrame:
+def ranked(suffixes: DataFrame, by: tuple[str, str], most_rows: int | None) -> DataFrame:
     """The repeated values of `by`, with their rank in sorted order and the place of their first suffix."""
     groups = suffixes.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "at")).alias("first")).where("n > 1")
-    return stored(groups.orderBy(*by).select(*[F.col(c).alias(f"by_{c}") for c in by], "first", F.monotonically_increasing_id().alias("_rank")))
+    return stored(groups.orderBy(*by).select(*[F.col(c).alias(f"by_{c}") for c in by], "first", F.monotonically_increasing_id().alias("_rank")), most_rows)
 
 
-def next_order(suffixes: DataFrame, by: tuple[str, str]) -> DataFrame:
-    ranks = ranked(suffixes, by)
+def next_order(suffixes: DataFrame, by: tuple[str, str], most_rows: int | None = None) -> DataFrame:
+    ranks = ranked(suffixes, by, most_rows)
     here = F.struct(*ROW, "at")
     found = suffixes.join(ranks, (F.col(by[0]) == ranks[f"by_{by[0]}"]) & (F.col(by[1]) == ranks[f"by_{by[1]}"]))
-    return stored(found.select(*ROW, "raw", "at", F.col("_rank").alias("rank"), "chars", (here > F.col("first")).alias("later")))
+    return stored(found.select(*ROW, "raw", "at", F.col("_rank").alias("rank"), "chars", (here > F.col("first")).alias("later")), most_rows)
 
 
 def pairs_ahead(order: DataFrame, step: int) -> DataFrame:
@@ -55,8 +55,8 @@ def suffix_orders(docs: DataFrame, id_col: str, text_col: str) -> list[DataFrame
     """For k = 0, 1, ... the suffixes whose first 2^k lines stand elsewhere too: doc, key, raw, at, rank, chars (of
     those lines) and whether an earlier suffix has them."""
     orders = [next_order(line_table(docs, id_col, text_col), ("a", "b"))]
-    while not orders[-1].isEmpty():
-        orders.append(next_order(pairs_ahead(orders[-1], 1 << (len(orders) - 1)), ("rank", "then")))
+    while n := orders[-1].count():  # each order is smaller than the last
+        orders.append(next_order(pairs_ahead(orders[-1], 1 << (len(orders) - 1)), ("rank", "then"), n))
     return orders[:-1]
 
 
@@ -68,7 +68,7 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     runs = [(1 << k, x) for k, x in enumerate(orders)]
     k = min_lines.bit_length() - 1
     if 1 << k < min_lines and k < len(orders):  # two overlapping runs of 2^k lines name one of min_lines
-        runs.append((min_lines, next_order(pairs_ahead(orders[k], min_lines - (1 << k)), ("rank", "then"))))
+        runs.append((min_lines, next_order(pairs_ahead(orders[k], min_lines - (1 << k)), ("rank", "then"), orders[k].count())))
     cover = orders[0].select(*ROW, "at", "raw", F.lit(0).alias("end"))
     for n, x in runs:
         counts = x.where(F.col("later") & ((F.lit(n) >= min_lines) | (F.col("chars") >= min_chars)))
