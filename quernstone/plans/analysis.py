@@ -234,7 +234,7 @@ ORACLE_SQL = {
     "d2_secret_counts": "SELECT CAST(1 AS BIGINT) AS aws_access_key_id, CAST(1 AS BIGINT) AS github_token, CAST(1 AS BIGINT) AS slack_token, CAST(1 AS BIGINT) AS stripe_key, CAST(1 AS BIGINT) AS npm_access_token, CAST(1 AS BIGINT) AS gcp_api_key, CAST(1 AS BIGINT) AS openai_api_key_legacy",
     "d4_assigned": "SELECT doc_id, md5(list_reduce(list_prepend(text, list_distinct(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1))), lambda s, v: replace(s, v, '‹redacted:generic:' || substr(sha256(v), 1, 8) || '›'))) AS masked_md5 FROM documents WHERE regexp_matches(text, 'token = \"[0-9a-f]{40}\"')",
     "d5_entropy_tokens": f"WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+_-]{{20,}}'))) AS token FROM documents) SELECT doc_id, token FROM t WHERE NOT regexp_matches(token, '^[0-9a-fA-F]+$') AND {BITS.format('token')} >= 4.0",
-    "a15_mask_tally": "SELECT 'generic' AS type, CAST(sum(len(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1))) AS BIGINT) AS n FROM documents",
+    "a15_mask_tally": "SELECT 'generic' AS type, CAST(sum(len(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1))) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, 'token = \"[0-9a-f]{40}\"') HAVING count(*) > 0",
     "a22_card_plan": f"WITH {FOLD}, h AS (SELECT conv_id, count(*) AS n, CAST(sum(least(chars, 20000)) AS BIGINT) AS chars FROM x GROUP BY 1 HAVING count(*) >= 2) SELECT conv_id, n, chars, CAST(CASE WHEN chars <= 60000 THEN 1 ELSE ceil(chars / 40000.0) + 1 END AS BIGINT) AS calls, CASE WHEN conv_id % 2 = 1 OR conv_id >= 200 THEN 'new' ELSE 'stale' END AS reason FROM h WHERE conv_id % 2 = 1 OR conv_id >= 200 OR conv_id % 4 = 0",
     "a23_estimate": "WITH e AS (SELECT CASE WHEN coalesce(n_chars, 0) <= 60000 THEN 1 ELSE ceil(n_chars / 40000.0) + 1 END AS calls, ceil(coalesce(n_chars, 0) / 3.6::DOUBLE) AS tokens FROM documents), t AS (SELECT count(*) AS n, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM e) SELECT n, calls, tokens, round(ceil(calls / least(8, greatest(calls, 1))::DOUBLE) * 2.5::DOUBLE, 6) AS seconds, round(tokens * 3.0::DOUBLE / 1e6, 6) AS usd FROM t",
     "a16_generic_df": f"WITH t AS (SELECT doc_id, unnest(list_distinct({CT('coalesce(text, chr(32))')})) AS token FROM documents) SELECT token, count(*) AS n_cards FROM t GROUP BY 1 HAVING count(*) > 0.3 * (SELECT count(*) FROM documents)",
