@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +158,7 @@ class Languages:
         return names, scores
 
 
-@cache
+@lru_cache(maxsize=1)  # workers outlive a job, and a model is some 30 MB a language
 def learned(samples: tuple[tuple[str, str], ...]) -> Languages:
     return Languages(samples)
 

@@ -12,7 +12,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +103,7 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     return b"\0".join(reversed(out))
 
 
-@cache
+@lru_cache(maxsize=2)  # of the current model; workers outlive a job
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_BTLAZY2, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
     trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
