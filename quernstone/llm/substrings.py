@@ -4,7 +4,8 @@ A text is a sequence of five-word shingles. For one hash function the Cartesian
 has, for each node, the widest range in which it is the least: a compact window, which stands for all subsequences of
 the range that contain the node and so have the same min-hash. Only ranges as long as a passage count, about 2/length
 of all nodes. Windows of different documents that share a value are joined to the group's first document; where
-aligned windows of enough hash functions overlap, the passages around them are compared shingle by shingle.
+aligned windows of enough hash functions overlap, the passages around them are compared shingle by shingle. Documents
+that turn out to have nothing there in common with the first one are compared with each other.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Hash functions, and how many must agree on a place.
 HASHES, AGREE = 4, 2
+#: Comparisons of unsettled windows up to which no further head is tried.
+ALL_PAIRS = 2_000_000
 #: Shingles of a tile, the unit in which texts are fetched for comparison.
 TILE = 64
 MOST_WORDS = 400_000
@@ -190,15 +193,8 @@ def similar_passages(x: np.ndarray, y: np.ndarray, length: int) -> list[tuple[in
     return out
 
 
-def passage_links(docs: DataFrame, length: int) -> DataFrame:
-    """docs: doc, text. Returns doc, begin, end, other, other_begin, other_end (shingle numbers), similarity: passages
-    of a document and the ones, in an earlier document, that they are near copies of."""
-    windows = window_rows(docs.select("doc", "text"), length)
-    shared = stored(windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v", "lo"))
-    members = stored(windows.join(shared, "v"))
-    heads = members.where("doc = lo").dropDuplicates(["v"]).select("v", F.col("l").alias("ol"), F.col("c").alias("oc"), F.col("r").alias("or"))
-    pairs = members.where("doc > lo").join(heads, "v")
-    grouped = pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("l", "c", "r", "ol", "oc", "or", F.col("v").bitwiseAND(7).alias("j"))).alias("w"))
+def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
+    """docs: doc, text; grouped: lo, doc, w (aligned windows of the pair). The links of passage_links, verified."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,7 +235,68 @@ def passage_links(docs: DataFrame, length: int) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc", "begin", "end", "other", "other_begin", "other_end", "similarity"])
 
-    return fetched.select("t").mapInArrow(verify, "doc long, begin int, end int, other long, other_begin int, other_end int, similarity double")
+    return stored(fetched.select("t").mapInArrow(verify, "doc long, begin int, end int, other long, other_begin int, other_end int, similarity double"))
+
+
+def with_head(members: DataFrame, heads: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """Links of the members of each group (v) with the group's head (heads: v, lo)."""
+    rows = members.join(heads, "v")
+    of = rows.where("doc = lo").dropDuplicates(["v"]).select("v", F.col("l").alias("ol"), F.col("c").alias("oc"), F.col("r").alias("or"))
+    pairs = rows.where("doc <> lo").join(of, "v")
+    kind = F.col("v").bitwiseAND(7).alias("j")
+    grouped = pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("l", "c", "r", "ol", "oc", "or", kind)).alias("w"))
+    return compared(docs, grouped, length)
+
+
+def left_open(members: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
+    """The members without the head; `open` are those that no passage shared with the head has the value's place of,
+    which so may share one with each other that the head has not."""
+    near = links.select("doc", F.col("other").alias("lo"), "begin", "end")
+    rest = members.join(heads, "v").where("doc <> lo")
+    held = rest.join(near, ["lo", "doc"]).where("begin <= c AND c < end").select("v", "doc", "c").distinct().withColumn("held", F.lit(True))
+    found = rest.join(held, ["v", "doc", "c"], "left").select("v", "doc", "l", "c", "r", (F.col("open") & F.col("held").isNull()).alias("open"))
+    some = found.groupBy("v").agg(F.max("open").alias("some"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("some AND a < b").select("v")
+    return stored(found.join(some, "v"))
+
+
+def with_each_other(members: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """Links of all open members with all others that have the same two values at one place."""
+    kind = F.col("v").bitwiseAND(7)
+    one = members.select("doc", "l", "c", "r", "open", "v", kind.alias("j"))
+    two = members.select("doc", F.col("l").alias("l2"), F.col("c").alias("c2"), F.col("r").alias("r2"), F.col("open").alias("open2"), F.col("v").alias("v2"), kind.alias("j2"))
+    both = one.join(two, "doc").where("j < j2 AND r >= l2 AND r2 >= l").withColumn("open", F.expr("open OR open2")).drop("open2")
+    keys = ["v", "v2"]
+    common = both.groupBy(*keys).agg(F.max("open").alias("some"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("some AND a < b").select(*keys)
+    both = stored(both.join(common, keys))
+    first = both.select(*keys, F.col("doc").alias("lo"), F.col("open").alias("oopen"), *[F.col(x).alias(f"o{x}") for x in ("l", "c", "r", "l2", "c2", "r2")])
+    span = lambda k: f"least(r{k}, or{k} + c{k} - oc{k}) - greatest(l{k}, ol{k} + c{k} - oc{k}) + 1 >= {length}"
+    pairs = both.join(first, keys).where("lo < doc AND (open OR oopen)").where(f"{span('')} AND {span('2')}")
+    each = [F.struct(*[F.col(x + k).alias(x) for x in ("l", "c", "r", "ol", "oc", "or")], F.col("j" + k).alias("j")) for k in ("", "2")]
+    return compared(docs, pairs.groupBy("lo", "doc").agg(F.flatten(F.collect_list(F.array(*each))).alias("w")), length)
+
+
+def passage_links(docs: DataFrame, length: int) -> DataFrame:
+    """docs: doc, text. Returns doc, begin, end, other, other_begin, other_end (shingle numbers), similarity: passages
+    of a document and the ones, in another document, that they are near copies of.
+
+    Documents that share a value are compared with one of them, the head. Those that have no passage there in common
+    with it are compared with another head, and so on as long as this settles most of them, and then with all others."""
+    windows = window_rows(docs.select("doc", "text"), length)
+    shared = stored(windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v", "lo"))
+    members = stored(windows.join(shared.select("v"), "v").withColumn("open", F.lit(True)))
+    heads, all_links, before = shared, None, None
+    while True:
+        links = with_head(members, heads, docs, length)
+        all_links = links if all_links is None else all_links.union(links)
+        members = left_open(members, heads, links)
+        sizes = members.groupBy("v").agg((F.count_if("open") * F.count("*")).alias("n"))
+        work = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        if work == 0:
+            return all_links
+        if work <= ALL_PAIRS or before and work > before / 2:
+            return all_links.union(with_each_other(members, docs, length))
+        before = work
+        heads = stored(members.where("open").groupBy("v").agg(F.min("doc").alias("lo")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

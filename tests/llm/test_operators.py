@@ -224,6 +224,33 @@ def test_repeated_passages_of_many_documents(spark):
     assert want <= got and len(got - want) <= 1
 
 
+def test_repeated_passages_whose_lines_stand_elsewhere(spark):
+    """An earlier, unrelated document holds a line of the passage that two later ones share."""
+    r = random.Random(8)
+    texts, want = [], set()
+    for k in range(60):
+        passage = words(r, 50).split()
+        line = " ".join(passage[10:40] if k % 2 else passage[:20])
+        texts += [f"{words(r, 80)} {line} {words(r, 80)}", f"{words(r, 60)} {' '.join(passage)} {words(r, 60)}", f"{words(r, 30)} {' '.join(passage)} {words(r, 90)}"]
+        want |= {3 * k + 1, 3 * k + 2}
+    got = {x.doc_id: x for x in substrings.repeated_passages(docs_of(spark, texts)).collect()}
+    assert set(got) == want
+    assert all(got[d].class_id == d - (d % 3 == 2) and got[d].n_words >= 50 for d in want)
+
+
+def test_repeated_passages_with_many_heads(spark, monkeypatch):
+    """Groups of a common line in which different passages follow it; further heads, and then all pairs."""
+    r = random.Random(9)
+    line, texts = words(r, 30), []
+    for k in range(40):
+        tail = words(r, 30)
+        texts += [f"{words(r, 70)} {line} {tail} {words(r, 70)}" for _ in range(2 + k % 2)]
+    for most in (0, 10**9):
+        monkeypatch.setattr(substrings, "ALL_PAIRS", most)
+        got = {x.doc_id for x in substrings.repeated_passages(docs_of(spark, texts)).collect()}
+        assert got == set(range(len(texts)))
+
+
 def plain_line_dedup(texts):
     """Later copies of runs of 3 or more lines, or of 100 or more characters on 1, 2, 4, ... lines."""
     seqs = {d: [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")] for d, t in enumerate(texts) if t is not None}
