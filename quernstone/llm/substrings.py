@@ -67,8 +67,8 @@ def windowed(x: np.ndarray, width: int, fold) -> np.ndarray:
 
 
 def compact_windows(values: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """first, node, last of every range of at least `length` values of which the node is the least (the leftmost of
-    equal ones). A value 0 bounds all ranges and has none."""
+    """first, node, last of every range of at least `length` values of which the node is the least; of equal ones each
+    has the range in which it is the leftmost. A value 0 bounds all ranges and has none."""
     if len(values) < length:
         return []
     least = windowed(values, length, np.minimum)
@@ -76,17 +76,17 @@ def compact_windows(values: np.ndarray, length: int) -> list[tuple[int, int, int
     nodes = np.flatnonzero(windowed(np.concatenate([pad, least, pad]), length, np.maximum) == values)
     # whatever bounds the range of such a node is such a node too (or a 0), so the tree is built over these alone
     out: list[tuple[int, int, int]] = []
-    stack: list[tuple[int, int, int, int]] = []  # value, first, node, last place of that value so far
+    stack: list[tuple[int, int, int]] = []  # value, first, node
     for at, v in zip(nodes.tolist(), values[nodes].tolist()):
         while stack and stack[-1][0] > v:
-            _, first, node, _ = stack.pop()
+            _, first, node = stack.pop()
             if at - first >= length:
                 out.append((first, node, at - 1))
-        if stack and stack[-1][0] == v and v:
-            stack[-1] = (*stack[-1][:3], at)
-        else:
-            stack.append((v, stack[-1][3] + 1 if stack else 0, at, at))
-    for v, first, node, _ in stack:
+        first = stack[-1][2] + 1 if stack else 0
+        if not v:
+            stack.clear()
+        stack.append((v, first, at))
+    for v, first, node in stack:
         if v and len(values) - first >= length:
             out.append((first, node, len(values) - 1))
     return out
@@ -121,14 +121,25 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def regions(windows: list[dict], length: int) -> list[tuple[int, int, int, int]]:
     """Of the aligned windows of one pair: the overlapping ones of enough hash functions, as first and last place in
-    the document and in the one it is compared with."""
+    the document and in the one it is compared with. What is shifted by more than a passage is apart: where a shingle
+    recurs, each of its places is aligned with each."""
     spans = []
     for w in windows:
         shift = w["c"] - w["oc"]
         first, last = max(w["l"], w["ol"] + shift), min(w["r"], w["or"] + shift)
         if last - first + 1 >= length:
-            spans.append((first, last, first - shift, last - shift, w["j"]))
+            spans.append((shift, first, last, w["j"]))
     spans.sort()
+    bands, before = [], None
+    for shift, first, last, j in spans:
+        if before is None or shift - before > length:
+            bands.append([])
+        bands[-1].append((first, last, first - shift, last - shift, j))
+        before = shift
+    return list(dict.fromkeys(x for band in bands for x in overlapping(sorted(band))))
+
+
+def overlapping(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     out, now, kinds = [], None, set()
     for first, last, of, ol, j in spans:
         if now and first <= now[1]:
@@ -155,6 +166,12 @@ def densest(there: np.ndarray, least: float) -> tuple[int, int]:
 def aligned(x: np.ndarray, y: np.ndarray, hit: np.ndarray, places: np.ndarray, length: int) -> tuple[int, int, int, int, float] | None:
     """The range of x from the first to the last hit with the one of y that its places there span, if they are similar."""
     middle = np.median(places - hit)
+    keys = np.sort(y.astype(np.uint64) << np.uint64(32) | np.arange(len(y), dtype=np.uint64))
+    want = x[hit].astype(np.uint64) << np.uint64(32)
+    after = np.searchsorted(keys, want | np.clip(hit + middle, 0, len(y) - 1).astype(np.uint64))
+    for k in (np.maximum(after - 1, 0), np.minimum(after, len(keys) - 1)):  # of the places of a shingle the nearest
+        other = np.where(keys[k] >> np.uint64(32) == want >> np.uint64(32), (keys[k] & np.uint64(0xFFFFFFFF)).astype(np.int64), places)
+        places = np.where(np.abs(other - hit - middle) < np.abs(places - hit - middle), other, places)
     near = places[np.abs(places - hit - middle) <= length]  # not where a shingle happens to recur
     if not len(near):
         return None
@@ -241,7 +258,7 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
 def with_head(members: DataFrame, heads: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Links of the members of each group (v) with the group's head (heads: v, lo)."""
     rows = members.join(heads, "v")
-    of = rows.where("doc = lo").dropDuplicates(["v"]).select("v", F.col("l").alias("ol"), F.col("c").alias("oc"), F.col("r").alias("or"))
+    of = rows.where("doc = lo").select("v", F.col("l").alias("ol"), F.col("c").alias("oc"), F.col("r").alias("or"))
     pairs = rows.where("doc <> lo").join(of, "v")
     kind = F.col("v").bitwiseAND(7).alias("j")
     grouped = pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("l", "c", "r", "ol", "oc", "or", kind)).alias("w"))
@@ -276,33 +293,59 @@ def with_each_other(members: DataFrame, docs: DataFrame, length: int) -> DataFra
 
 
 def passage_links(docs: DataFrame, length: int) -> DataFrame:
-    """docs: doc, text. Returns doc, begin, end, other, other_begin, other_end (shingle numbers), similarity: passages
-    of a document and the ones, in another document, that they are near copies of.
+    """docs: doc, text. Returns doc, begin, end, other, other_begin, other_end (shingle numbers), similarity, round:
+    passages of a document and the ones, in another document, that they are near copies of.
 
     Documents that share a value are compared with one of them, the head. Those that have no passage there in common
     with it are compared with another head, and so on as long as this settles most of them, and then with all others."""
     windows = window_rows(docs.select("doc", "text"), length)
     shared = stored(windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v", "lo"))
     members = stored(windows.join(shared.select("v"), "v").withColumn("open", F.lit(True)))
-    heads, all_links, before = shared, None, None
+    heads, all_links, before, nth = shared, None, None, 0
     while True:
         links = with_head(members, heads, docs, length)
-        all_links = links if all_links is None else all_links.union(links)
+        nth += 1
+        links_k = links.withColumn("round", F.lit(nth))
+        all_links = links_k if all_links is None else all_links.union(links_k)
         members = left_open(members, heads, links)
         sizes = members.groupBy("v").agg((F.count_if("open") * F.count("*")).alias("n"))
         work = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
         if work == 0:
             return all_links
         if work <= ALL_PAIRS or before and work > before / 2:
-            return all_links.union(with_each_other(members, docs, length))
+            return all_links.union(with_each_other(members, docs, length).withColumn("round", F.lit(0)))
         before = work
         heads = stored(members.where("open").groupBy("v").agg(F.min("doc").alias("lo")))
 
 
+def class_links(links: DataFrame) -> DataFrame:
+    """doc, n_links: over the classes of passages that a document is in, the other members. A class is a head, what
+    overlaps at one place of it, and the documents linked to it there. Links of the last round (0) stand for a pair
+    each. Two documents that are together in an earlier class with the same passages count once."""
+    places = links.select("other", F.col("other_begin").alias("b"), F.col("other_end").alias("e")).distinct()
+    order = W.partitionBy("other").orderBy("b", "e")
+    reached = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    numbered = places.withColumn("new", F.when(F.col("b") < reached, 0).otherwise(1)).withColumn("place", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).select("other", F.col("b").alias("other_begin"), F.col("e").alias("other_end"), "place")
+    placed = stored(links.join(numbered, ["other", "other_begin", "other_end"]))
+    key = ["round", "head", "place"]
+    named = placed.where("round > 0").withColumn("head", F.col("other"))
+    held = named.select(*key, "doc", F.col("begin").alias("b"), F.col("end").alias("e")).union(named.select(*key, "other", "other_begin", "other_end")).distinct()
+    mine = held.select(*[F.col(x).alias(f"_{x}") for x in key], "doc", "b", "e")
+    theirs = held.select(*[F.col(x).alias(f"_{x}") for x in key], F.col("doc").alias("other"), F.col("b").alias("ob"), F.col("e").alias("oe"))
+    earlier = placed.join(mine, "doc").where("b < end AND begin < e AND (round = 0 OR _round < round OR _round = round AND _head < other)")
+    again = earlier.join(theirs, ["other", *(f"_{x}" for x in key)]).where("ob < other_end AND other_begin < oe").select("doc", "begin", "other", "other_begin", "round").distinct()
+    fresh = stored(placed.join(again, ["doc", "begin", "other", "other_begin", "round"], "left_anti").select("round", "other", "place", "doc").distinct())
+    star = fresh.where("round > 0")
+    of = star.union(star.select("round", "other", "place", F.col("other").alias("doc")).distinct())
+    sizes = of.groupBy("round", "other", "place").agg((F.count("*") - 1).alias("n"))
+    pairs = fresh.where("round = 0").select(F.explode(F.array("doc", "other")).alias("doc"), F.lit(1).cast("long").alias("n"))
+    return of.join(sizes, ["round", "other", "place"]).select("doc", "n").union(pairs).groupBy("doc").agg(F.sum("n").alias("n_links"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document that shares a passage of PASSAGE words or more, exactly or nearly, with another:
-    doc_id, class_id (least id of the documents that chains of such passages connect), n_links (passages matched with
-    other texts), n_words (words inside), passages (word numbers begin-end, end exclusive, comma-joined).
+    doc_id, class_id (least id of the documents that chains of such passages connect), n_links (for each
+    passage, the other texts that hold it: those matched with the same place of one text), n_words (words inside), passages (word numbers begin-end, end exclusive, comma-joined).
 
     Documents with equal texts are compared once, as the one with the least id, whose row the others get with their
     own id. Rows that share an id are one document; rows with a null id or text can't be named or compared and are
@@ -330,7 +373,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     merged = islands.groupBy("doc", "island").agg(F.min("begin").alias("begin"), (F.max("end") + SHINGLE - 1).alias("end"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "end"))), lambda x: F.concat_ws("-", x.begin, x.end)), ",")
     passages = merged.groupBy("doc").agg(F.sum(F.col("end") - F.col("begin")).cast("long").alias("n_words"), text.alias("passages"))
-    sides = links.select("doc").union(links.select(F.col("other").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
+    sides = class_links(links)
     rows = stored(passages.join(sides, "doc", "left").join(roots, passages.doc == roots.node, "left").select("doc", F.coalesce("root", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_words", "passages"))
     copies = same.where("doc <> first").join(rows.withColumnRenamed("doc", "first"), "first").select("doc", "class_id", "n_links", "n_words", "passages")
     return rows.union(copies).withColumnRenamed("doc", "doc_id")

@@ -251,6 +251,31 @@ def test_repeated_passages_with_many_heads(spark, monkeypatch):
         assert got == set(range(len(texts)))
 
 
+def test_compact_windows_of_equal_values():
+    r = np.random.default_rng(3)
+    for n, length in ((9, 3), (30, 4), (60, 7)):
+        for _ in range(40):
+            values = r.integers(1, 6, n).astype(np.uint64)
+            # every range of the length is in the window of its leftmost least value
+            found = {c: (f, e) for f, c, e in substrings.compact_windows(values, length)}
+            for i in range(n - length + 1):
+                c = i + int(np.argmin(values[i : i + length]))
+                assert found[c][0] <= i and i + length - 1 <= found[c][1]
+
+
+def test_repeated_passages_after_a_recurring_line(spark):
+    """The head holds a line before the passage too; three different texts share one passage."""
+    r = random.Random(11)
+    texts, want = [], {}
+    for k in range(40):
+        line, tail = words(r, 35), words(r, 15)
+        texts += [f"{words(r, 20)} {line} {words(r, 200)} {line} {tail} {words(r, 60)}", f"{words(r, 70)} {line} {tail} {words(r, 50)}", f"{line} {tail} {words(r, 90)}"]
+        want |= {3 * k: "255-305", 3 * k + 1: "70-120", 3 * k + 2: "0-50"}
+    got = {x.doc_id: x for x in substrings.repeated_passages(docs_of(spark, texts)).collect()}
+    assert {d: x.passages for d, x in got.items()} == want
+    assert {x.n_links for x in got.values()} == {2}
+
+
 def plain_line_dedup(texts):
     """Later copies of runs of 3 or more lines, or of 100 or more characters on 1, 2, 4, ... lines."""
     seqs = {d: [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if x.strip(" ")] for d, t in enumerate(texts) if t is not None}
