@@ -123,13 +123,15 @@ def regions(windows: list[dict], length: int) -> list[tuple[int, int, int, int]]
     """Of the aligned windows of one pair: the overlapping ones of enough hash functions, as first and last place in
     the document and in the one it is compared with. What is shifted by more than a passage is apart: where a shingle
     recurs, each of its places is aligned with each."""
-    spans = []
+    spans = set()
     for w in windows:
-        shift = w["c"] - w["oc"]
-        first, last = max(w["l"], w["ol"] + shift), min(w["r"], w["or"] + shift)
-        if last - first + 1 >= length:
-            spans.append((shift, first, last, w["j"]))
-    spans.sort()
+        l, c, r = (np.array([x[k] for x in w["mine"]], np.int64)[:, None] for k in "lcr")
+        ol, oc, or_ = (np.array([x[k] for x in w["theirs"]], np.int64)[None, :] for k in "lcr")
+        shift = c - oc
+        first, last = np.maximum(l, ol + shift), np.minimum(r, or_ + shift)
+        at = last - first + 1 >= length
+        spans.update((s, f, e, w["j"]) for s, f, e in zip(shift[at].tolist(), first[at].tolist(), last[at].tolist()))
+    spans = sorted(spans)
     bands, before = [], None
     for shift, first, last, j in spans:
         if before is None or shift - before > length:
@@ -255,13 +257,17 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
     return stored(fetched.select("t").mapInArrow(verify, "doc long, begin int, end int, other long, other_begin int, other_end int, similarity double"))
 
 
+def in_arrays(members: DataFrame, *more: str) -> DataFrame:
+    """v, doc, the windows of the value in the document."""
+    return members.groupBy("v", "doc", *more).agg(F.collect_list(F.struct("l", "c", "r")).alias("mine"))
+
+
 def with_head(members: DataFrame, heads: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Links of the members of each group (v) with the group's head (heads: v, lo)."""
-    rows = members.join(heads, "v")
-    of = rows.where("doc = lo").select("v", F.col("l").alias("ol"), F.col("c").alias("oc"), F.col("r").alias("or"))
+    rows = stored(in_arrays(members).join(heads, "v"))
+    of = rows.where("doc = lo").select("v", F.col("mine").alias("theirs"))
     pairs = rows.where("doc <> lo").join(of, "v")
-    kind = F.col("v").bitwiseAND(7).alias("j")
-    grouped = pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("l", "c", "r", "ol", "oc", "or", kind)).alias("w"))
+    grouped = pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("mine", "theirs", F.col("v").bitwiseAND(7).alias("j"))).alias("w"))
     return compared(docs, grouped, length)
 
 
@@ -281,15 +287,16 @@ def with_each_other(members: DataFrame, docs: DataFrame, length: int) -> DataFra
     kind = F.col("v").bitwiseAND(7)
     one = members.select("doc", "l", "c", "r", "open", "v", kind.alias("j"))
     two = members.select("doc", F.col("l").alias("l2"), F.col("c").alias("c2"), F.col("r").alias("r2"), F.col("open").alias("open2"), F.col("v").alias("v2"), kind.alias("j2"))
-    both = one.join(two, "doc").where("j < j2 AND r >= l2 AND r2 >= l").withColumn("open", F.expr("open OR open2")).drop("open2")
+    both = one.join(two, "doc").where("j < j2 AND r >= l2 AND r2 >= l").groupBy("v", "v2", "doc").agg(F.max(F.expr("open OR open2")).alias("open"))
     keys = ["v", "v2"]
+    both = stored(both)
     common = both.groupBy(*keys).agg(F.max("open").alias("some"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("some AND a < b").select(*keys)
     both = stored(both.join(common, keys))
-    first = both.select(*keys, F.col("doc").alias("lo"), F.col("open").alias("oopen"), *[F.col(x).alias(f"o{x}") for x in ("l", "c", "r", "l2", "c2", "r2")])
-    span = lambda k: f"least(r{k}, or{k} + c{k} - oc{k}) - greatest(l{k}, ol{k} + c{k} - oc{k}) + 1 >= {length}"
-    pairs = both.join(first, keys).where("lo < doc AND (open OR oopen)").where(f"{span('')} AND {span('2')}")
-    each = [F.struct(*[F.col(x + k).alias(x) for x in ("l", "c", "r", "ol", "oc", "or")], F.col("j" + k).alias("j")) for k in ("", "2")]
-    return compared(docs, pairs.groupBy("lo", "doc").agg(F.flatten(F.collect_list(F.array(*each))).alias("w")), length)
+    first = both.select(*keys, F.col("doc").alias("lo"), F.col("open").alias("oopen"))
+    pairs = both.join(first, keys).where("lo < doc AND (open OR oopen)").select("lo", "doc", F.explode(F.array(*keys)).alias("v")).distinct()
+    arrays = stored(in_arrays(members))
+    rows = pairs.join(arrays, ["v", "doc"]).join(arrays.select("v", F.col("doc").alias("lo"), F.col("mine").alias("theirs")), ["v", "lo"])
+    return compared(docs, rows.groupBy("lo", "doc").agg(F.collect_list(F.struct("mine", "theirs", kind.alias("j"))).alias("w")), length)
 
 
 def passage_links(docs: DataFrame, length: int) -> DataFrame:
