@@ -32,6 +32,8 @@ ALL_PAIRS = 2_000_000
 #: Shingles of a tile, the unit in which texts are fetched for comparison.
 TILE = 64
 MOST_WORDS = 400_000
+#: Pairs of windows aligned at once.
+MOST_ALIGNED = 1 << 18
 _words: dict[bytes, int] = {}
 
 
@@ -123,37 +125,45 @@ def regions(windows: list[dict], length: int) -> list[tuple[int, int, int, int]]
     """Of the aligned windows of one pair: the overlapping ones of enough hash functions, as first and last place in
     the document and in the one it is compared with. What is shifted by more than a passage is apart: where a shingle
     recurs, each of its places is aligned with each."""
-    spans = set()
+    parts = []
     for w in windows:
-        l, c, r = (np.array([x[k] for x in w["mine"]], np.int64)[:, None] for k in "lcr")
-        ol, oc, or_ = (np.array([x[k] for x in w["theirs"]], np.int64)[None, :] for k in "lcr")
-        shift = c - oc
-        first, last = np.maximum(l, ol + shift), np.minimum(r, or_ + shift)
-        at = last - first + 1 >= length
-        spans.update((s, f, e, w["j"]) for s, f, e in zip(shift[at].tolist(), first[at].tolist(), last[at].tolist()))
-    spans = sorted(spans)
-    bands, before = [], None
-    for shift, first, last, j in spans:
-        if before is None or shift - before > length:
-            bands.append([])
-        bands[-1].append((first, last, first - shift, last - shift, j))
-        before = shift
-    return list(dict.fromkeys(x for band in bands for x in overlapping(sorted(band))))
-
-
-def overlapping(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    out, now, kinds = [], None, set()
-    for first, last, of, ol, j in spans:
-        if now and first <= now[1]:
-            now = now[0], max(now[1], last), min(now[2], of), max(now[3], ol)
-            kinds.add(j)
-        else:
-            if now and len(kinds) >= AGREE:
-                out.append(now)
-            now, kinds = (first, last, of, ol), {j}
-    if now and len(kinds) >= AGREE:
-        out.append(now)
-    return out
+        mine, theirs = (np.array([(x["l"], x["c"], x["r"]) for x in w[side]], np.int64) for side in ("mine", "theirs"))
+        step, found = max(1, MOST_ALIGNED // len(theirs)), []
+        for k in range(0, len(mine), step):
+            l, c, r = mine[k : k + step].T[:, :, None]
+            shift = c - theirs[:, 1]
+            first, last = np.maximum(l, theirs[:, 0] + shift), np.minimum(r, theirs[:, 2] + shift)
+            at = last - first + 1 >= length
+            found.append(one_shift(np.stack([shift[at], first[at], last[at]])))
+        found = one_shift(np.concatenate(found, axis=1)) if len(found) > 1 else found[0]
+        parts.append(np.concatenate([found, np.full((1, found.shape[1]), 1 << w["j"])]))
+    spans = np.concatenate(parts, axis=1)
+    spans = spans[:, np.argsort(spans[0], kind="stable")]
+    band = np.cumsum(np.diff(spans[0], prepend=spans[0, :1]) > length)
+    order, starts = overlapping(band, spans[1], spans[2])
+    if not len(starts):
+        return []
+    shift, first, last, kinds = spans[:, order]
+    fold = [np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts), np.minimum.reduceat(first - shift, starts), np.maximum.reduceat(last - shift, starts)]
+    enough = np.bitwise_count(np.bitwise_or.reduceat(kinds, starts)) >= AGREE
+    return list(zip(*(x[enough].tolist() for x in fold)))
+
+
+def overlapping(group: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by group and first place, and where in it the ranges that overlap within a group begin."""
+    order = np.lexsort((first, group))
+    base = (group[order] - group.min(initial=0)) << 32
+    reached = np.maximum.accumulate(base + last[order])
+    return order, np.flatnonzero(np.append(True, (base + first[order])[1:] > reached[:-1])[: len(order)])
+
+
+def one_shift(spans: np.ndarray) -> np.ndarray:
+    """Shift, first, last: the overlapping ranges of each shift as one."""
+    order, starts = overlapping(*spans)
+    if not len(starts):
+        return spans
+    shift, first, last = spans[:, order]
+    return np.stack([shift[starts], first[starts], np.maximum.reduceat(last, starts)])
 
 
 def densest(there: np.ndarray, least: float) -> tuple[int, int]:
@@ -217,7 +227,8 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(o, d, *r) for o, d, w in zip(*(c.to_pylist() for c in b.columns)) for r in regions(w, length)]
+            pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))
+            rows = [(o, d, *r) for o, d, w in pairs for r in regions(w.as_py(), length)]
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["other", "doc", "l", "r", "ol", "or"])
 
