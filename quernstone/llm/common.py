@@ -49,6 +49,14 @@ def stored(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/quernstone-" in path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(folder, True)
+
+
 def slices(sizes: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows with about `most` characters each, one row at least."""
     begin, total = 0, 0

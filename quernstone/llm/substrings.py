@@ -3,9 +3,13 @@
 A text is a sequence of five-word shingles. For one hash function the Cartesian tree over the shingles' hash values
 has, for each node, the widest range in which it is the least: a compact window, which stands for all subsequences of
 the range that contain the node and so have the same min-hash. Only ranges as long as a passage count, about 2/length
-of all nodes. Windows of different documents that share a value are joined to the group's first document; where
-aligned windows of enough hash functions overlap, the passages around them are compared shingle by shingle. Documents
-that turn out to have nothing there in common with the first one are compared with each other.
+of all nodes. Windows of different documents that share a value are a group and are joined to the group's first
+document, its head; overlapping aligned windows of all hash functions make one candidate, whose shingles are compared.
+
+A member that is not similar to its head may still share a passage with another member. Such groups go on without
+their head: whatever their members share with heads (a common line, say) is masked, and windows are formed anew over
+what is left, so that the members meet by what sets their passages apart from the head. A round masks something in
+each of its members, so the rounds end; no group's members are all paired.
 """
 
 from __future__ import annotations
@@ -19,21 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import joined_ids, slices, stored
+from .common import forget, joined_ids, slices, stored
 from .components import components
 
 TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words of a shingle and of the shortest passage; similarity of two passages' shingle sets.
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
-#: Hash functions, and how many must agree on a place.
-HASHES, AGREE = 4, 2
-#: Comparisons of unsettled windows up to which no further head is tried.
-ALL_PAIRS = 2_000_000
-#: Shingles of a tile, the unit in which texts are fetched for comparison.
-TILE = 64
+#: Hash functions (7 at most), and how many must agree on a place: comparing is exact, so one is enough. At
+#: similarity 0.8 one of four agrees with probability 0.998, two of four with 0.97.
+HASHES, AGREE = 4, 1
+#: Shingles of a tile, the unit in which texts are fetched for comparison, and shingles fetched beyond a candidate.
+TILE, SLACK = 64, 16
 MOST_WORDS = 400_000
 #: Pairs of windows aligned at once.
 MOST_ALIGNED = 1 << 18
+#: The value of a masked shingle: no window is formed around it.
+MASKED = (1 << 63) - 1
+FACTOR = 0x9E3779B97F4A7C15
 _words: dict[bytes, int] = {}
 
 
@@ -49,7 +55,7 @@ def shingles(text: str) -> np.ndarray:
     ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     out = ids[: len(ids) - SHINGLE + 1].copy()
     for i in range(1, SHINGLE):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(ids) - SHINGLE + 1 + i])
+        out = mixed(out * np.uint64(FACTOR) + ids[i : len(ids) - SHINGLE + 1 + i])
     return out
 
 
@@ -94,12 +100,35 @@ def compact_windows(values: np.ndarray, length: int) -> list[tuple[int, int, int
     return out
 
 
+class Powers:
+    """Prefix sums by which the hash of any range of shingles is one subtraction."""
+
+    inverse = pow(FACTOR, -1, 1 << 64)
+
+    def __init__(self, x: np.ndarray):
+        ones = np.full(len(x) + 1, FACTOR, np.uint64)
+        ones[:1] = 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * np.cumprod(ones)[:-1])])
+        ones[1:] = self.inverse
+        self.back = np.cumprod(ones)
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[begin]) * self.back[begin])
+
+
 def window_rows(docs: DataFrame, length: int) -> DataFrame:
-    """v (hash function and value), doc, l, c, r of every compact window; places are shingle numbers of the text."""
+    """v (hash function and value), doc, l, c, r of compact windows; places are shingle numbers of the text, and ranges
+    reach no further than a passage from the node. Of the windows of a document whose surroundings are equal, word for
+    word, the first stands for all.
+
+    docs: doc, text and, from the second round on, active (nodes of windows to go on with: only the shingles around
+    them are used) and masked (ranges, begin and end, of shingles that are no nodes)."""
+    again = "active" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            active, masked = (b.column(2).to_pylist(), b.column(3).to_pylist()) if again else (None, None)
             for begin, end in slices([len(x) for x in texts]):
                 parts = [shingles(x) for x in texts[begin:end]]
                 use = [i for i, p in enumerate(parts) if len(p) >= length]
@@ -108,45 +137,71 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
                 zero = np.zeros(1, np.uint64)
                 joined = np.concatenate([x for i in use for x in (zero, parts[i])] + [zero])
                 starts = np.cumsum([0] + [len(parts[i]) + 1 for i in use])[:-1] + 1
-                bounds = np.append(starts - 1, len(joined) - 1)
-                found = []
+                bounds, gone = np.zeros(len(joined), bool), np.zeros(len(joined), bool)
+                if again:
+                    bounds[:] = True
+                    for i, s in zip(use, starts.tolist()):
+                        for c in active[begin + i]:
+                            bounds[s + max(0, c - length + 1) : s + min(c + length, len(parts[i]))] = False
+                        for m in masked[begin + i] or ():
+                            gone[s + m["b"] : s + m["e"]] = True
+                ends = np.append(starts[1:] - 1, len(joined) - 1)
+                bounds[starts - 1] = bounds[-1] = True
+                around, found = Powers(joined), []
                 for j in range(HASHES):
                     v = mixed(joined ^ np.uint64((j + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) & np.uint64((1 << 63) - 8) | np.uint64(j + 8)
+                    v[gone] = MASKED
                     v[bounds] = 0
                     w = np.array(compact_windows(v, length), np.int64).reshape(-1, 3)
+                    w = w[v[w[:, 1]] != MASKED]
                     of = np.searchsorted(starts, w[:, 1], "right") - 1
+                    near = around.of(np.maximum(w[:, 1] - length + 1, starts[of]), np.minimum(w[:, 1] + length, ends[of]))
+                    first = np.unique(mixed(v[w[:, 1]] * np.uint64(FACTOR) ^ mixed(near + of.astype(np.uint64))), return_index=True)[1]
+                    w, of = w[first], of[first]
+                    w[:, 0], w[:, 2] = np.maximum(w[:, 0], w[:, 1] - length + 1), np.minimum(w[:, 2], w[:, 1] + length - 1)
                     found.append((v[w[:, 1]].view(np.int64), ids[begin + np.array(use)[of]], *(w - starts[of][:, None]).astype(np.int32).T))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["v", "doc", "l", "c", "r"])
 
     return docs.mapInArrow(run, "v long, doc long, l int, c int, r int")
 
 
-def regions(windows: list[dict], length: int) -> list[tuple[int, int, int, int]]:
-    """Of the aligned windows of one pair: the overlapping ones of enough hash functions, as first and last place in
-    the document and in the one it is compared with. What is shifted by more than a passage is apart: where a shingle
-    recurs, each of its places is aligned with each."""
-    parts = []
-    for w in windows:
-        mine, theirs = (np.array([(x["l"], x["c"], x["r"]) for x in w[side]], np.int64) for side in ("mine", "theirs"))
-        step, found = max(1, MOST_ALIGNED // len(theirs)), []
-        for k in range(0, len(mine), step):
-            l, c, r = mine[k : k + step].T[:, :, None]
-            shift = c - theirs[:, 1]
-            first, last = np.maximum(l, theirs[:, 0] + shift), np.minimum(r, theirs[:, 2] + shift)
-            at = last - first + 1 >= length
-            found.append(one_shift(np.stack([shift[at], first[at], last[at]])))
-        found = one_shift(np.concatenate(found, axis=1)) if len(found) > 1 else found[0]
-        parts.append(np.concatenate([found, np.full((1, found.shape[1]), 1 << w["j"])]))
-    spans = np.concatenate(parts, axis=1)
-    spans = spans[:, np.argsort(spans[0], kind="stable")]
-    band = np.cumsum(np.diff(spans[0], prepend=spans[0, :1]) > length)
-    order, starts = overlapping(band, spans[1], spans[2])
+def regions(windows: pa.ListArray, length: int) -> tuple[np.ndarray, ...]:
+    """windows: of each pair the windows that share a value, mine and theirs. Returns the pair and the first and last
+    place in the document and in the other one of what overlaps, of enough hash functions. What is shifted by more than
+    a passage is apart: where a shingle recurs, each of its places is aligned with each."""
+    pair, flat = np.repeat(np.arange(len(windows)), windows.value_lengths().to_numpy()), windows.flatten()
+    sides = []
+    for name in ("mine", "theirs"):
+        one = flat.field(name)
+        n = one.value_lengths().to_numpy().astype(np.int64)
+        places = one.flatten()
+        sides.append((n, np.cumsum(n) - n, *(places.field(x).to_numpy().astype(np.int64) for x in ("l", "c", "r"))))
+    (n, at, l, c, r), (m, of, l2, c2, r2) = sides
+    kinds, parts, begin = 1 << flat.field("j").to_numpy().astype(np.int64), [], 0
+    for end in np.append(np.flatnonzero(np.diff(np.cumsum(n * m) // MOST_ALIGNED)) + 1, len(n)).tolist():
+        k = np.arange(begin, end)
+        step = max(1, MOST_ALIGNED // max(1, int(m[k].sum()))) if end - begin == 1 else max(1, int(n[k].max(initial=1)))
+        some = []
+        for low in range(0, int(n[k].max(initial=0)), step):
+            taken = np.clip(n[k] - low, 0, step)
+            each = np.repeat(k, taken * m[k])
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(taken * m[k]) - taken * m[k], taken * m[k])
+            x, y = at[each] + low + nth // m[each], of[each] + nth % m[each]
+            shift = c[x] - c2[y]
+            first, last = np.maximum(l[x], l2[y] + shift), np.minimum(r[x], r2[y] + shift)
+            near = last - first + 1 >= length - 2 * SHINGLE  # words more on one side shift what is beyond them
+            some.append(one_shift(np.stack([pair[each], kinds[each], shift, first, last])[:, near]))
+        parts += [one_shift(np.concatenate(some, axis=1)) if len(some) > 1 else x for x in some[:1]]
+        begin = end
+    spans = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+    spans = spans[:, np.lexsort((spans[2], spans[0]))]
+    band = np.cumsum((np.diff(spans[2], prepend=spans[2, :1]) > length) | (np.diff(spans[0], prepend=spans[0, :1]) > 0))
+    order, starts = overlapping(band, spans[3], spans[4])
     if not len(starts):
-        return []
-    shift, first, last, kinds = spans[:, order]
-    fold = [np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts), np.minimum.reduceat(first - shift, starts), np.maximum.reduceat(last - shift, starts)]
-    enough = np.bitwise_count(np.bitwise_or.reduceat(kinds, starts)) >= AGREE
-    return list(zip(*(x[enough].tolist() for x in fold)))
+        return tuple(np.zeros((5, 0), np.int64))
+    pair, kind, shift, first, last = spans[:, order]
+    enough = np.bitwise_count(np.bitwise_or.reduceat(kind, starts)) >= AGREE
+    return tuple(x[enough] for x in (pair[starts], np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts), np.minimum.reduceat(first - shift, starts), np.maximum.reduceat(last - shift, starts)))
 
 
 def overlapping(group: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,79 +213,93 @@ def overlapping(group: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple
 
 
 def one_shift(spans: np.ndarray) -> np.ndarray:
-    """Shift, first, last: the overlapping ranges of each shift as one."""
-    order, starts = overlapping(*spans)
+    """pair, kind, shift, first, last: the overlapping ranges of each shift of a pair and kind as one."""
+    spans = spans[:, np.lexsort((spans[2], spans[1], spans[0]))]
+    group = np.cumsum(np.append(False, (np.diff(spans[:3]) != 0).any(axis=0))[: spans.shape[1]])
+    order, starts = overlapping(group, spans[3], spans[4])
     if not len(starts):
         return spans
-    shift, first, last = spans[:, order]
-    return np.stack([shift[starts], first[starts], np.maximum.reduceat(last, starts)])
+    return np.concatenate([spans[:4, order][:, starts], np.maximum.reduceat(spans[4, order], starts)[None]])
 
 
-def densest(there: np.ndarray, least: float) -> tuple[int, int]:
-    """The longest range of which at least the share `least` is set (begin, end)."""
-    sums = np.concatenate([[0.0], np.cumsum(there - least)])
+def longest(weights: np.ndarray) -> tuple[int, int]:
+    """The longest range of which the weights' sum is not negative (begin, end)."""
+    sums = np.concatenate([[0.0], np.cumsum(weights)])
     lowest = np.minimum.accumulate(sums)
     begins = np.searchsorted(-lowest, -sums - 1e-9)
     end = int(np.argmax(np.arange(len(sums)) - begins))
     return int(begins[end]), end
 
 
-def aligned(x: np.ndarray, y: np.ndarray, hit: np.ndarray, places: np.ndarray, length: int) -> tuple[int, int, int, int, float] | None:
-    """The range of x from the first to the last hit with the one of y that its places there span, if they are similar."""
-    middle = np.median(places - hit)
-    keys = np.sort(y.astype(np.uint64) << np.uint64(32) | np.arange(len(y), dtype=np.uint64))
-    want = x[hit].astype(np.uint64) << np.uint64(32)
-    after = np.searchsorted(keys, want | np.clip(hit + middle, 0, len(y) - 1).astype(np.uint64))
-    for k in (np.maximum(after - 1, 0), np.minimum(after, len(keys) - 1)):  # of the places of a shingle the nearest
-        other = np.where(keys[k] >> np.uint64(32) == want >> np.uint64(32), (keys[k] & np.uint64(0xFFFFFFFF)).astype(np.int64), places)
-        places = np.where(np.abs(other - hit - middle) < np.abs(places - hit - middle), other, places)
-    near = places[np.abs(places - hit - middle) <= length]  # not where a shingle happens to recur
-    if not len(near):
-        return None
-    first, last, of, ol = int(hit[0]), int(hit[-1]), int(near.min()), int(near.max())
-    mine, theirs = set(x[first : last + 1].tolist()), set(y[of : ol + 1].tolist())
-    share = len(mine & theirs) / len(mine | theirs)
-    return (first, last + 1, of, ol + 1, share) if share >= SIMILAR else None
-
-
-def similar_passages(x: np.ndarray, y: np.ndarray, length: int) -> list[tuple[int, int, int, int, float]]:
-    """Begin and end in x, in y, and similarity, of the longest similar passages: runs of shingles of x that y has,
-    with gaps as one or two changed words leave them, or without; of a run that is not similar enough as a whole, its
-    longest part that is."""
+def matches(x: np.ndarray, y: np.ndarray, shift: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of x whose shingle y has less than a passage away from the same place, and the nearest such places."""
     order = np.argsort(y, kind="stable")
-    at = np.minimum(np.searchsorted(y[order], x), len(y) - 1)
-    there = y[order][at] == x
-    hit = np.flatnonzero(there)
-    out: list[tuple[int, int, int, int, float]] = []
-    for gap in (2 * SHINGLE, SHINGLE, 0):
-        if not len(hit):
-            break
-        cuts = np.flatnonzero(np.diff(hit) > gap + 1)
-        for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(hit) - 1)):
-            first, last = int(hit[a]), int(hit[b])
-            if last - first + 1 < length or any(f <= first and last < e for f, e, *_ in out):
-                continue
-            found = aligned(x, y, hit[a : b + 1], order[at[hit[a : b + 1]]], length)
-            if not found:
-                # of n shingles on either side m are shared if the similarity is m / (2n - m)
-                begin, end = densest(there[first : last + 1], 2 * SIMILAR / (1 + SIMILAR))
-                part = hit[a : b + 1][(hit[a : b + 1] >= first + begin) & (hit[a : b + 1] < first + end)]
-                if len(part) and part[-1] - part[0] + 1 >= length:
-                    found = aligned(x, y, part, order[at[part]], length)
-            if found:
-                out.append(found)
+    kinds = np.cumsum(np.append(False, np.diff(y[order]) != 0))
+    first = np.searchsorted(y[order], x)
+    hit = np.flatnonzero(y[order][np.minimum(first, len(y) - 1)] == x)
+    keys = kinds << 32 | order
+    want = np.clip(hit + shift, 0, len(y) - 1)
+    after = np.searchsorted(keys, kinds[first[hit]] << 32 | want)
+    best = None
+    for k in (np.maximum(after - 1, 0), np.minimum(after, len(keys) - 1)):
+        place = np.where(kinds[k] == kinds[first[hit]], order[k], -(1 << 40))
+        best = place if best is None else np.where(np.abs(place - want) < np.abs(best - want), place, best)
+    near = np.abs(best - hit - shift) <= length if len(hit) else np.zeros(0, bool)
+    return hit[near], best[near]
+
+
+def similar_passages(x: np.ndarray, y: np.ndarray, hit: np.ndarray, places: np.ndarray, length: int) -> list[tuple[int, int, int, int, float]]:
+    """Begin and end in x, in y, and similarity, of the longest similar passages. With m shared shingles and u others on
+    both sides, similarity is m / (m + u): a shared one weighs 1, another one the share that 0.8 allows, as many of y's
+    as of x's at the ends."""
+    cost = SIMILAR / (1 - SIMILAR)
+    weights = np.full(len(x), -2 * cost)
+    weights[hit] = 1.0
+    more, theirs = np.diff(hit) - 1, np.abs(np.diff(places) - 1)
+    for k in np.flatnonzero((more > 0) | (theirs > 0)):
+        if more[k]:
+            weights[hit[k] + 1 : hit[k + 1]] = -cost * (1 + theirs[k] / more[k])
+        else:
+            weights[hit[k + 1]] -= cost * theirs[k]
+    out, todo = [], [(0, len(x))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < length:
+            continue
+        begin, end = longest(weights[low:high])
+        begin, end = begin + low, end + low
+        if end - begin < length:
+            continue
+        a, z = np.searchsorted(hit, (begin, end))
+        first, last = int(hit[a]), int(hit[z - 1]) + 1
+        if last - first < length:  # changed words at the ends
+            first = max(begin, first - (length - (last - first)))
+            last = min(end, first + length)
+        of = max(0, int(places[a:z].min()) - int(hit[a] - first))
+        ol = min(len(y), int(places[a:z].max()) + 1 + int(last - 1 - hit[z - 1]))
+        mine, other = set(x[first:last].tolist()), set(y[of:ol].tolist())
+        share = len(mine & other) / len(mine | other)
+        if share >= SIMILAR:
+            out.append((first, last, of, ol, share))
+            todo += [(low, begin), (end, high)]
+        elif end - begin > 2 * length:  # what recurs inside counts once: look at the halves
+            middle = (begin + end) // 2
+            todo += [(low, begin), (begin, middle + length // 2), (middle - length // 2, end), (end, high)]
     return out
 
 
+LINKS = "array<struct<begin:int,end:int,other_begin:int,other_end:int,similarity:double>>"
+
+
 def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
-    """docs: doc, text; grouped: lo, doc, w (aligned windows of the pair). The links of passage_links, verified."""
+    """docs: doc, text; grouped: lo, doc, w (aligned windows of the pair). Returns doc, other, links (similar passages)
+    and hits (runs of the document's shingles that the other one has there)."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))
-            rows = [(o, d, *r) for o, d, w in pairs for r in regions(w.as_py(), length)]
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["other", "doc", "l", "r", "ol", "or"])
+            pair, *places = regions(b.column(2), length)
+            ids = [b.column(k).take(pa.array(pair)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.int32()) for x in places)], names=["other", "doc", "l", "r", "ol", "or"])
 
     many = grouped.where(F.size("w") >= AGREE)
     candidates = stored(many.mapInArrow(merge, "other long, doc long, l int, r int, ol int, or int").withColumn("pair", F.monotonically_increasing_id()))
@@ -240,7 +309,7 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
         for b in batches:
             docs_, tiles, hashes = [], [], []
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = (shingles(x) >> np.uint64(32)).astype("<u4")
+                s = shingles(x).astype("<u8")
                 for k in range(0, len(s), TILE):
                     docs_.append(d)
                     tiles.append(k // TILE)
@@ -248,135 +317,105 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(tiles, pa.int32()), pa.array(hashes, pa.binary())], names=["doc", "tile", "hashes"])
 
     tiles = joined_ids(docs.select("doc", "text"), wanted, "doc", "left_semi").mapInArrow(tile, "doc long, tile int, hashes binary")
-    reach = lambda a, b: F.explode(F.sequence((F.col(a) / TILE).cast("int"), (F.col(b) / TILE).cast("int"))).alias("tile")
-    sides = candidates.select("pair", F.lit(0).alias("side"), "doc", reach("l", "r")).union(candidates.select("pair", F.lit(1).alias("side"), F.col("other").alias("doc"), reach("ol", "or")))
-    fetched = sides.join(tiles, ["doc", "tile"]).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("side", "doc", "tile", "hashes"))).alias("t"))
+    reach = lambda a, b: F.explode(F.sequence((F.greatest(F.col(a) - SLACK, F.lit(0)) / TILE).cast("int"), ((F.col(b) + SLACK) / TILE).cast("int"))).alias("tile")
+    shift = (F.col("ol") - F.col("l")).alias("shift")
+    sides = candidates.select("pair", F.lit(0).alias("side"), "doc", shift, reach("l", "r")).union(candidates.select("pair", F.lit(1).alias("side"), F.col("other").alias("doc"), shift, reach("ol", "or")))
+    fetched = sides.join(tiles, ["doc", "tile"]).groupBy("pair").agg(F.first("shift").alias("shift"), F.array_sort(F.collect_list(F.struct("side", "doc", "tile", "hashes"))).alias("t"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for (t,) in zip(b.column(0).to_pylist()):
+            for shift, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 mine, theirs = ([x for x in t if x["side"] == k] for k in (0, 1))
                 if not mine or not theirs:
                     continue
-                x, y = (np.frombuffer(b"".join(p["hashes"] for p in s), "<u4") for s in (mine, theirs))
+                x, y = (np.frombuffer(b"".join(p["hashes"] for p in s), "<u8") for s in (mine, theirs))
                 a, o = mine[0]["tile"] * TILE, theirs[0]["tile"] * TILE
-                rows += [(mine[0]["doc"], f + a, e + a, theirs[0]["doc"], g + o, h + o, s) for f, e, g, h, s in similar_passages(x, y, length)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc", "begin", "end", "other", "other_begin", "other_end", "similarity"])
+                hit, places = matches(x, y, shift + a - o, length)
+                found = similar_passages(x, y, hit, places, length) if len(hit) >= SIMILAR * length else []
+                cuts = np.flatnonzero(np.diff(hit) > 1)
+                runs = zip(hit[np.append(0, cuts + 1)].tolist(), hit[np.append(cuts, len(hit) - 1)].tolist()) if len(hit) else ()
+                rows.append((mine[0]["doc"], theirs[0]["doc"], [dict(zip(("begin", "end", "other_begin", "other_end", "similarity"), (f + a, e + a, g + o, h + o, s))) for f, e, g, h, s in found], [{"b": f + a, "e": e + a + 1} for f, e in runs]))
+            kinds = [pa.int64()] * 2 + [pa.list_(pa.struct([(n, pa.int32()) for n in ("begin", "end", "other_begin", "other_end")] + [("similarity", pa.float64())])), pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc", "other", "links", "hits"])
 
-    return stored(fetched.select("t").mapInArrow(verify, "doc long, begin int, end int, other long, other_begin int, other_end int, similarity double"))
-
-
-def in_arrays(members: DataFrame, *more: str) -> DataFrame:
-    """v, doc, the windows of the value in the document."""
-    return members.groupBy("v", "doc", *more).agg(F.collect_list(F.struct("l", "c", "r")).alias("mine"))
+    found = stored(fetched.select("shift", "t").mapInArrow(verify, f"doc long, other long, links {LINKS}, hits array<struct<b:int,e:int>>"))
+    forget(candidates)
+    forget(wanted)
+    return found
 
 
 def with_head(members: DataFrame, heads: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Links of the members of each group (v) with the group's head (heads: v, lo)."""
-    rows = stored(in_arrays(members).join(heads, "v"))
+    """The members of each group (v) compared with the group's head (heads: v, lo)."""
+    rows = stored(members.groupBy("v", "doc").agg(F.collect_list(F.struct("l", "c", "r")).alias("mine")).join(heads, "v"))
     of = rows.where("doc = lo").select("v", F.col("mine").alias("theirs"))
     pairs = rows.where("doc <> lo").join(of, "v")
-    grouped = pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("mine", "theirs", F.col("v").bitwiseAND(7).alias("j"))).alias("w"))
-    return compared(docs, grouped, length)
+    found = compared(docs, pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("mine", "theirs", F.col("v").bitwiseAND(7).alias("j"))).alias("w")), length)
+    forget(rows)
+    return found
 
 
-def left_open(members: DataFrame, heads: DataFrame, links: DataFrame) -> DataFrame:
-    """The members without the head; `open` are those that no passage shared with the head has the value's place of,
-    which so may share one with each other that the head has not."""
-    near = links.select("doc", F.col("other").alias("lo"), "begin", "end")
+def left_open(members: DataFrame, heads: DataFrame, found: DataFrame) -> DataFrame:
+    """v, doc, c of the groups, without their heads, in which some member has no passage at the value's place in common
+    with the head, and so may share one with another member that the head has not."""
+    near = found.select("doc", F.col("other").alias("lo"), F.explode("links").alias("x"))
     rest = members.join(heads, "v").where("doc <> lo")
-    held = rest.join(near, ["lo", "doc"]).where("begin <= c AND c < end").select("v", "doc", "c").distinct().withColumn("held", F.lit(True))
-    found = rest.join(held, ["v", "doc", "c"], "left").select("v", "doc", "l", "c", "r", (F.col("open") & F.col("held").isNull()).alias("open"))
-    some = found.groupBy("v").agg(F.max("open").alias("some"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("some AND a < b").select("v")
-    return stored(found.join(some, "v"))
-
-
-def with_each_other(members: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Links of all open members with all others that have the same two values at one place."""
-    kind = F.col("v").bitwiseAND(7)
-    one = members.select("doc", "l", "c", "r", "open", "v", kind.alias("j"))
-    two = members.select("doc", F.col("l").alias("l2"), F.col("c").alias("c2"), F.col("r").alias("r2"), F.col("open").alias("open2"), F.col("v").alias("v2"), kind.alias("j2"))
-    both = one.join(two, "doc").where("j < j2 AND r >= l2 AND r2 >= l").groupBy("v", "v2", "doc").agg(F.max(F.expr("open OR open2")).alias("open"))
-    keys = ["v", "v2"]
-    both = stored(both)
-    common = both.groupBy(*keys).agg(F.max("open").alias("some"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("some AND a < b").select(*keys)
-    both = stored(both.join(common, keys))
-    first = both.select(*keys, F.col("doc").alias("lo"), F.col("open").alias("oopen"))
-    pairs = both.join(first, keys).where("lo < doc AND (open OR oopen)").select("lo", "doc", F.explode(F.array(*keys)).alias("v")).distinct()
-    arrays = stored(in_arrays(members))
-    rows = pairs.join(arrays, ["v", "doc"]).join(arrays.select("v", F.col("doc").alias("lo"), F.col("mine").alias("theirs")), ["v", "lo"])
-    return compared(docs, rows.groupBy("lo", "doc").agg(F.collect_list(F.struct("mine", "theirs", kind.alias("j"))).alias("w")), length)
+    held = rest.join(near, ["lo", "doc"]).where("x.begin <= c AND c < x.end").select("v", "doc", "c").distinct().withColumn("held", F.lit(True))
+    flagged = stored(rest.join(held, ["v", "doc", "c"], "left").select("v", "doc", "c", "held"))
+    some = flagged.groupBy("v").agg(F.max(F.col("held").isNull()).alias("open"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("open AND a < b").select("v")
+    out = stored(flagged.join(some, "v").select("v", "doc", "c"))
+    forget(flagged)
+    return out
 
 
 def passage_links(docs: DataFrame, length: int) -> DataFrame:
-    """docs: doc, text. Returns doc, begin, end, other, other_begin, other_end (shingle numbers), similarity, round:
-    passages of a document and the ones, in another document, that they are near copies of.
-
-    Documents that share a value are compared with one of them, the head. Those that have no passage there in common
-    with it are compared with another head, and so on as long as this settles most of them, and then with all others."""
-    windows = window_rows(docs.select("doc", "text"), length)
-    shared = stored(windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v", "lo"))
-    members = stored(windows.join(shared.select("v"), "v").withColumn("open", F.lit(True)))
-    heads, all_links, before, nth = shared, None, None, 0
+    """docs: doc, text. Returns doc, begin, end, other, other_begin, other_end (shingle numbers), similarity: passages of
+    a document and the ones, in another document, that they are near copies of."""
+    texts, hidden, all_links = docs.select("doc", "text"), None, None
     while True:
-        links = with_head(members, heads, docs, length)
-        nth += 1
-        links_k = links.withColumn("round", F.lit(nth))
-        all_links = links_k if all_links is None else all_links.union(links_k)
-        members = left_open(members, heads, links)
-        sizes = members.groupBy("v").agg((F.count_if("open") * F.count("*")).alias("n"))
-        work = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-        if work == 0:
+        windows = stored(window_rows(texts, length))
+        groups = windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+        heads = stored(groups.select("v", "lo"))
+        members = stored(joined_ids(windows, heads.select("v"), "v", "left_semi"))
+        forget(windows)
+        found = with_head(members, heads, docs, length)
+        links = found.where(F.size("links") > 0).select("doc", "other", F.explode("links").alias("x")).select("doc", "x.begin", "x.end", "other", "x.other_begin", "x.other_end", "x.similarity")
+        all_links = links if all_links is None else all_links.union(links)
+        rest = left_open(members, heads, found)
+        forget(members)
+        if rest.isEmpty():
             return all_links
-        if work <= ALL_PAIRS or before and work > before / 2:
-            return all_links.union(with_each_other(members, docs, length).withColumn("round", F.lit(0)))
-        before = work
-        heads = stored(members.where("open").groupBy("v").agg(F.min("doc").alias("lo")))
-
-
-def class_links(links: DataFrame) -> DataFrame:
-    """doc, n_links: over the classes of passages that a document is in, the other members. A class is a head, what
-    overlaps at one place of it, and the documents linked to it there. Links of the last round (0) stand for a pair
-    each. Two documents that are together in an earlier class with the same passages count once."""
-    places = links.select("other", F.col("other_begin").alias("b"), F.col("other_end").alias("e")).distinct()
-    order = W.partitionBy("other").orderBy("b", "e")
-    reached = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
-    numbered = places.withColumn("new", F.when(F.col("b") < reached, 0).otherwise(1)).withColumn("place", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).select("other", F.col("b").alias("other_begin"), F.col("e").alias("other_end"), "place")
-    placed = stored(links.join(numbered, ["other", "other_begin", "other_end"]))
-    key = ["round", "head", "place"]
-    named = placed.where("round > 0").withColumn("head", F.col("other"))
-    held = named.select(*key, "doc", F.col("begin").alias("b"), F.col("end").alias("e")).union(named.select(*key, "other", "other_begin", "other_end")).distinct()
-    mine = held.select(*[F.col(x).alias(f"_{x}") for x in key], "doc", "b", "e")
-    theirs = held.select(*[F.col(x).alias(f"_{x}") for x in key], F.col("doc").alias("other"), F.col("b").alias("ob"), F.col("e").alias("oe"))
-    earlier = placed.join(mine, "doc").where("b < end AND begin < e AND (round = 0 OR _round < round OR _round = round AND _head < other)")
-    again = earlier.join(theirs, ["other", *(f"_{x}" for x in key)]).where("ob < other_end AND other_begin < oe").select("doc", "begin", "other", "other_begin", "round").distinct()
-    fresh = stored(placed.join(again, ["doc", "begin", "other", "other_begin", "round"], "left_anti").select("round", "other", "place", "doc").distinct())
-    star = fresh.where("round > 0")
-    of = star.union(star.select("round", "other", "place", F.col("other").alias("doc")).distinct())
-    sizes = of.groupBy("round", "other", "place").agg((F.count("*") - 1).alias("n"))
-    pairs = fresh.where("round = 0").select(F.explode(F.array("doc", "other")).alias("doc"), F.lit(1).cast("long").alias("n"))
-    return of.join(sizes, ["round", "other", "place"]).select("doc", "n").union(pairs).groupBy("doc").agg(F.sum("n").alias("n_links"))
+        hits = found.where(F.size("hits") > 0).select("doc", F.explode("hits").alias("m"))
+        places = rest.groupBy("doc").agg(F.collect_set("c").alias("active"))
+        masks = (hits if hidden is None else hits.union(hidden)).join(places.select("doc"), "doc", "left_semi").distinct()
+        state = stored(places.join(masks.groupBy("doc").agg(F.collect_list("m").alias("masked")), "doc", "left"))
+        hidden = state.select("doc", F.explode("masked").alias("m"))
+        texts = joined_ids(docs.select("doc", "text"), state.select("doc"), "doc", "left_semi").join(state, "doc").select("doc", "text", "active", "masked")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document that shares a passage of PASSAGE words or more, exactly or nearly, with another:
-    doc_id, class_id (least id of the documents that chains of such passages connect), n_links (for each
-    passage, the other texts that hold it: those matched with the same place of one text), n_words (words inside), passages (word numbers begin-end, end exclusive, comma-joined).
+    doc_id, class_id (least id of the documents that chains of such passages connect), n_links (the other documents of
+    the class), n_words (words inside), passages (word numbers begin-end, end exclusive, comma-joined).
 
     Documents with equal texts are compared once, as the one with the least id, whose row the others get with their
-    own id. Rows that share an id are one document; rows with a null id or text can't be named or compared and are
-    left out, as are texts under PASSAGE words. Passages that recur only within one document don't count. Ids are
-    integers. Other columns are not read; empty tables give no rows.
+    own id. Rows that share an id are one document, of which the text with the least hash is read; rows with a null id
+    or text can't be named or compared and are left out, as are texts under PASSAGE words. Passages that recur only
+    within one document don't count, and of a stretch that a document repeats word for word the first is compared and
+    listed. A very long text is hashed in one piece (some 50 bytes a word). Ids are integers. Other columns are not
+    read; an empty table gives no rows.
     """
     length = PASSAGE - SHINGLE + 1
     given = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     digest = [F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g"), F.octet_length("text").alias("n")]
-    names = stored(given.select("doc", *digest))
-    firsts = stored(names.groupBy("h", "g", "n").agg(F.min("doc").alias("first"), F.countDistinct("doc").alias("copies")))
-    same = stored(names.join(firsts.where("copies > 1"), ["h", "g", "n"]).select("doc", "first").distinct())
+    names = stored(given.select("doc", *digest).groupBy("doc").agg(F.min(F.struct("h", "g", "n")).alias("x"), F.count("*").alias("rows")).select("doc", "x.*", "rows"))
+    firsts = names.groupBy("h", "g", "n").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
+    same = stored(names.join(firsts.where("copies > 1"), ["h", "g", "n"]).select("doc", "first"))
     texts = joined_ids(given, stored(same.where("doc <> first").select("doc")), "doc", "left_anti")
+    several = stored(names.where("rows > 1").select("doc", "h"))
+    if not several.isEmpty():  # rows that share an id
+        chosen = joined_ids(texts, several.select("doc"), "doc", "left_semi").withColumn("h", F.xxhash64("text")).join(several, ["doc", "h"]).groupBy("doc").agg(F.first("text").alias("text"))
+        texts = joined_ids(texts, several.select("doc"), "doc", "left_anti").union(chosen)
     links = stored(passage_links(texts, length))
     roots = stored(components(links, "doc", "other"))
     spans = links.select("doc", "begin", "end").union(links.select(F.col("other").alias("doc"), F.col("other_begin").alias("begin"), F.col("other_end").alias("end")))
@@ -391,7 +430,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     merged = islands.groupBy("doc", "island").agg(F.min("begin").alias("begin"), (F.max("end") + SHINGLE - 1).alias("end"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "end"))), lambda x: F.concat_ws("-", x.begin, x.end)), ",")
     passages = merged.groupBy("doc").agg(F.sum(F.col("end") - F.col("begin")).cast("long").alias("n_words"), text.alias("passages"))
-    sides = class_links(links)
-    rows = stored(passages.join(sides, "doc", "left").join(roots, passages.doc == roots.node, "left").select("doc", F.coalesce("root", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_words", "passages"))
-    copies = same.where("doc <> first").join(rows.withColumnRenamed("doc", "first"), "first").select("doc", "class_id", "n_links", "n_words", "passages")
-    return rows.union(copies).withColumnRenamed("doc", "doc_id")
+    rows = stored(passages.join(roots, passages.doc == roots.node, "left").select("doc", F.coalesce("root", "doc").alias("class_id"), "n_words", "passages"))
+    every = stored(rows.union(same.where("doc <> first").join(rows.withColumnRenamed("doc", "first"), "first").select("doc", "class_id", "n_words", "passages")))
+    sizes = every.groupBy("class_id").agg((F.count("*") - 1).alias("n_links"))
+    return every.join(sizes, "class_id").select(F.col("doc").alias("doc_id"), "class_id", "n_links", "n_words", "passages")
