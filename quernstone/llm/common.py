@@ -80,5 +80,5 @@ BROADCAST_IDS = 1_000_000
 
 
 def joined_ids(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Semi or anti join of wide rows with a stored table of ids, without shuffling the rows while the ids are few."""
+    """Join of wide rows with a stored table of ids (and a number each), without shuffling the rows while the ids are few."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)

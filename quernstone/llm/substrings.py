@@ -30,10 +30,12 @@ TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 #: Words of a shingle and of the shortest passage; similarity of two passages' shingle sets.
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Hash functions (7 at most), and how many must agree on a place: comparing is exact, so one is enough. At
-#: similarity 0.8 one of four agrees with probability 0.998, two of four with 0.97.
-HASHES, AGREE = 4, 1
-#: Shingles of a tile, the unit in which texts are fetched for comparison, and shingles fetched beyond a candidate.
-TILE, SLACK = 64, 16
+#: similarity 0.8 one of three agrees with probability 0.992, two of three with 0.90.
+HASHES, AGREE = 3, 1
+#: Shingles of a tile, the unit in which texts are fetched for comparison, shingles fetched beyond a candidate (what a passage
+#: around a window can reach, so that members of a group get the same masks), and
+#: bytes of a shingle's hash in them.
+TILE, SLACK, BYTES = 64, 46, 6
 MOST_WORDS = 400_000
 #: Pairs of windows aligned at once.
 MOST_ALIGNED = 1 << 18
@@ -166,32 +168,23 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def regions(windows: pa.ListArray, length: int) -> tuple[np.ndarray, ...]:
-    """windows: of each pair the windows that share a value, mine and theirs. Returns the pair and the first and last
-    place in the document and in the other one of what overlaps, of enough hash functions. What is shifted by more than
-    a passage is apart: where a shingle recurs, each of its places is aligned with each."""
+    """windows: of each pair its windows (l, c, r), each with those of the head that share its value (theirs). Returns
+    the pair and the first and last place in the document and in the other one of what overlaps, of enough hash
+    functions. What is shifted by more than a passage is apart: where a shingle recurs, each of its places is aligned
+    with each."""
     pair, flat = np.repeat(np.arange(len(windows)), windows.value_lengths().to_numpy()), windows.flatten()
-    sides = []
-    for name in ("mine", "theirs"):
-        one = flat.field(name)
-        n = one.value_lengths().to_numpy().astype(np.int64)
-        places = one.flatten()
-        sides.append((n, np.cumsum(n) - n, *(places.field(x).to_numpy().astype(np.int64) for x in ("l", "c", "r"))))
-    (n, at, l, c, r), (m, of, l2, c2, r2) = sides
+    theirs = flat.field("theirs")
+    l, c, r, l2, c2, r2 = (side.field(x).to_numpy().astype(np.int64) for side in (flat, theirs.flatten()) for x in ("l", "c", "r"))
+    m = theirs.value_lengths().to_numpy().astype(np.int64)
+    of = np.cumsum(m) - m
     kinds, parts, begin = 1 << flat.field("j").to_numpy().astype(np.int64), [], 0
-    for end in np.append(np.flatnonzero(np.diff(np.cumsum(n * m) // MOST_ALIGNED)) + 1, len(n)).tolist():
-        k = np.arange(begin, end)
-        step = max(1, MOST_ALIGNED // max(1, int(m[k].sum()))) if end - begin == 1 else max(1, int(n[k].max(initial=1)))
-        some = []
-        for low in range(0, int(n[k].max(initial=0)), step):
-            taken = np.clip(n[k] - low, 0, step)
-            each = np.repeat(k, taken * m[k])
-            nth = np.arange(len(each)) - np.repeat(np.cumsum(taken * m[k]) - taken * m[k], taken * m[k])
-            x, y = at[each] + low + nth // m[each], of[each] + nth % m[each]
-            shift = c[x] - c2[y]
-            first, last = np.maximum(l[x], l2[y] + shift), np.minimum(r[x], r2[y] + shift)
-            near = last - first + 1 >= length - 2 * SHINGLE  # words more on one side shift what is beyond them
-            some.append(one_shift(np.stack([pair[each], kinds[each], shift, first, last])[:, near]))
-        parts += [one_shift(np.concatenate(some, axis=1)) if len(some) > 1 else x for x in some[:1]]
+    for end in np.append(np.flatnonzero(np.diff(np.cumsum(m) // MOST_ALIGNED)) + 1, len(m)).tolist():
+        x = np.repeat(np.arange(begin, end), m[begin:end])
+        y = np.arange(of[begin], of[begin] + len(x)) if end > begin else x
+        shift = c[x] - c2[y]
+        first, last = np.maximum(l[x], l2[y] + shift), np.minimum(r[x], r2[y] + shift)
+        near = last - first + 1 >= length - 2 * SHINGLE  # words more on one side shift what is beyond them
+        parts.append(one_shift(np.stack([pair[x], kinds[x], shift, first, last])[:, near]))
         begin = end
     spans = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
     spans = spans[:, np.lexsort((spans[2], spans[0]))]
@@ -309,7 +302,7 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
         for b in batches:
             docs_, tiles, hashes = [], [], []
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(x).astype("<u8")
+                s = shingles(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
                 for k in range(0, len(s), TILE):
                     docs_.append(d)
                     tiles.append(k // TILE)
@@ -317,10 +310,16 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(tiles, pa.int32()), pa.array(hashes, pa.binary())], names=["doc", "tile", "hashes"])
 
     tiles = joined_ids(docs.select("doc", "text"), wanted, "doc", "left_semi").mapInArrow(tile, "doc long, tile int, hashes binary")
-    reach = lambda a, b: F.explode(F.sequence((F.greatest(F.col(a) - SLACK, F.lit(0)) / TILE).cast("int"), ((F.col(b) + SLACK) / TILE).cast("int"))).alias("tile")
-    shift = (F.col("ol") - F.col("l")).alias("shift")
-    sides = candidates.select("pair", F.lit(0).alias("side"), "doc", shift, reach("l", "r")).union(candidates.select("pair", F.lit(1).alias("side"), F.col("other").alias("doc"), shift, reach("ol", "or")))
-    fetched = sides.join(tiles, ["doc", "tile"]).groupBy("pair").agg(F.first("shift").alias("shift"), F.array_sort(F.collect_list(F.struct("side", "doc", "tile", "hashes"))).alias("t"))
+    far = lambda c, by: F.greatest(F.col(c) + by, F.lit(0)).alias("to" if by > 0 else "from")
+    side = lambda k, doc, a, b: candidates.select("pair", F.lit(k).alias("side"), F.col(doc).alias("doc"), (F.col("ol") - F.col("l")).alias("shift"), far(a, -SLACK), far(b, SLACK))
+    sides = side(0, "doc", "l", "r").union(side(1, "other", "ol", "or")).withColumn("tile", F.explode(F.sequence((F.col("from") / TILE).cast("int"), (F.col("to") / TILE).cast("int"))))
+    begin, end = F.greatest(F.col("from") - F.col("tile") * TILE, F.lit(0)), F.least(F.col("to") + 1 - F.col("tile") * TILE, F.lit(TILE))
+    part = F.struct("side", "doc", (F.col("tile") * TILE + begin).alias("at"), F.substring("hashes", begin * BYTES + 1, (end - begin) * BYTES).alias("hashes"))
+    fetched = sides.join(tiles, ["doc", "tile"]).select("pair", "shift", part.alias("x")).groupBy("pair").agg(F.first("shift").alias("shift"), F.array_sort(F.collect_list("x")).alias("t"))
+
+    def joined(parts: list[dict]) -> np.ndarray:
+        read = np.frombuffer(b"".join(p["hashes"] for p in parts), np.uint8).reshape(-1, BYTES)
+        return np.pad(read, ((0, 0), (0, 8 - BYTES))).view("<u8").reshape(-1)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,8 +328,7 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
                 mine, theirs = ([x for x in t if x["side"] == k] for k in (0, 1))
                 if not mine or not theirs:
                     continue
-                x, y = (np.frombuffer(b"".join(p["hashes"] for p in s), "<u8") for s in (mine, theirs))
-                a, o = mine[0]["tile"] * TILE, theirs[0]["tile"] * TILE
+                x, y, a, o = joined(mine), joined(theirs), mine[0]["at"], theirs[0]["at"]
                 hit, places = matches(x, y, shift + a - o, length)
                 found = similar_passages(x, y, hit, places, length) if len(hit) >= SIMILAR * length else []
                 cuts = np.flatnonzero(np.diff(hit) > 1)
@@ -345,27 +343,21 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
     return found
 
 
-def with_head(members: DataFrame, heads: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The members of each group (v) compared with the group's head (heads: v, lo)."""
-    rows = stored(members.groupBy("v", "doc").agg(F.collect_list(F.struct("l", "c", "r")).alias("mine")).join(heads, "v"))
-    of = rows.where("doc = lo").select("v", F.col("mine").alias("theirs"))
-    pairs = rows.where("doc <> lo").join(of, "v")
-    found = compared(docs, pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("mine", "theirs", F.col("v").bitwiseAND(7).alias("j"))).alias("w")), length)
-    forget(rows)
-    return found
+def with_head(members: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The members of each group compared with the group's head (lo)."""
+    of = members.where("doc = lo").groupBy("v").agg(F.collect_list(F.struct("l", "c", "r")).alias("theirs"))
+    pairs = members.where("doc <> lo").join(of, "v")
+    return compared(docs, pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("l", "c", "r", "theirs", F.col("v").bitwiseAND(7).alias("j"))).alias("w")), length)
 
 
-def left_open(members: DataFrame, heads: DataFrame, found: DataFrame) -> DataFrame:
+def left_open(members: DataFrame, found: DataFrame) -> DataFrame:
     """v, doc, c of the groups, without their heads, in which some member has no passage at the value's place in common
     with the head, and so may share one with another member that the head has not."""
-    near = found.select("doc", F.col("other").alias("lo"), F.explode("links").alias("x"))
-    rest = members.join(heads, "v").where("doc <> lo")
-    held = rest.join(near, ["lo", "doc"]).where("x.begin <= c AND c < x.end").select("v", "doc", "c").distinct().withColumn("held", F.lit(True))
-    flagged = stored(rest.join(held, ["v", "doc", "c"], "left").select("v", "doc", "c", "held"))
-    some = flagged.groupBy("v").agg(F.max(F.col("held").isNull()).alias("open"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("open AND a < b").select("v")
-    out = stored(flagged.join(some, "v").select("v", "doc", "c"))
-    forget(flagged)
-    return out
+    near = found.where(F.size("links") > 0).groupBy("doc", F.col("other").alias("lo")).agg(F.flatten(F.collect_list("links")).alias("links"))
+    held = F.coalesce(F.exists("links", lambda x: (x.begin <= F.col("c")) & (F.col("c") < x.end)), F.lit(False))
+    flagged = stored(members.where("doc <> lo").join(near, ["lo", "doc"], "left").select("v", "doc", "c", held.alias("held")))
+    some = stored(flagged.groupBy("v").agg(F.min("held").alias("all"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("NOT all AND a < b").select("v"))
+    return joined_ids(flagged, some, "v", "left_semi")
 
 
 def passage_links(docs: DataFrame, length: int) -> DataFrame:
@@ -374,21 +366,19 @@ def passage_links(docs: DataFrame, length: int) -> DataFrame:
     texts, hidden, all_links = docs.select("doc", "text"), None, None
     while True:
         windows = stored(window_rows(texts, length))
-        groups = windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-        heads = stored(groups.select("v", "lo"))
-        members = stored(joined_ids(windows, heads.select("v"), "v", "left_semi"))
+        heads = stored(windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v", "lo"))
+        members = stored(joined_ids(windows, heads, "v", "inner"))
         forget(windows)
-        found = with_head(members, heads, docs, length)
-        links = found.where(F.size("links") > 0).select("doc", "other", F.explode("links").alias("x")).select("doc", "x.begin", "x.end", "other", "x.other_begin", "x.other_end", "x.similarity")
+        found = with_head(members, docs, length)
+        links = found.select("doc", "other", F.explode("links").alias("x")).select("doc", "x.begin", "x.end", "other", "x.other_begin", "x.other_end", "x.similarity")
         all_links = links if all_links is None else all_links.union(links)
-        rest = left_open(members, heads, found)
+        places = stored(left_open(members, found).groupBy("doc").agg(F.collect_set("c").alias("active")))
         forget(members)
-        if rest.isEmpty():
+        if places.isEmpty():
             return all_links
-        hits = found.where(F.size("hits") > 0).select("doc", F.explode("hits").alias("m"))
-        places = rest.groupBy("doc").agg(F.collect_set("c").alias("active"))
-        masks = (hits if hidden is None else hits.union(hidden)).join(places.select("doc"), "doc", "left_semi").distinct()
-        state = stored(places.join(masks.groupBy("doc").agg(F.collect_list("m").alias("masked")), "doc", "left"))
+        hits = found.select("doc", F.explode("hits").alias("m"))
+        masks = joined_ids(hits if hidden is None else hits.union(hidden), places.select("doc"), "doc", "left_semi")
+        state = stored(places.join(masks.groupBy("doc").agg(F.collect_set("m").alias("masked")), "doc", "left"))
         hidden = state.select("doc", F.explode("masked").alias("m"))
         texts = joined_ids(docs.select("doc", "text"), state.select("doc"), "doc", "left_semi").join(state, "doc").select("doc", "text", "active", "masked")
 
