@@ -1,10 +1,10 @@
 """Near-duplicate passages by compact windows.
 
-A text is a sequence of five-word shingles. For one hash function the Cartesian tree over the shingles' hash values
-has, for each node, the widest range in which it is the least: a compact window, which stands for all subsequences of
+A text is a sequence of tokens, overlapping runs of eight words (five would recur by chance in a large corpus). For
+one hash function the Cartesian tree over the tokens' hash values has, for each node, the widest range in which it is the least: a compact window, which stands for all subsequences of
 the range that contain the node and so have the same min-hash. Only ranges as long as a passage count, about 2/length
 of all nodes. Windows of different documents that share a value are a group and are joined to the group's first
-document, its head; overlapping aligned windows of all hash functions make one candidate, whose shingles are compared.
+document, its head; overlapping aligned windows of all hash functions make one candidate, whose five-word shingles are compared.
 
 A member that is not similar to its head may still share a passage with another member. Such groups go on without
 their head: whatever their members share with heads (a common line, say) is masked, and windows are formed anew over
@@ -29,12 +29,12 @@ from .components import components
 TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words of a shingle and of the shortest passage; similarity of two passages' shingle sets.
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
-#: Hash functions (7 at most), and how many must agree on a place: comparing is exact, so one is enough. At
-#: similarity 0.8 one of three agrees with probability 0.992, two of three with 0.90.
-HASHES, AGREE = 3, 1
-#: Shingles of a tile, the unit in which texts are fetched for comparison, shingles fetched beyond a candidate (what a passage
-#: around a window can reach, so that members of a group get the same masks), and
-#: bytes of a shingle's hash in them.
+#: Words of the tokens that are hashed; hash functions (7 at most), and how many must agree on a place. Comparing is
+#: exact, so one is enough: with one word of 50 changed a function agrees with probability 0.69 at least, one of four
+#: with 0.99, two of four with 0.91.
+TOKEN, HASHES, AGREE = 8, 4, 1
+#: Shingles of a tile, the unit in which texts are fetched for comparison; shingles fetched beyond a candidate (what a
+#: passage around a window can reach, so that members of a group get the same masks); bytes of a shingle's hash.
 TILE, SLACK, BYTES = 64, 46, 6
 MOST_WORDS = 400_000
 #: Pairs of windows aligned at once.
@@ -61,6 +61,15 @@ def shingles(text: str) -> np.ndarray:
     return out
 
 
+def tokens(s: np.ndarray) -> np.ndarray:
+    """The hash of each run of TOKEN words, from those of the shingles that make it up."""
+    n = len(s) - (TOKEN - SHINGLE)
+    out = s[: max(0, n)].copy()
+    for i in range(1, TOKEN - SHINGLE + 1):
+        out = mixed(out * np.uint64(FACTOR) + s[i : n + i] if n > 0 else out)
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -119,8 +128,8 @@ class Powers:
 
 
 def window_rows(docs: DataFrame, length: int) -> DataFrame:
-    """v (hash function and value), doc, l, c, r of compact windows; places are shingle numbers of the text, and ranges
-    reach no further than a passage from the node. Of the windows of a document whose surroundings are equal, word for
+    """v (hash function and value), doc, l, c, r of compact windows; places are the numbers of tokens, and of the shingles
+    that they begin with, and ranges reach no further than a passage (of `length` tokens) from the node. Of the windows of a document whose surroundings are equal, word for
     word, the first stands for all.
 
     docs: doc, text and, from the second round on, active (nodes of windows to go on with: only the shingles around
@@ -132,7 +141,7 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             active, masked = (b.column(2).to_pylist(), b.column(3).to_pylist()) if again else (None, None)
             for begin, end in slices([len(x) for x in texts]):
-                parts = [shingles(x) for x in texts[begin:end]]
+                parts = [tokens(shingles(x)) for x in texts[begin:end]]
                 use = [i for i, p in enumerate(parts) if len(p) >= length]
                 if not use:
                     continue
@@ -146,7 +155,7 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
                         for c in active[begin + i]:
                             bounds[s + max(0, c - length + 1) : s + min(c + length, len(parts[i]))] = False
                         for m in masked[begin + i] or ():
-                            gone[s + m["b"] : s + m["e"]] = True
+                            gone[s + m["b"] : s + max(m["b"], m["e"] - TOKEN + SHINGLE)] = True
                 ends = np.append(starts[1:] - 1, len(joined) - 1)
                 bounds[starts - 1] = bounds[-1] = True
                 around, found = Powers(joined), []
@@ -183,7 +192,7 @@ def regions(windows: pa.ListArray, length: int) -> tuple[np.ndarray, ...]:
         y = np.arange(of[begin], of[begin] + len(x)) if end > begin else x
         shift = c[x] - c2[y]
         first, last = np.maximum(l[x], l2[y] + shift), np.minimum(r[x], r2[y] + shift)
-        near = last - first + 1 >= length - 2 * SHINGLE  # words more on one side shift what is beyond them
+        near = last - first + 1 >= length - 2 * TOKEN  # words more on one side shift what is beyond them
         parts.append(one_shift(np.stack([pair[x], kinds[x], shift, first, last])[:, near]))
         begin = end
     spans = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
@@ -365,7 +374,7 @@ def passage_links(docs: DataFrame, length: int) -> DataFrame:
     a document and the ones, in another document, that they are near copies of."""
     texts, hidden, all_links = docs.select("doc", "text"), None, None
     while True:
-        windows = stored(window_rows(texts, length))
+        windows = stored(window_rows(texts, length - TOKEN + SHINGLE))
         heads = stored(windows.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("v", "lo"))
         members = stored(joined_ids(windows, heads, "v", "inner"))
         forget(windows)
