@@ -87,8 +87,7 @@ def d2_secret_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def d1_redact(spark: SparkSession, d: str) -> DataFrame:
     rows = planted(spark).unionByName(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    found = rows.select("id", R.masked(F.coalesce("text", F.lit(""))).alias("m"))
-    return found.select(F.explode("m.hits").alias("h")).groupBy("h.rule", "h.type").agg(F.count("*").alias("n"))
+    return R.redacted(rows, "text").select(F.explode("hits").alias("h")).groupBy("h.rule", "h.type").agg(F.sum("h.n").alias("n"))
 
 
 def d4_assigned(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +108,7 @@ def a15_mask_tally(spark: SparkSession, d: str) -> DataFrame:
 
 def d7_elide(spark: SparkSession, d: str) -> DataFrame:
     payload = F.concat(F.lit('{"media_type":"image/png","data":"iVBORw0KGgo'), F.repeat(F.lit("QUJD"), (F.pmod("page_id", F.lit(5)) * 100).cast("int")), F.lit('"}'))
-    return table(spark, d, "pages").select("page_id", R.elided(payload).alias("text"))
+    return R.elided(table(spark, d, "pages").select("page_id", payload.alias("text")), "text", "text").select("page_id", "text")
 
 
 def r13_snippets(spark: SparkSession, d: str) -> DataFrame:

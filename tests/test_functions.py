@@ -4,9 +4,7 @@ import base64
 from datetime import UTC, datetime
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
-from quernstone.functions.redact import elide, redact
+from quernstone.functions import redact as R
 from quernstone.functions.snippets import dense_snippet
 from quernstone.functions.when import parse_when
 from quernstone.operators.search import term_query
@@ -48,38 +46,65 @@ SECRETS = {
 }
 
 
-@pytest.mark.parametrize("kind", sorted(SECRETS))
-def test_redact_providers(kind):
-    text, hits = redact(f"before {SECRETS[kind]} after")
-    assert [h[1] for h in hits] == [kind] and SECRETS[kind] not in text and text.startswith("before ‹redacted:")
-    assert redact(text) == (text, [])
+def redact(spark, texts):
+    rows = R.redacted(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text").orderBy("i").collect()
+    return [(r.masked, [(h.rule, h.type) for h in r.hits or () for _ in range(h.n)]) for r in rows]
 
 
-def test_redact_conditions():
-    assert redact('api_token = "q8Zr2Lx9Vw4Tn6Bk"')[1][0][:2] == ("generic-assignment", "generic")
-    assert redact("monkey = 'q8Zr2Lx9Vw4Tn6Bk'")[1] == []
-    assert redact("token = process.env.TOKEN_VALUE")[1] == []
-    assert redact("token == q8Zr2Lx9Vw4Tn6Bk")[1] == []
-    assert redact("postgres://app:q8Zr2Lx9@db/x")[1][0][1] == "basic-auth"
-    assert redact("postgres://app:test@db/x")[1] == []
-    assert redact("id 123e4567-e89b-12d3-a456-426614174000 sha " + "ab12" * 10)[1] == []
-    assert redact("k Zk9mQ2xR7vT4nW8pL3sB6yH1jD5fG0cAZk9x ")[1][0][1] == "entropy"
+def test_redact_providers(spark):
+    given = [f"before {SECRETS[k]} after" for k in sorted(SECRETS)]
+    found = redact(spark, given)
+    for k, (text, hits) in zip(sorted(SECRETS), found):
+        assert [h[1] for h in hits] == [k] and SECRETS[k] not in text and text.startswith("before ‹redacted:") and text.endswith("› after")
+    assert redact(spark, [t for t, _ in found]) == [(t, []) for t, _ in found]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=200))
-def test_redact_is_idempotent(text):
-    once = redact(text)[0]
-    assert redact(once)[0] == once
+#: A text, and rule and type of its hits.
+CONDITIONS = [
+    ('api_token = "q8Zr2Lx9Vw4Tn6Bk"', ("generic-assignment", "generic")), ("apiKey: q8Zr2Lx9Vw4Tn6Bk, x", ("generic-assignment", "generic")), ("password := `q8Zr2Lx9Vw4Tn6Bk`", ("generic-assignment", "generic")), ("Authorization: Bearer q8Zr2Lx9Vw4Tn6BkA1", ("authorization-bearer", "generic")),
+    ("monkey = 'q8Zr2Lx9Vw4Tn6Bk'", None), ("token = process.env.TOKEN_VALUE", None), ("token == q8Zr2Lx9Vw4Tn6Bk", None), ("token != q8Zr2Lx9Vw4Tn6Bk", None), ("secret = your-key-goes-here", None), ("key = 1234567890123", None),
+    ("postgres://app:q8Zr2Lx9@db/x", ("basic-auth-url", "basic-auth")), ("postgres://app:test@db/x", None), ("id 123e4567-e89b-12d3-a456-426614174000 sha " + "ab12" * 10, None), ("k Zk9mQ2xR7vT4nW8pL3sB6yH1jD5fG0cAZk9x ", ("high-entropy-token", "entropy")),
+    ("x\\nZk9mQ2xR7vT4nW8pL3sB6yH1jD5fG0cAZk9x", ("high-entropy-token", "entropy")), ("abcdefghijklmnopqrstuvwxyz0123", None), ("sha256-Zk9mQ2xR7vT4nW8pL3sB6yH1jD5fG0cAZk9x", None), ("req_Zk9mQ2xR7vT4nW8pL3sB6yH1jD5fG0cAZk9x", None), ("", None), (None, None),
+]
 
 
-def test_elide():
+def test_redact_conditions(spark):
+    for (given, want), (text, hits) in zip(CONDITIONS, redact(spark, [t for t, _ in CONDITIONS])):
+        assert hits == ([want] if want else []), given
+        assert (text == given) == (want is None)
+    assert "\\n‹redacted:" in redact(spark, ["x\\nZk9mQ2xR7vT4nW8pL3sB6yH1jD5fG0cAZk9x"])[0][0]
+
+
+def test_redact_masks_in_rule_order_and_keeps_protected_spans(spark):
+    aws = SECRETS["aws"]
+    inside = f"data:image/png;base64,{aws}AAAA"
+    (text, hits), = redact(spark, [f'token = "{aws}" {inside} \ue000\ue001 {aws} twice {aws}'])
+    assert hits == [("aws-access-key-id", "aws")] * 3 and text.count("‹redacted:aws:") == 3 and inside in text and "\ue000\ue001" in text
+
+
+def test_redact_is_idempotent(spark):
+    import random
+
+    r = random.Random(4)
+    pieces = [*SECRETS.values(), " ", "\n", "‹redacted:aws:01234567›", "token = ", "'", '"', "‹", "›", "\ue000\ue001", "Bearer ", "Zk9mQ2xR7vT4nW8pL3sB6yH1jD5fG0cAZk9x", "\\", "%41", "漢", "://a:", "@"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randrange(1, 12))) for _ in range(300)]
+    once = [t for t, _ in redact(spark, texts)]
+    assert [t for t, _ in redact(spark, once)] == once
+
+
+def elide(spark, texts):
+    return [r.elided for r in R.elided(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text").orderBy("i").collect()]
+
+
+def test_elide(spark):
     payload = "iVBORw0KGgo" + base64.b64encode(bytes(600)).decode().rstrip("=")
-    assert elide(f"x data:image/png;base64,{payload} y") == f"x ‹elided:image/png:{len(payload) + 22} bytes› y"
-    assert elide(f" {payload} ") == f" ‹elided:image/png:{len(payload)} bytes› "
-    assert elide("A" * 900) == "A" * 900
-    once = elide(f" {payload} ")
-    assert elide(once) == once
+    plain = base64.b64encode(bytes(range(256)) * 3).decode()
+    texts = [f"x data:image/png;base64,{payload} y", f" {payload} ", "A" * 900, f'{{"media_type": "image/webp", "data": "{plain}"}} and {{"type": "base64", "data": "{plain}"}}', f'{{"data": "{plain}"}}', None, "iVBORw0KGgo" + "A" * 3_000_000]
+    n = len(plain)
+    want = [f"x ‹elided:image/png:{len(payload) + 22} bytes› y", f" ‹elided:image/png:{len(payload)} bytes› ", "A" * 900, f'{{"media_type": "image/webp", "data": "‹elided:image/webp:{n} bytes›"}} and {{"type": "base64", "data": "‹elided:application/octet-stream:{n} bytes›"}}', texts[4], None, "‹elided:image/png:3000011 bytes›"]
+    found = elide(spark, texts)
+    assert found == want
+    assert elide(spark, found) == found
 
 
 def test_snippet():
