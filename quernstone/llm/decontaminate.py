@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import BROADCAST_IDS, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words, once A-Z are lower case.
@@ -59,7 +59,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     keyed = stored(rarest_words(docs, windows, text_col, small))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("w"))
     near = rows.select("doc_id", "key", "w", F.posexplode_outer("w").alias("at", "word"))
-    if not small:  # only the words that a window can reach travel
+    if not small:  # only the places of chosen words travel, each with the words that a window can reach
+        chosen = stored(keyed.select("word").distinct())
+        if chosen.count() <= BROADCAST_IDS:
+            near = near.join(F.broadcast(chosen), "word", "left_semi")
         near = near.select("doc_id", "key", "word", F.least("at", F.lit(size - 1)).alias("at"), F.slice("w", F.greatest(F.col("at") - size + 2, F.lit(1)), 2 * size - 1).alias("w"), F.greatest(F.col("at") - size + 1, F.lit(0)).alias("before"))
     else:
         near = near.withColumn("before", F.lit(0))

@@ -7,7 +7,6 @@ cost of the text in that language, and the cheapest language wins.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -19,11 +18,13 @@ from pyspark.sql import types as T
 
 from .common import held_out, slices
 
-#: Bounds of the learned sample: characters a language, characters in all, characters of one row, languages.
-LANG_CHARS, ALL_CHARS, ROW_CHARS, MOST_LANGS = 60_000, 400_000, 2_000, 256
-#: Letters with a symbol of their own; others share one. 0 stands for any run of non-letters.
-ALPHABET = 64
-#: A phrase ends at the end of a block, so that blocks of all texts are parsed side by side.
+#: Bounds of the learned sample: characters a language at most and at least, characters in all (however many languages
+#: there are, each has the least), characters of one row.
+LANG_CHARS, LEAST_CHARS, ALL_CHARS, ROW_CHARS = 60_000, 1_000, 400_000, 2_000
+#: Entries of a language's transition table. Every letter of its sample has a symbol of its own there, so the sample of a
+#: script with thousands of letters is shorter; letters that the sample lacks end a phrase.
+ENTRIES = 1 << 24
+#: A phrase ends at the end of a block, in every language alike, so that blocks of all texts are parsed side by side.
 BLOCK = 1024
 
 
@@ -32,10 +33,10 @@ def sample_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     learn = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     part = F.substring(text_col, 1, ROW_CHARS)
     sizes = learn.groupBy(F.col(lang_col).alias("lang")).agg(F.sum(F.length(part)).alias("n"))
-    counts = [(r.lang, r.n) for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()]
+    counts = [(r.lang, r.n) for r in sizes.orderBy(F.desc("n"), "lang").collect()]
     if not counts:
         return {}
-    most = min(LANG_CHARS, ALL_CHARS // len(counts))
+    most = min(LANG_CHARS, max(LEAST_CHARS, ALL_CHARS // len(counts)))
     # 1.5 times as many characters as wanted are expected below the threshold, so that few languages fall short
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, 1.5 * most / n)))])
     spread = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
@@ -86,22 +87,29 @@ def letters() -> np.ndarray:
 class Languages:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in samples]
-        seen = Counter(c for _, x in samples for c in x.lower() if c.isalpha())
-        own = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]]
-        self.symbol = np.where(letters(), np.uint8(len(own) + 1), np.uint8(0))
-        self.symbol[[ord(c) for c in own]] = np.arange(1, len(own) + 1, dtype=np.uint8)
-        self.width = len(own) + 2
-        self.tables, self.bits = [], []
+        # the letters of all samples, by number; 0 stands for any run of non-letters, the last for all other letters
+        every = sorted({c for _, x in samples for c in x.lower() if c.isalpha()})
+        self.symbol = np.where(letters(), np.int32(len(every) + 1), np.int32(0))
+        self.symbol[[ord(c) for c in every]] = np.arange(1, len(every) + 1, dtype=np.int32)
+        self.tables, self.bits, self.own, self.widths = [], [], [], []
         for _, text in samples:
             symbols = self.symbols([text])[0]
-            step = suffix_automaton(symbols.tolist())
-            first = np.zeros(self.width, np.int32) + 1  # a missing symbol: back to the start, a phrase counted
+            width = len(np.unique(symbols)) + 2
+            symbols = symbols[: max(1, ENTRIES // (2 * width))]  # an automaton has less than two states a symbol
+            own = np.full(len(every) + 2, width - 1, np.int32)
+            own[0] = 0
+            there = np.unique(symbols[symbols > 0])
+            own[there] = np.arange(1, len(there) + 1)
+            step = suffix_automaton(own[symbols].tolist())
+            first = np.zeros(width, np.int32) + 1  # a missing symbol: back to the start, a phrase counted
             for c, to in step[0].items():
                 first[c] = to << 1 | 1
             flat = np.tile(first, len(step))
-            at = [s * self.width + c for s, x in enumerate(step) for c in x]
+            at = [s * width + c for s, x in enumerate(step) for c in x]
             flat[at] = [to << 1 for x in step for to in x.values()]
             self.tables.append(flat)
+            self.own.append(own)
+            self.widths.append(np.int32(width))
             self.bits.append(float(np.log2(len(symbols) + 2)))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +141,10 @@ class Languages:
             columns.append(kinds[start[: active[t]] + t])
         for k, table in enumerate(self.tables):
             state, phrases = np.zeros(len(of), np.int32), np.zeros(len(of), np.int32)
-            width = np.int32(self.width)
+            width, own = self.widths[k], self.own[k]
             for c in columns:
                 m = len(c)
-                went = table[state[:m] * width + c]
+                went = table[state[:m] * width + own[c]]
                 phrases[:m] += went & 1
                 state[:m] = went >> 1
             phrases += state > 0

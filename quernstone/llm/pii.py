@@ -15,7 +15,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +32,8 @@ TRIGGER = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|\s+|.", re.S)
 #: Tokens and characters of the longest span, words around a trigger that its region takes in, and their length.
 MOST_TOKENS, MOST_CHARS, AROUND, REACH = 14, 72, 2, 60
+#: Characters from which a region is cut at a line end; at twice as many it is at a blank.
+MOST_REGION = 4096
 #: Words that announce a secret.
 CUES = ("password", "passwd", "pwd", "token", "secret", "key", "apikey", "auth")
 #: Of the training: generated sentences, passes, step.
@@ -81,7 +83,7 @@ def shape(s: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", "".join("9" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isupper() else c for c in s))
 
 
-@cache
+@lru_cache(maxsize=4096)  # workers outlive a job
 def whole_span(s: str) -> tuple[str, ...]:
     """Features of a span that do not depend on its surroundings."""
     digits = [c for c in s if "0" <= c <= "9"]
@@ -258,10 +260,15 @@ def triggered(text: str) -> Iterator[tuple[int, int]]:
     while m:
         a, b = m.start(), m.end()
         for _ in range(AROUND + 1):
-            a = max(text.rfind(" ", 0, max(0, a - 1)) + 1, m.start() - REACH, 0)
-            b = min(x if (x := text.find(" ", b + 1)) >= 0 else len(text), m.end() + REACH, len(text))
+            low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+            a = max(text.rfind(" ", low, max(low, a - 1)) + 1, low)
+            b = x if (x := text.find(" ", b + 1, high)) >= 0 else high
         if end is not None and a <= end:
             end = b
+            # no span holds a line end; a stretch without any is cut at a blank
+            if end - begin > MOST_REGION and (cut := max(text.rfind("\n", begin, end), begin) if end - begin <= 2 * MOST_REGION else text.rfind(" ", begin, end)) > begin:
+                yield begin, cut
+                begin = cut
         else:
             if end is not None:
                 yield begin, end

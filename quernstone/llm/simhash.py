@@ -25,8 +25,9 @@ from .components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SEED = 42
-#: Fingerprints a shard should own, and the sample that the upper tree is fitted to (fingerprints in all).
-SHARD, SAMPLE = 16_384, 8_192
+#: Fingerprints a shard should own; the sample that the upper tree is fitted to: fingerprints of each shard, and in
+#: all at least and at most (32 MB in the driver; beyond it shards grow with the table).
+SHARD, OF_SHARD, LEAST_SAMPLE, MOST_SAMPLE = 16_384, 64, 8_192, 1 << 22
 #: Own fingerprints of a leaf, and comparisons made at once.
 LEAF, BLOCK = 192, 1 << 20
 
@@ -86,7 +87,7 @@ def halves(points: np.ndarray, random: np.random.Generator) -> tuple[np.uint64,
 
 def fit_tree(sample: np.ndarray, depth: int, random: np.random.Generator, at: int = 1) -> dict[int, tuple[np.uint64, int]]:
     """The upper tree: node number -> vantage point, radius. Children of node n: 2n inside, 2n + 1 outside."""
-    if depth == 0 or len(sample) < 8 or not (cut := halves(sample, random)):
+    if depth == 0 or len(sample) < OF_SHARD // 2 or not (cut := halves(sample, random)):
         return {}
     inside = distance(sample, cut[0]) <= cut[1]
     return {at: cut} | fit_tree(sample[inside], depth - 1, random, 2 * at) | fit_tree(sample[~inside], depth - 1, random, 2 * at + 1)
@@ -165,7 +166,8 @@ def near_links(prints: DataFrame, within: int = 3) -> DataFrame:
     tree: dict = {}
     if depth:
         spread = F.pmod(F.xxhash64("f"), F.lit(1 << 30)) / float(1 << 30)
-        sample = np.array(sorted(r.f for r in prints.where(spread < SAMPLE / n).collect()), np.int64).view(np.uint64)
+        size = min(MOST_SAMPLE, max(LEAST_SAMPLE, OF_SHARD << depth))
+        sample = np.sort(prints.where(spread < size / n).toArrow().column("f").to_numpy()).view(np.uint64)
         tree = fit_tree(sample, depth, np.random.default_rng(7))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from quernstone.llm import decontaminate, langid, linededup, packing, pii, quality, simhash, substrings, tokencount, toxicity
 
-CLASH = ["key", "word", "w", "f", "doc", "at", "n", "end", "score", "held_out", "raw", "rank", "node", "root", "line_text", "n_lines", "bin", "length", "shard", "items", "win", "x", "__text", "__id", "least", "component_id", "h"]
+CLASH = ["key", "word", "w", "f", "doc", "at", "n", "end", "score", "held_out", "raw", "rank", "node", "root", "line_text", "n_lines", "bin", "length", "shard", "items", "win", "x", "__text", "__id", "least", "component_id", "h", "__doc", "__key", "__gone", "__of", "lines_gone", "own", "c", "v"]
 
 
 def bench(spark):

@@ -60,6 +60,32 @@ def test_languages_learned_without_the_held_out(spark):
     assert sample_languages(docs, "doc_id", "text", "lang") == sample_languages(hidden, "doc_id", "text", "lang")
 
 
+def test_languages_with_large_scripts_and_many_languages():
+    from quernstone.llm.langid import Languages
+
+    r = random.Random(12)
+    scripts = {"aa": [chr(0x4E00 + i) for i in range(1500)], "bb": [chr(0xAC00 + i) for i in range(1500)], "cc": list("abcdefghijklm"), "dd": list("nopqrstuvwxyz")}
+    lexicon = {k: ["".join(r.choice(v) for _ in range(r.randrange(2, 7))) for _ in range(300)] for k, v in scripts.items()}
+    say = lambda k, n: " ".join(r.choice(lexicon[k]) for _ in range(n))
+    model = Languages(tuple((k, say(k, 3000)) for k in sorted(lexicon)))
+    asked = [(k, say(k, 20)) for k in lexicon for _ in range(20)]
+    assert model.predict([x for _, x in asked])[0] == [k for k, _ in asked]
+    lexicon = {f"l{i:03}": ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(40)] for i in range(300)}
+    model = Languages(tuple((k, say(k, 120)) for k in sorted(lexicon)))
+    asked = [(k, say(k, 12)) for k in r.sample(sorted(lexicon), 40)]
+    assert np.mean([a == k for a, (k, _) in zip(model.predict([x for _, x in asked])[0], asked)]) > 0.95
+
+
+def test_personal_data_in_long_stretches_of_digits():
+    import time
+
+    began = time.time()
+    assert len(list(pii.triggered("1" * 1_000_000))) == 1  # one token
+    found = list(pii.triggered("7 " * 500_000))
+    assert time.time() - began < 60 and max(b - a for a, b in found) <= 2 * pii.MOST_REGION + 2 * pii.REACH
+    assert found[0][0] == 0 and all(x[1] >= y[0] for x, y in zip(found, found[1:]))
+
+
 @pytest.fixture(scope="module")
 def libraries():
     from tokenizers import Tokenizer
