@@ -40,9 +40,10 @@ def token_cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.sqrt(n))
 
 
-def text_windows(text: Column, size: int, stride: float = 0.75, most: int = 256) -> Column:
-    """Overlapping windows of a text: begin (from 1) and text, at most `most` of them."""
+def text_windows(text: Column, size: int, stride: float = 0.75, most: int | None = None) -> Column:
+    """Overlapping windows of a text: begin (from 1) and text; all of them, or the first `most` (256 is usual for cards)."""
     step = max(1, int(size * stride))
     last = F.greatest(F.lit(1), F.char_length(text) - size + step)
-    starts = F.slice(F.sequence(F.lit(1), last, F.lit(step)), 1, most)
+    starts = F.sequence(F.lit(1), last, F.lit(step))
+    starts = starts if most is None else F.slice(starts, 1, most)
     return F.transform(starts, lambda s: F.struct(s.alias("begin"), F.substr(text, s, F.lit(size)).alias("text")))

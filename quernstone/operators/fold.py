@@ -29,8 +29,9 @@ def last_values(rows: DataFrame, group: str, order: str, columns: list[str]) ->
 
 
 def pair_results(calls: DataFrame, results: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Calls with the last result of the same keys; results without a call are dropped."""
-    last = results.groupBy(*keys).agg(F.max_by("result", order).alias("result"), F.max_by("is_error", order).alias("is_error"))
+    """Calls with the last result of the same keys, and whether any of its results was an error; results without a call
+    are dropped."""
+    last = results.groupBy(*keys).agg(F.max_by("result", order).alias("result"), F.max("is_error").alias("is_error"))
     return calls.join(last, keys, "left")
 
 

@@ -28,10 +28,12 @@ def orphans(rows: DataFrame, session: str) -> DataFrame:
     return rows.where(F.col(session).isNull() | (F.col(session).cast("string") == "")).agg(F.count("*").alias("n"))
 
 
-def rebuild(log: DataFrame, on_disk: DataFrame, index: DataFrame, session: str) -> DataFrame:
+def rebuild(log: DataFrame, on_disk: DataFrame, index: DataFrame, session: str, order: str | None = None) -> DataFrame:
     """Ghosts: logged sessions that are not on disk, with a title: the index's summary, else the first substantive
-    prompt, cut, else the id. index: session, summary, message_count, branch, the first row of an id counts."""
-    first = index.dropDuplicates([session]).select(session, "summary", "message_count", "branch")
+    prompt, cut, else the id. index: session, summary, message_count, branch; of an id the first row by `order` counts
+    (without one the least row, so that the result is the same each time)."""
+    fields = F.struct("summary", "message_count", "branch")
+    first = index.groupBy(session).agg(F.min_by(fields, F.col(order) if order else fields).alias("x")).select(session, "x.*")
     gone = log.join(on_disk.select(session).distinct(), session, "left_anti").join(first, session, "left")
     good = F.filter("texts", lambda x: substantive(x.text))
     title = F.coalesce(F.nullif(F.trim("summary"), F.lit("")), derived_title(F.get(good, F.lit(0)).text), F.concat(F.lit("session "), F.substring(F.col(session).cast("string"), 1, 8)))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.vector import cosine, l2, l2_to_cosine
@@ -45,6 +46,36 @@ def nearest_many(rows: DataFrame, key: str, vector: str, probes: np.ndarray, nam
     return found.groupBy("probe").agg(F.explode(top).alias("t")).select("probe", F.col("t.key").alias(key), "t.distance")
 
 
+def nearest_to_rows(rows: DataFrame, key: str, vector: str, probes: DataFrame, n: int, block: int = 2048) -> DataFrame:
+    """probe, key, distance, similarity: of each row of probes (key, vector) the n nearest of rows.
+
+    Both tables are dealt into blocks of about `block` vectors by a hash of the key, every block of probes meets every
+    block of rows in one matrix product, and the n nearest of each block are merged; nothing passes the driver but the
+    two counts. Null vectors are left out; ties go by key."""
+    have = rows.where(F.col(vector).isNotNull()).select(key, vector)
+    asked = probes.where(F.col(vector).isNotNull()).select(F.col(key).alias("probe"), F.col(vector).alias("pv"))
+    dealt = lambda df, c, seed, name: (k := max(1, -(-df.count() // block)), df.groupBy(F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(k)).alias(name)))[1]
+    left = dealt(asked, "probe", 1, "pb").agg(F.collect_list("probe").alias("probes"), F.collect_list("pv").alias("pvs"))
+    right = dealt(have, key, 2, "rb").agg(F.collect_list(key).alias("keys"), F.collect_list(vector).alias("vs"))
+    p, k = rows.schema[key].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for names, pvs, keys, vs in zip(b.probes, b.pvs, b["keys"], b.vs):
+                x, y, keys, names = np.stack(vs).astype(float), np.stack(pvs).astype(float), np.asarray(keys), np.asarray(names)
+                rough = (x**2).sum(1)[None, :] - 2 * y @ x.T
+                # the cut is inclusive, with room for rounding; the distances of what passes are computed plainly
+                cut = np.partition(rough, n - 1, axis=1)[:, n - 1 : n] if len(keys) > n else np.full((len(names), 1), np.inf)
+                i, j = np.nonzero(rough <= cut + 1e-9 * (1 + np.abs(cut)))
+                far = np.sqrt(((y[i] - x[j]) ** 2).sum(1))
+                yield pd.DataFrame({"probe": names[i], "key": keys[j], "distance": far})
+
+    met = left.crossJoin(right).select("probes", "pvs", "keys", "vs").mapInPandas(run, f"probe {p}, key {k}, distance double")
+    top = F.row_number().over(W.partitionBy("probe").orderBy("distance", "key"))
+    found = met.withColumn("__n", top).where(F.col("__n") <= n)
+    return found.select("probe", F.col("key").alias(key), "distance", l2_to_cosine(F.col("distance")).alias("similarity"))
+
+
 def best_matches(units: DataFrame, items: DataFrame, group: str, unit: str, vector: str, item: str) -> DataFrame:
     """group, unit, similarity, item: each unit's most similar item of its own group (the first of equal ones); a unit
     without any has similarity 0. Items of a group are a card's, a few dozen."""

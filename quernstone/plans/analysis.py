@@ -27,7 +27,7 @@ def c2_boilerplate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c3_substantive(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", T.substantive(F.substring("text", 1, 9)).alias("substantive"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.substantive(F.col("text")).alias("substantive"))
 
 
 def c4_tag_norm(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,7 @@ def g13_recent_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g11_fair_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    return C.fair_excerpts(units(spark, d).where("conv_id < 12"), "conv_id", "seq", "chars", 6000).select("conv_id", "seq", "round")
+    return C.fair_excerpts(units(spark, d), "conv_id", "seq", "chars", 200_000).select("conv_id", "seq", "round")
 
 
 def w13_citation_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -169,17 +169,17 @@ def w13_citation_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def j14_citations(spark: SparkSession, d: str) -> DataFrame:
     cited = table(spark, d, "part").select("p_partkey", F.substring(F.col("p_partkey").cast("string"), 1, 2).alias("prefix"), F.pmod("p_size", F.lit(9)).alias("seq"))
-    ids = table(spark, d, "orders").where("o_orderkey < 50").withColumnRenamed("o_orderkey", "k")
-    found = C.check_citations(cited, ids, table(spark, d, "lineitem").where("l_orderkey < 50").withColumnRenamed("l_orderkey", "k"), "k", "l_linenumber", 2)
+    ids = table(spark, d, "orders").withColumnRenamed("o_orderkey", "k")
+    found = C.check_citations(cited, ids, table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "k"), "k", "l_linenumber", 2)
     return found.select("p_partkey", "verdict")
 
 
 def g8_open_threads(spark: SparkSession, d: str) -> DataFrame:
     """Documents as cards: a decision is a benchmark item, a project a source, what a project says its documents."""
-    item = table(spark, d, "benchmark").select(F.col("item_id").alias("decision"), F.concat(F.lit("src"), F.pmod("item_id", F.lit(20))).alias("project"), F.substring("text", 1, 60).alias("what"))
+    item = table(spark, d, "benchmark").select(F.col("item_id").alias("decision"), F.concat(F.lit("src"), F.pmod("item_id", F.lit(20))).alias("project"), F.col("text").alias("what"))
     decisions = item.withColumn("tokens", T.content_tokens(F.col("what")))
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("project"), F.array_distinct(T.content_tokens(F.col("text"))).alias("tokens"))
-    generic = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 60").select("token")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("source").alias("project"), F.array_distinct(T.content_tokens(F.col("text"))).alias("tokens"))
+    generic = C.generic_tokens(docs, "doc_id", "tokens").select("token")
     tokens = docs.select("project", F.explode("tokens").alias("token")).distinct().join(generic, "token", "left_anti")
     return C.open_threads(decisions, tokens, docs, 20).select("decision", "project", "other", R6("score").alias("score"))
 
@@ -241,9 +241,9 @@ ORACLE_SQL = {
     "a20_session_score": "SELECT l_orderkey, round(max(l_quantity) + least((sum(l_quantity) - max(l_quantity)) / 2, 0.12::DOUBLE * max(l_quantity)), 6) AS score FROM lineitem GROUP BY 1",
     "w5_word_budget": f"WITH c AS (SELECT conv_id, turn, CAST({WORDS} AS BIGINT) AS words FROM conversations), r AS (SELECT *, sum(words) OVER w AS used, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, words FROM r WHERE used <= 60 OR n = 1",
     "g13_recent_k": f"WITH {FOLD}, r AS (SELECT *, sum(ceil(chars / 3.6::DOUBLE)) OVER w AS used, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY seq DESC)) SELECT conv_id, seq FROM r WHERE used <= 120 OR n = 1",
-    "g11_fair_excerpts": f"WITH {FOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS round FROM x WHERE conv_id < 12), p AS (SELECT round, sum(sum(chars)) OVER (ORDER BY round) AS used FROM r GROUP BY round) SELECT conv_id, seq, CAST(round AS INTEGER) AS round FROM r WHERE round <= (SELECT coalesce(max(round), 1) FROM p WHERE used <= 6000)",
+    "g11_fair_excerpts": f"WITH {FOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS round FROM x), p AS (SELECT round, sum(sum(chars)) OVER (ORDER BY round) AS used FROM r GROUP BY round) SELECT conv_id, seq, CAST(round AS INTEGER) AS round FROM r WHERE round <= (SELECT coalesce(max(round), 1) FROM p WHERE used <= 200000)",
     "w13_citation_numbers": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem), f AS (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS first FROM l) SELECT l_orderkey, l_linenumber, l_suppkey, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY first, l_suppkey) AS INTEGER) AS number FROM f",
-    "j14_citations": "WITH c AS (SELECT p_partkey, substr(CAST(p_partkey AS VARCHAR), 1, 2) AS p, p_size % 9 AS s FROM part) SELECT p_partkey, CASE WHEN p NOT IN (SELECT substr(CAST(o_orderkey AS VARCHAR), 1, 2) FROM orders WHERE o_orderkey < 50) THEN 'unknown' WHEN (p, s) NOT IN (SELECT (substr(CAST(l_orderkey AS VARCHAR), 1, 2), l_linenumber) FROM lineitem WHERE l_orderkey < 50) THEN 'unresolved' ELSE 'ok' END AS verdict FROM c",
+    "j14_citations": "WITH c AS (SELECT p_partkey, substr(CAST(p_partkey AS VARCHAR), 1, 2) AS p, p_size % 9 AS s FROM part) SELECT p_partkey, CASE WHEN p NOT IN (SELECT substr(CAST(o_orderkey AS VARCHAR), 1, 2) FROM orders) THEN 'unknown' WHEN (p, s) NOT IN (SELECT (substr(CAST(l_orderkey AS VARCHAR), 1, 2), l_linenumber) FROM lineitem) THEN 'unresolved' ELSE 'ok' END AS verdict FROM c",
     "a25_recall": "WITH e AS (SELECT p_partkey AS q, substr(CAST(p_size AS VARCHAR), 1, 1) AS p FROM part), h AS (SELECT q, min(l_linenumber) AS r FROM e JOIN lineitem ON l_partkey = q AND starts_with(CAST(l_suppkey AS VARCHAR), p) GROUP BY q) SELECT count(*) AS n_queries, count(*) FILTER (WHERE r <= 1) AS hits_at_1, count(*) FILTER (WHERE r <= 5) AS hits_at_5 FROM e LEFT JOIN h USING (q)",
     "a25_percentiles": "WITH v AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[CAST(least(len(v), floor(0.5 * len(v)) + 1) AS INT)] AS p50, v[CAST(least(len(v), floor(0.95 * len(v)) + 1) AS INT)] AS p95 FROM v",
     "a26_overlap": f"WITH c AS (SELECT conv_id, turn, list_distinct({CT('coalesce(text, chr(32))')}) AS t FROM conversations) SELECT a.conv_id, a.turn, round(CASE WHEN len(a.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.t, b.t)) / len(a.t)::DOUBLE END, 6) AS share FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",

@@ -88,7 +88,7 @@ def f7_tag_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).where("l_quantity >= 45").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    return lines(spark, d).select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
 
 
 def f9_linked_undirected(spark: SparkSession, d: str) -> DataFrame:
@@ -210,8 +210,7 @@ def j10_path_rollup(spark: SparkSession, d: str) -> DataFrame:
     path = F.regexp_replace(F.split_part(F.regexp_replace("url", "^https?://", ""), F.lit("?"), F.lit(1)), "#.*$", "")
     parts = F.split(path, "/")
     rows = table(spark, d, "pages").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("project"), F.when(F.col("page_id") % 9 == 0, 1).otherwise(0).alias("alive"))
-    keep = F.pmod(F.crc32("project"), F.lit(3)) > 0
-    totals = rows.where(keep).groupBy("project").agg(F.max("alive").cast("long").alias("alive"), F.count("*").alias("total")).select("project", "total", "alive", F.col("total").alias("prompts"), F.lit(1).cast("long").alias("last_ts"))
+    totals = rows.groupBy("project").agg(F.max("alive").cast("long").alias("alive"), F.count("*").alias("total")).select("project", "total", "alive", F.col("total").alias("prompts"), F.lit(1).cast("long").alias("last_ts"))
     return A.roll_up_wiped(totals).select("owner", "sessions", "prompts")
 
 
@@ -313,7 +312,7 @@ def k6_link_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_session_row(spark: SparkSession, d: str) -> DataFrame:
-    return B.with_counts(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", n_orders=(table(spark, d, "orders"), "o_custkey"), n_lines=(table(spark, d, "lineitem").where("l_partkey < 100"), "l_partkey"))
+    return B.with_counts(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", n_orders=(table(spark, d, "orders"), "o_custkey"), n_lines=(table(spark, d, "lineitem"), "l_partkey"))
 
 
 def p2_first_prompt(spark: SparkSession, d: str) -> DataFrame:
@@ -394,7 +393,7 @@ FOLD = """WITH n AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OV
 f AS (SELECT conv_id, CAST(seq AS BIGINT) AS seq, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'assistant'), '') AS u, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS a, count(*) AS n_turns FROM n WHERE seq > 0 GROUP BY conv_id, seq),
 x AS (SELECT * FROM f WHERE trim(u, ' ') <> '' OR trim(a, ' ') <> '')"""
 SESS = "(SELECT *, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) END AS ended FROM orders)"
-EDGE = "(SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity >= 45)"
+EDGE = "(SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)"
 FAM = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 3 END AS parent FROM orders WHERE o_custkey % 4 > 0)"
 GHOST = "(SELECT * FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey))"
 BARE = "regexp_replace(url, '^https?://', '')"
@@ -417,7 +416,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "x1_fold_exchanges": f"{FOLD} SELECT conv_id, seq, md5(u) AS user_md5, md5(a) AS assistant_md5, n_turns, substr(sha256(conv_id || ':' || seq), 1, 32) AS id FROM x",
     "m0_top_conversations": f"{FOLD} SELECT conv_id, count(*) AS n_exchanges, CAST(sum(length(u) + length(a)) AS BIGINT) AS chars FROM x GROUP BY 1 ORDER BY n_exchanges DESC, conv_id LIMIT 10",
-    "x4_paired_results": "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), r AS (SELECT user_id, k, arg_max(value, event_id) AS result FROM e WHERE event_type = 'view' GROUP BY 1, 2) SELECT event_id AS call, result, result > 20 AS is_error FROM e LEFT JOIN r USING (user_id, k) WHERE event_type = 'click'",
+    "x4_paired_results": "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), r AS (SELECT user_id, k, arg_max(value, event_id) AS result, bool_or(value > 20) AS is_error FROM e WHERE event_type = 'view' GROUP BY 1, 2) SELECT event_id AS call, result, is_error FROM e LEFT JOIN r USING (user_id, k) WHERE event_type = 'click'",
     "x5_last_values": "SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type = 'error') AS last_error, arg_max(event_type, event_id) FILTER (WHERE value > 10) AS last_type FROM events GROUP BY user_id",
     "x7_type_census": "SELECT event_type, count(*) AS n, event_type = 'error' AS novel FROM events GROUP BY event_type",
     "w6_greedy_chunks": """WITH RECURSIVE u AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
@@ -462,12 +461,12 @@ UNION ALL SELECT project, CAST(user_id NOT IN (SELECT user_id FROM log) AS INT),
     "a9_tag_hist": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "a10_tags_per_session": "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tags FROM events GROUP BY 1",
     "a11_project_counts": "SELECT project, count(*) AS n FROM (SELECT c_nationkey AS project FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1",
-    "a14_source_fingerprint": "SELECT o_orderpriority, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint, count(*) AS n FROM (SELECT o_orderpriority, sha256(o_orderkey || ':' || o_custkey || ':' || o_orderstatus) AS h FROM orders) GROUP BY 1",
+    "a14_source_fingerprint": "SELECT o_orderpriority, sha256(concat_ws(':', sum(('0x' || substr(h, 1, 15))::BIGINT), sum(('0x' || substr(h, 16, 15))::BIGINT), sum(('0x' || substr(h, 31, 15))::BIGINT), sum(('0x' || substr(h, 46, 15))::BIGINT))) AS fingerprint, count(*) AS n FROM (SELECT o_orderpriority, sha256(o_orderkey || ':' || o_custkey || ':' || o_orderstatus) AS h FROM orders) GROUP BY 1",
     "u2_distinct_projects": "SELECT c_nationkey AS project FROM customer UNION SELECT s_nationkey FROM supplier",
     "u5_tag_arrays": "SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(list_concat(string_split(p_name, ' '), ['kept', 'red'])), lambda x: x NOT IN ('small', 'widget'))), ',') AS tags FROM part",
     "k6_tag_changes": "(SELECT doc_id, 'q' || quality AS tag FROM labels UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1) EXCEPT SELECT doc_id, 'q0' FROM documents WHERE n_chars < 300",
     "k6_link_changes": f"SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM {EDGE} WHERE a <> b EXCEPT SELECT least(a, b), greatest(a, b) FROM {EDGE} WHERE a % 2 = 0",
-    "p1_session_row": "SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT count(*) FROM lineitem WHERE l_partkey = c_custkey AND l_partkey < 100) AS n_lines FROM customer",
+    "p1_session_row": "SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT count(*) FROM lineitem WHERE l_partkey = c_custkey) AS n_lines FROM customer",
     "p2_first_prompt": "SELECT conv_id, md5(arg_min(text, turn)) AS prompt_md5 FROM conversations WHERE role = 'user' AND length(text) > 30 AND text NOT LIKE '/%' GROUP BY 1",
     "p3_look_up": "WITH w AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_quantity >= 49) SELECT id, 'session' AS kind FROM w JOIN supplier ON s_suppkey = id AND s_suppkey % 2 = 0 UNION ALL SELECT id, 'ghost' FROM w JOIN part ON p_partkey = id WHERE id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)",
     "p4_titles": "SELECT p_partkey, CASE WHEN p_size > 40 THEN p_name WHEN p_size > 20 THEN p_brand || '-' || substr(lpad(CAST(p_partkey AS VARCHAR), 10, '0'), 1, 8) ELSE p_type END AS title FROM part",

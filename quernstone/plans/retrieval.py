@@ -78,7 +78,7 @@ def r7_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w4_unique_snippets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), 1, 12).alias("snippet"), F.col("n_chars").cast("double").alias("score"))
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("snippet"), F.col("n_chars").cast("double").alias("score"))
     return S.without_repeats(rows, "lang", F.col("snippet"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
@@ -97,20 +97,22 @@ def r11_federate(spark: SparkSession, d: str) -> DataFrame:
     return S.federate(own).select("key", R6("score").alias("score"))
 
 
-def probe(spark: SparkSession, d: str) -> list[float]:
-    return table(spark, d, "embeddings").where("vec_id = 7").first().embedding
+def knn(spark: SparkSession, d: str, n: int, where: str = "true") -> DataFrame:
+    """Every vector whose id is divisible by 50 against all vectors."""
+    e = table(spark, d, "embeddings")
+    return N.nearest_to_rows(e.where(where), "vec_id", "embedding", e.where("vec_id % 50 = 0"), n)
 
 
 def v1_knn(spark: SparkSession, d: str) -> DataFrame:
-    return N.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", probe(spark, d), 20).select("vec_id", R6("distance").alias("distance"))
+    return knn(spark, d, 20).select("probe", "vec_id", R6("distance").alias("distance"))
 
 
 def v1_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return N.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", probe(spark, d), 20, F.col("label") == 3).select("vec_id", R6("distance").alias("distance"))
+    return knn(spark, d, 20, "label = 3").select("probe", "vec_id", R6("distance").alias("distance"))
 
 
 def v2_l2_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return N.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", probe(spark, d), 50).select("vec_id", R6("similarity").alias("similarity"))
+    return knn(spark, d, 50).select("probe", "vec_id", R6("similarity").alias("similarity"))
 
 
 def units(spark: SparkSession, d: str, every: int) -> DataFrame:
@@ -118,8 +120,9 @@ def units(spark: SparkSession, d: str, every: int) -> DataFrame:
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return N.best_matches(e.where(F.pmod("vec_id", F.lit(5)) > 0), e.where(F.pmod("vec_id", F.lit(5)) == 0), "label", "vec_id", "embedding", "vec_id")
+    """Of every 50 vectors, a card, each fifth is an item and the others are the units that it may cover."""
+    e = table(spark, d, "embeddings").withColumn("card", F.floor(F.col("vec_id") / 50))
+    return N.best_matches(e.where(F.pmod("vec_id", F.lit(5)) > 0), e.where(F.pmod("vec_id", F.lit(5)) == 0), "card", "vec_id", "embedding", "vec_id")
 
 
 def v4_best_match(spark: SparkSession, d: str) -> DataFrame:
@@ -127,18 +130,20 @@ def v4_best_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v5_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return N.coverage(matches(spark, d), "label").select("label", "n_units", "n_uncovered", R6("ratio").alias("ratio"), "supplement")
+    return N.coverage(matches(spark, d), "card").select("card", "n_units", "n_uncovered", R6("ratio").alias("ratio"), "supplement")
 
 
 def v6_evidence(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    claims = e.where(F.pmod("vec_id", F.lit(7)) == 0).select("label", F.col("vec_id").alias("claim"), F.explode(F.array(*[F.pmod(F.col("vec_id") + i, F.lit(40)) for i in (0, 1)])).alias("seq"), F.col("embedding").alias("vector"))
-    windows = e.select("label", F.pmod("vec_id", F.lit(37)).alias("seq"), F.col("embedding").alias("vector"))
+    claims = e.select("label", F.col("vec_id").alias("claim"), F.explode(F.array(*[F.floor(F.col("vec_id") / 4) + i for i in (0, 1)])).alias("seq"), F.col("embedding").alias("vector"))
+    windows = e.select("label", F.floor(F.col("vec_id") / 4).alias("seq"), F.col("embedding").alias("vector"))
     return N.verify_evidence(claims.distinct(), windows, "label").select("label", "claim", "seq", R6("similarity").alias("similarity"), "dropped")
 
 
 def v7_greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return N.greedy_dedupe(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.8).select("label", "vec_id", "leader")
+    """The claims of a card are 200 vectors."""
+    cards = table(spark, d, "embeddings").withColumn("card", F.floor(F.col("vec_id") / 200))
+    return N.greedy_dedupe(cards, "card", "vec_id", "embedding", 0.8).select("card", "vec_id", "leader")
 
 
 def v8_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -184,10 +189,10 @@ fused AS (SELECT key, sum(weight / (60.0::DOUBLE + rank)) AS score, count(*) AS
 PLACED = f"""{LISTS},
 placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY score DESC, key) AS place FROM fused) WHERE place <= 3)"""
 DIST = "sqrt(list_sum(list_transform(list_zip(e.embedding, p.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))))"
-KNN = f"SELECT vec_id, {DIST} AS dist FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) p"
+KNN = f"SELECT p.vec_id AS probe, e.vec_id, {DIST} AS dist, row_number() OVER (PARTITION BY p.vec_id ORDER BY {DIST}, e.vec_id) AS place FROM embeddings e, embeddings p WHERE p.vec_id % 50 = 0"
 COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
-MATCHES = f"""WITH pairs AS (SELECT a.label, a.vec_id, b.vec_id AS item, {COS} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 5 = 0 WHERE a.vec_id % 5 > 0),
-m AS (SELECT e.label, e.vec_id, p.item, coalesce(p.s, 0.0) AS s FROM embeddings e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, item) AS n FROM pairs) p ON p.vec_id = e.vec_id AND p.n = 1 WHERE e.vec_id % 5 > 0)"""
+MATCHES = f"""WITH pairs AS (SELECT a.vec_id, b.vec_id AS item, {COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id // 50 = b.vec_id // 50 AND b.vec_id % 5 = 0 WHERE a.vec_id % 5 > 0),
+m AS (SELECT e.vec_id // 50 AS card, e.vec_id, p.item, coalesce(p.s, 0.0) AS s FROM embeddings e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, item) AS n FROM pairs) p ON p.vec_id = e.vec_id AND p.n = 1 WHERE e.vec_id % 5 > 0)"""
 
 QUERIES = {f.__name__: f for f in (r1_query_terms, r2_bm25, r2_bm25_columns, r2_postings, r3_relax, r4_title_cover, r5_rrf, w2_top3_per_group, r7_sessions, w4_unique_snippets, r9_explain, r10_notes_score, r11_federate, v1_knn, v1_knn_filtered, v2_l2_cosine, v4_best_match, v5_coverage, v6_evidence, v7_greedy_dedupe, v8_windows, v9_token_cosine)}
 _ANY = ", ".join(f"'{t}'" for t in QUERY.any)
@@ -205,20 +210,20 @@ UNION ALL SELECT 'b', key, round(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))
     "r5_rrf": f"{LISTS} SELECT key, round(score, 6) AS score, n_lists FROM fused",
     "w2_top3_per_group": f"{PLACED} SELECT conversation, key, CAST(place AS INTEGER) AS place, round(score, 6) AS score FROM placed",
     "r7_sessions": f"{PLACED}, c AS (SELECT conversation, max(score) + least((sum(score) - max(score)) / 2, 0.12::DOUBLE * max(score)) AS score, count(*) AS n_hits, arg_min(key, place) AS best_key FROM placed GROUP BY conversation) SELECT conversation, round(score, 6) AS score, n_hits, best_key FROM c ORDER BY c.score DESC, conversation LIMIT 10",
-    "w4_unique_snippets": "WITH s AS (SELECT doc_id, lang, trim(substr(coalesce(text, ''), 1, 12), ' ') AS t, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, t ORDER BY n_chars DESC, doc_id) AS n FROM s) SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM r WHERE t = '' OR n = 1 GROUP BY lang",
+    "w4_unique_snippets": "WITH s AS (SELECT doc_id, lang, trim(coalesce(text, ''), ' ') AS t, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, t ORDER BY n_chars DESC, doc_id) AS n FROM s) SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM r WHERE t = '' OR n = 1 GROUP BY lang",
     "r9_explain": f"{LISTS}, page AS (SELECT key, score, score - lead(score) OVER (ORDER BY score DESC, key) AS margin FROM (SELECT * FROM fused ORDER BY score DESC, key LIMIT 10)) SELECT key, list, rank, round(weight / (60.0::DOUBLE + rank), 6) AS contribution, round(weight / (60.0::DOUBLE + rank) / score, 6) AS share, round(margin, 6) AS margin FROM page JOIN l USING (key)",
     "r10_notes_score": """WITH s AS (SELECT doc_id, coalesce(text, '') AS x, CAST(contains(lower(coalesce(text, '')), 'license') AS INT) AS b1, CAST(contains(lower(coalesce(text, '')), 'src1') AS INT) AS b2, CAST(contains(lower(source), 'license') AS INT) AS h1, CAST(contains(lower(source), 'src1') AS INT) AS h2 FROM documents),
 r AS (SELECT doc_id, CASE WHEN b1 + h1 + b2 + h2 > 0 THEN (b1 + b2 + 0.5::DOUBLE * (h1 + h2)) / 2 / (1 + log10(1 + length(x) / 400.0::DOUBLE)) ELSE 0 END AS score FROM s)
 SELECT doc_id, round(score, 6) AS score FROM r WHERE r.score > 0 ORDER BY r.score DESC, doc_id LIMIT 20""",
     "r11_federate": f"{LISTS} SELECT key, round(sum(weight * CASE WHEN list = 'text' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END / (60.0::DOUBLE + rank)), 6) AS score FROM l GROUP BY key",
-    "v1_knn": f"SELECT vec_id, round(dist, 6) AS distance FROM ({KNN}) ORDER BY dist, vec_id LIMIT 20",
-    "v1_knn_filtered": f"SELECT vec_id, round(dist, 6) AS distance FROM ({KNN} WHERE label = 3) ORDER BY dist, vec_id LIMIT 20",
-    "v2_l2_cosine": f"SELECT vec_id, round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 1 - dist * dist / 2)), 6) AS similarity FROM ({KNN}) ORDER BY dist, vec_id LIMIT 50",
+    "v1_knn": f"SELECT probe, vec_id, round(dist, 6) AS distance FROM ({KNN}) WHERE place <= 20",
+    "v1_knn_filtered": f"SELECT probe, vec_id, round(dist, 6) AS distance FROM ({KNN} AND e.label = 3) WHERE place <= 20",
+    "v2_l2_cosine": f"SELECT probe, vec_id, round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 1 - dist * dist / 2)), 6) AS similarity FROM ({KNN}) WHERE place <= 50",
     "v4_best_match": f"{MATCHES} SELECT vec_id, item, round(s, 6) AS similarity FROM m",
-    "v5_coverage": f"{MATCHES} SELECT label, count(*) AS n_units, count(*) FILTER (WHERE s < 0.6) AS n_uncovered, round((count(*) FILTER (WHERE s < 0.6)) / count(*)::DOUBLE, 6) AS ratio, (count(*) FILTER (WHERE s < 0.6)) / count(*)::DOUBLE > 0.25 AS supplement FROM m GROUP BY label",
-    "v6_evidence": f"""WITH c AS (SELECT DISTINCT label, vec_id AS claim, unnest([vec_id % 40, (vec_id + 1) % 40]) AS seq, embedding FROM embeddings WHERE vec_id % 7 = 0),
-p AS (SELECT a.label, a.claim, a.seq, max({COS}) AS s FROM c a LEFT JOIN embeddings b ON a.label = b.label AND a.seq = b.vec_id % 37 GROUP BY ALL)
+    "v5_coverage": f"{MATCHES} SELECT card, count(*) AS n_units, count(*) FILTER (WHERE s < 0.6) AS n_uncovered, round((count(*) FILTER (WHERE s < 0.6)) / count(*)::DOUBLE, 6) AS ratio, (count(*) FILTER (WHERE s < 0.6)) / count(*)::DOUBLE > 0.25 AS supplement FROM m GROUP BY card",
+    "v6_evidence": f"""WITH c AS (SELECT DISTINCT label, vec_id AS claim, unnest([vec_id // 4, vec_id // 4 + 1]) AS seq, embedding FROM embeddings),
+p AS (SELECT a.label, a.claim, a.seq, max({COS}) AS s FROM c a LEFT JOIN embeddings b ON a.label = b.label AND a.seq = b.vec_id // 4 GROUP BY ALL)
 SELECT label, claim, seq, round(s, 6) AS similarity, CASE WHEN s IS NULL THEN 'missing' WHEN s < 0.6 THEN 'unsupported' END AS dropped FROM p""",
-    "v8_windows": "WITH s AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), b AS (SELECT doc_id, x, unnest(list_slice(range(1, greatest(1, length(x) - 400 + 300) + 1, 300), 1, 256)) AS b FROM s) SELECT doc_id, CAST(b AS INTEGER) AS begin, md5(substr(x, b, 400)) AS digest FROM b",
+    "v8_windows": "WITH s AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), b AS (SELECT doc_id, x, unnest(range(1, greatest(1, length(x) - 400 + 300) + 1, 300)) AS b FROM s) SELECT doc_id, CAST(b AS INTEGER) AS begin, md5(substr(x, b, 400)) AS digest FROM b",
     "v9_token_cosine": f"WITH t AS (SELECT doc_id, list_distinct({TOK.format('text')}) AS t FROM documents WHERE text IS NOT NULL) SELECT a.doc_id, round(CASE WHEN len(a.t) * len(b.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.t, b.t)) / sqrt(len(a.t)::DOUBLE * len(b.t)) END, 6) AS similarity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1",
 }
