@@ -92,13 +92,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     size = found.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("lines")).first()
     if size.docs <= BROADCAST_DOCS and size.lines <= BROADCAST_LINES:
         found = F.broadcast(found)
-    base = docs.drop("line_text", "n_lines", "lines_gone").withColumn("__of", F.xxhash64(F.col(text_col)))
-    joined = base.join(found, base[id_col].eqNullSafe(F.col("__doc")) & (F.col("__of") == F.col("__key")), "left")
-    lines = F.split(F.col(text_col), "\n")
+    own = F.struct(*[F.col(c) for c in docs.columns if c not in ("line_text", "n_lines", "lines_gone")])  # so that no name clashes
+    base = docs.select(own.alias("own"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("of"))
+    joined = base.join(found, F.col("id").eqNullSafe(F.col("__doc")) & (F.col("of") == F.col("__key")), "left")
+    lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    return joined.withColumns({"line_text": text, "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "lines_gone": gone}).drop("__doc", "__key", "__gone", "__of")
+    return joined.select("own.*", text.alias("line_text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), gone.alias("lines_gone"))
 
 
 ORACLE = f"""

@@ -30,9 +30,9 @@ TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 #: Words of a shingle and of the shortest passage; similarity of two passages' shingle sets.
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Words of the tokens that are hashed; hash functions (7 at most), and how many must agree on a place. Comparing is
-#: exact, so one is enough: with one word of 50 changed a function agrees with probability 0.69 at least, one of four
-#: with 0.99, two of four with 0.91.
-TOKEN, HASHES, AGREE = 8, 4, 1
+#: exact, so one is enough: with one word of 50 changed a function agrees with probability 0.69 at least, one of three
+#: with 0.97, two of three with 0.77.
+TOKEN, HASHES, AGREE = 8, 3, 1
 #: Shingles of a tile, the unit in which texts are fetched for comparison; shingles fetched beyond a candidate (what a
 #: passage around a window can reach, so that members of a group get the same masks); bytes of a shingle's hash.
 TILE, SLACK, BYTES = 64, 46, 6
