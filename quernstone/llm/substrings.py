@@ -6,8 +6,8 @@ the range that contain the node and so have the same min-hash. Only ranges as lo
 of all nodes. Windows of different documents that share a value are a group and are joined to the group's first
 document, its head; overlapping aligned windows of all hash functions make one candidate, whose five-word shingles are compared.
 
-A member that is not similar to its head may still share a passage with another member. Such groups go on without
-their head: whatever their members share with heads (a common line, say) is masked, and windows are formed anew over
+A member that is not similar to its head may still share a passage with another member. In a small group they are
+compared. Large groups go on without their head: whatever their members share with heads (a common line, say) is masked, and windows are formed anew over
 what is left, so that the members meet by what sets their passages apart from the head. A round masks something in
 each of its members, so the rounds end; no group's members are all paired.
 """
@@ -39,6 +39,8 @@ TILE, SLACK, BYTES = 64, 46, 6
 MOST_WORDS = 400_000
 #: Pairs of windows aligned at once.
 MOST_ALIGNED = 1 << 18
+#: Documents of a group whose open members are compared with each other at once, instead of going on without their head.
+FEW = 32
 #: The value of a masked shingle: no window is formed around it.
 MASKED = (1 << 63) - 1
 FACTOR = 0x9E3779B97F4A7C15
@@ -364,9 +366,16 @@ def left_open(members: DataFrame, found: DataFrame) -> DataFrame:
     with the head, and so may share one with another member that the head has not."""
     near = found.where(F.size("links") > 0).groupBy("doc", F.col("other").alias("lo")).agg(F.flatten(F.collect_list("links")).alias("links"))
     held = F.coalesce(F.exists("links", lambda x: (x.begin <= F.col("c")) & (F.col("c") < x.end)), F.lit(False))
-    flagged = stored(members.where("doc <> lo").join(near, ["lo", "doc"], "left").select("v", "doc", "c", held.alias("held")))
-    some = stored(flagged.groupBy("v").agg(F.min("held").alias("all"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("NOT all AND a < b").select("v"))
-    return joined_ids(flagged, some, "v", "left_semi")
+    flagged = stored(members.where("doc <> lo").join(near, ["lo", "doc"], "left").select("v", "doc", "l", "c", "r", held.alias("held")))
+    some = stored(flagged.groupBy("v").agg(F.min("held").alias("all"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.size(F.collect_set(F.pmod(F.xxhash64("doc"), F.lit(4 * FEW)))).alias("n")).where("NOT all AND a < b").select("v", (F.col("n") <= FEW).alias("few")))
+    return stored(joined_ids(flagged, some, "v", "inner"))
+
+
+def with_each_other(members: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """Open members of small groups compared with the group's other members, some FEW each."""
+    of = members.groupBy("v", F.col("doc").alias("lo")).agg(F.collect_list(F.struct("l", "c", "r")).alias("theirs"), F.min("held").alias("settled"))
+    pairs = members.join(of, "v").where("lo < doc AND NOT (held AND settled)")
+    return compared(docs, pairs.groupBy("lo", "doc").agg(F.collect_list(F.struct("l", "c", "r", "theirs", F.col("v").bitwiseAND(7).alias("j"))).alias("w")), length)
 
 
 def passage_links(docs: DataFrame, length: int) -> DataFrame:
@@ -379,9 +388,11 @@ def passage_links(docs: DataFrame, length: int) -> DataFrame:
         members = stored(joined_ids(windows, heads, "v", "inner"))
         forget(windows)
         found = with_head(members, docs, length)
-        links = found.select("doc", "other", F.explode("links").alias("x")).select("doc", "x.begin", "x.end", "other", "x.other_begin", "x.other_end", "x.similarity")
+        rest = left_open(members, found)
+        every = found.union(with_each_other(rest.where("few"), docs, length))
+        links = every.select("doc", "other", F.explode("links").alias("x")).select("doc", "x.begin", "x.end", "other", "x.other_begin", "x.other_end", "x.similarity")
         all_links = links if all_links is None else all_links.union(links)
-        places = stored(left_open(members, found).groupBy("doc").agg(F.collect_set("c").alias("active")))
+        places = stored(rest.where("NOT few").groupBy("doc").agg(F.collect_set("c").alias("active")))
         forget(members)
         if places.isEmpty():
             return all_links
