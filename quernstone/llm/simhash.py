@@ -5,21 +5,26 @@ sample: inside a node's ball or outside of it. A fingerprint is also sent, as a
 the link distance around it overlaps. Every shard builds the lower levels of the tree over its own fingerprints and
 searches its queries, pruning by the triangle bound, so all pairs within the distance are met. A shard returns
 links that span what it joined, not all pairs.
+
+A few bits over whole texts miss most texts of which a tenth was changed, so `near_copies` adds fingerprints of
+segments, cut where the words say so: documents with an equal segment are compared with the segment's heads, shingle
+by shingle.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import joined_ids, slices, stored
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,32 +35,51 @@ SEED = 42
 SHARD, OF_SHARD, LEAST_SAMPLE, MOST_SAMPLE = 16_384, 64, 8_192, 1 << 22
 #: Own fingerprints of a leaf, and comparisons made at once.
 LEAF, BLOCK = 192, 1 << 20
+#: Words of a segment on average; documents that all others with an equal segment are compared with; least shingles
+#: of a short text, and the segments up to which it is short.
+SEGMENT, HEADS, SHORT = 16, 2, 4
 
 
-def fingerprints(texts: list[str], shingle: int = 3) -> np.ndarray:
-    """The fingerprint of each text, as uint64."""
+def words_of(text: str) -> list[bytes]:
+    """Words between the six white bytes \\x20 \\x09-\\x0D, A-Z lower-cased."""
+    return text.encode().translate(TO_LOWER).split()
+
+
+def shingles_of(words: list[bytes], shingle: int) -> list[bytes]:
+    """The shingles, repeats included; of fewer words the whole sequence, of none nothing."""
+    if len(words) >= shingle:
+        return [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))]
+    return [b" ".join(words)] if words else []
+
+
+def prints_of(texts: list[list[bytes]], shingle: int) -> np.ndarray:
+    """The fingerprint of each sequence of words, as uint64."""
     out = np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
-    for begin, end in slices([len(x) for x in texts], 1 << 19):
-        hashes: list[int] = []
-        sizes = []
-        for x in texts[begin:end]:
-            words = x.encode().translate(TO_LOWER).split()  # the six white bytes \x20 \x09-\x0D
-            grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))] if len(words) >= shingle else [b" ".join(words)] if words else []
-            hashes += [digest(g, SEED) for g in grams]
-            sizes.append(len(grams))
-        if not hashes:
-            continue
-        n = np.array(sizes)
-        at = np.cumsum(n) - n
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        full = np.flatnonzero(n)
-        counts = np.add.reduceat(bits, at[full], axis=0, dtype=np.int32)
-        major = (2 * counts > n[full][:, None]).astype(np.uint8)
-        out[begin + full] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
+    hashes: list[int] = []
+    sizes = []
+    for words in texts:
+        grams = shingles_of(words, shingle)
+        hashes += [digest(g, SEED) for g in grams]
+        sizes.append(len(grams))
+    if not hashes:
+        return out
+    n = np.array(sizes)
+    at = np.cumsum(n) - n
+    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    full = np.flatnonzero(n)
+    counts = np.add.reduceat(bits, at[full], axis=0, dtype=np.int32)
+    major = (2 * counts > n[full][:, None]).astype(np.uint8)
+    out[full] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
+def fingerprints(texts: list[str], shingle: int = 3) -> np.ndarray:
+    """The fingerprint of each text, as uint64."""
+    parts = [prints_of([words_of(x) for x in texts[i:j]], shingle) for i, j in slices([len(x) for x in texts], 1 << 19)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,3 +226,91 @@ def near_duplicates(docs: DataFrame, within: int = 3, shingle: int = 3, id_col:
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(classes.join(named, "root").select("f", "component_id"))
     return rows.join(of, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def segments(words: list[bytes], shingle: int) -> list[list[bytes]]:
+    """Cut after each word that, with the two before it, hashes to a multiple of SEGMENT, so that equal passages have
+    equal cuts wherever they stand. Shorter ones than a shingle are left out, unless there is no other. A short
+    text, which may have no cut, adds its least shingles by digest."""
+    cuts = [0] + [i + 3 for i, g in enumerate(zip(words, words[1:], words[2:])) if crc32(b" ".join(g)) % SEGMENT == 0] + [len(words)]
+    found = [words[i:j] for i, j in zip(cuts, cuts[1:]) if j - i >= shingle] or [words]
+    if len(words) < SHORT * SEGMENT:
+        found += [g.split(b" ") for g in sorted(shingles_of(words, shingle), key=lambda g: xxhash.xxh64_intdigest(g, SEED))[:SHORT]]
+    return found
+
+
+def with_segments(rows: DataFrame, shingle: int) -> DataFrame:
+    """k, n (different shingles of the document) and f (a segment's fingerprint) for rows of k and text, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for begin, end in slices([len(x) for x in texts], 1 << 18):
+                of, parts, sizes = [], [], []
+                for i in range(begin, end):
+                    words = words_of(texts[i])
+                    own = segments(words, shingle)
+                    of += [i] * len(own)
+                    parts += own
+                    sizes += [len(set(shingles_of(words, shingle)))] * len(own)
+                f = prints_of(parts, shingle).view(np.int64)
+                once = pd.DataFrame({"of": of, "f": f}).drop_duplicates().index.to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(of)[once])), pa.array(np.array(sizes)[once], pa.int64()), pa.array(f[once])], names=["k", "n", "f"])
+
+    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n long, f long")
+
+
+def similar(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The a and b of those pairs (a, b, x, y) whose texts x and y share that much of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                s, t = (set(shingles_of(words_of(v.as_py()), shingle)) for v in (x, y))
+                both = len(s & t)
+                near.append(both > 0 and both >= similarity * (len(s) + len(t) - both))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def similar_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """a, b: keys of different documents (columns k and text, each text once) whose sets of shingles have that Jaccard
+    similarity, verified.
+
+    Candidates are a document and each of its segments' heads: of all documents with that segment the HEADS that come
+    first in as many fixed random orders. A group with a common segment thus gives HEADS pairs a document, not all;
+    pairs without an equal segment, or that share one with none of its heads, are not met.
+    """
+    parts = stored(with_segments(rows, shingle))
+    first = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), "k", "n")) for i in range(HEADS)]
+    met = parts.groupBy("f").agg(F.count("*").alias("m"), F.array_distinct(F.array(*[F.struct(x["k"].alias("k"), x["n"].alias("n")) for x in first])).alias("heads")).where("m > 1")
+    sides = parts.join(met.select("f", F.explode("heads").alias("head")), "f")
+    sides = sides.where((F.col("k") != F.col("head.k")) & (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n")))
+    pairs = stored(sides.select(F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")).distinct())
+    ends = stored(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+    texts = stored(joined_ids(rows.select("k", "text"), ends, "k", "left_semi"))
+    left, right = texts.select(F.col("k").alias("a"), F.col("text").alias("x")), texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
+    return similar(pairs.join(left, "a").join(right, "b"), similarity, shingle)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, within: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k: keys (see `document_key`) of all documents but the least of each group of near copies.
+
+    Links are those of `near_duplicates` and those of `similar_links`; a group is what chains of links connect. Null,
+    empty and blank texts are one group. An id with different texts is as many documents; repeated rows are one, named
+    at most once. An empty table gives an empty result.
+    """
+    rows = docs.select(document_key(F.col(id_col), F.col(text_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    groups = near_duplicates(rows, within, id_col="k").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    once = stored(rows.groupBy("k.digest").agg(F.min("k").alias("k")).select("k"))
+    different = joined_ids(rows, once, "k", "left_semi").where("trim(translate(text, '\\n\\t\\r', '   ')) <> ''")
+    links = stored(groups.union(similar_links(different, similarity, shingle)))
+    return components(links, "a", "b").where("node <> root").select(F.col("node").alias("k")).distinct()
+
+
+def document_key(id_col: Column, text_col: Column) -> Column:
+    """What tells documents apart and orders them: ids before none, the least id first, then a digest of the text."""
+    return F.struct(id_col.isNull().alias("none"), id_col.alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("digest"))
