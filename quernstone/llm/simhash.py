@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import joined_ids, slices, stored
 from .components import components
+from .substrings import FACTOR, mixed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -52,34 +52,25 @@ def shingles_of(words: list[bytes], shingle: int) -> list[bytes]:
     return [b" ".join(words)] if words else []
 
 
-def prints_of(texts: list[list[bytes]], shingle: int) -> np.ndarray:
-    """The fingerprint of each sequence of words, as uint64."""
+def fingerprints(texts: list[str], shingle: int = 3) -> np.ndarray:
+    """The fingerprint of each text, as uint64."""
     out = np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
-    sizes = []
-    for words in texts:
-        grams = shingles_of(words, shingle)
-        hashes += [digest(g, SEED) for g in grams]
-        sizes.append(len(grams))
-    if not hashes:
-        return out
-    n = np.array(sizes)
-    at = np.cumsum(n) - n
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = np.flatnonzero(n)
-    counts = np.add.reduceat(bits, at[full], axis=0, dtype=np.int32)
-    major = (2 * counts > n[full][:, None]).astype(np.uint8)
-    out[full] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
+    for begin, end in slices([len(x) for x in texts], 1 << 19):
+        hashes: list[int] = []
+        sizes = []
+        for x in texts[begin:end]:
+            grams = shingles_of(words_of(x), shingle)
+            hashes += [digest(g, SEED) for g in grams]
+            sizes.append(len(grams))
+        if not hashes:
+            continue
+        n = np.array(sizes)
+        full = np.flatnonzero(n)
+        out[begin + full] = majority(np.split(np.array(hashes, np.uint64), np.cumsum(n[full])[:-1]))
     return out
 
 
-def fingerprints(texts: list[str], shingle: int = 3) -> np.ndarray:
-    """The fingerprint of each text, as uint64."""
-    parts = [prints_of([words_of(x) for x in texts[i:j]], shingle) for i, j in slices([len(x) for x in texts], 1 << 19)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,34 +219,57 @@ def near_duplicates(docs: DataFrame, within: int = 3, shingle: int = 3, id_col:
     return rows.join(of, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def segments(words: list[bytes], shingle: int) -> list[list[bytes]]:
-    """Cut after each word that, with the two before it, hashes to a multiple of SEGMENT, so that equal passages have
-    equal cuts wherever they stand. Shorter ones than a shingle are left out, unless there is no other. A short
-    text, which may have no cut, adds its least shingles by digest."""
-    cuts = [0] + [i + 3 for i, g in enumerate(zip(words, words[1:], words[2:])) if crc32(b" ".join(g)) % SEGMENT == 0] + [len(words)]
-    found = [words[i:j] for i, j in zip(cuts, cuts[1:]) if j - i >= shingle] or [words]
-    if len(words) < SHORT * SEGMENT:
-        found += [g.split(b" ") for g in sorted(shingles_of(words, shingle), key=lambda g: xxhash.xxh64_intdigest(g, SEED))[:SHORT]]
+def rolled(ids: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of `width` words (of fewer the whole sequence's, of none nothing), from the words' hashes."""
+    width = min(width, len(ids))
+    out = ids[: len(ids) - width + 1].copy() if width else ids
+    for i in range(1, width):
+        out = mixed(out * np.uint64(FACTOR) + ids[i : len(ids) - width + 1 + i])
+    return out
+
+
+def segments(ids: np.ndarray, grams: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The shingles of each segment. Cuts stand where a run of three words hashes to a multiple of SEGMENT, so that equal
+    passages have equal cuts wherever they stand. Shorter ones than a shingle are left out, unless there is no other.
+    A short text, which may have no cut, adds its least shingles."""
+    cuts = [0, *(np.flatnonzero(rolled(ids, 3) % np.uint64(SEGMENT) == 0) + 3).tolist(), len(ids)]
+    found = [grams[i : j - shingle + 1] for i, j in zip(cuts, cuts[1:]) if j - i >= shingle] or [grams]
+    if len(ids) < SHORT * SEGMENT:
+        found += np.split(np.sort(grams)[:SHORT], range(1, min(SHORT, len(grams))))
     return found
 
 
+def majority(parts: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each sequence of shingle hashes, none of them empty."""
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    bits = np.unpackbits(np.concatenate(parts).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+    return np.packbits((2 * counts > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
 def with_segments(rows: DataFrame, shingle: int) -> DataFrame:
     """k, n (different shingles of the document) and f (a segment's fingerprint) for rows of k and text, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            for begin, end in slices([len(x) for x in texts], 1 << 18):
-                of, parts, sizes = [], [], []
+            for begin, end in slices([len(x) for x in texts], 1 << 19):
+                of, parts, sizes, known = [], [], [], {}
                 for i in range(begin, end):
                     words = words_of(texts[i])
-                    own = segments(words, shingle)
+                    if not words:
+                        continue
+                    known.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in set(words).difference(known))
+                    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                    grams = rolled(ids, shingle)
+                    own = segments(ids, grams, shingle)
                     of += [i] * len(own)
                     parts += own
-                    sizes += [len(set(shingles_of(words, shingle)))] * len(own)
-                f = prints_of(parts, shingle).view(np.int64)
-                once = pd.DataFrame({"of": of, "f": f}).drop_duplicates().index.to_numpy()
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(of)[once])), pa.array(np.array(sizes)[once], pa.int64()), pa.array(f[once])], names=["k", "n", "f"])
+                    sizes += [len(np.unique(grams))] * len(own)
+                if parts:
+                    f = majority(parts).view(np.int64)
+                    once = pd.DataFrame({"of": of, "f": f}).drop_duplicates().index.to_numpy()
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(of)[once])), pa.array(np.array(sizes)[once], pa.int64()), pa.array(f[once])], names=["k", "n", "f"])
 
     return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n long, f long")
 
