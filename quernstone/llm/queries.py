@@ -13,6 +13,8 @@ from .decontaminate import contamination
 from .langid import predict_languages, sample_languages
 from .linededup import ORACLE as OP7_SQL
 from .linededup import dedup_lines
+from .merkle import ORACLE as OP13_SQL
+from .merkle import merkle_manifest
 from .packing import best_fit_packing
 from .pii import personal_data
 from .quality import quality_rules
@@ -70,6 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against a copy of the table in which every other document lost its line feeds."""
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(table(spark, sf_dir, "documents"), checked={"text": altered})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_tokencount": op2_tokencount,
@@ -81,8 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op7_linededup": OP7_SQL,
+    "op13_merkle": OP13_SQL,
 }
