@@ -18,8 +18,11 @@ from .merkle import merkle_manifest
 from .packing import best_fit_packing
 from .pii import personal_data
 from .quality import quality_rules
+from .ranking import ORACLE as OP11_SQL
+from .ranking import ranked_search
 from .simhash import near_duplicates
 from .substrings import repeated_passages
+from .suffixes import dedup_substrings
 from .tokencount import token_counts
 from .toxicity import toxicity, train
 
@@ -72,6 +75,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    n_removed = F.aggregate("cut_runs", F.lit(0).cast("long"), lambda n, r: n + r.end - r.begin)
+    return found.select("doc_id", n_bytes.alias("n_bytes"), n_removed.alias("n_removed"), F.size("cut_runs").cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held against a copy of the table in which every other document lost its line feeds."""
     altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -89,10 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_ranking": op11_ranking,
+    "op12_suffixes": op12_suffixes,
     "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op7_linededup": OP7_SQL,
+    "op11_ranking": OP11_SQL,
     "op13_merkle": OP13_SQL,
 }
