@@ -92,6 +92,44 @@ def test_redact_is_idempotent(spark):
     assert [t for t, _ in redact(spark, once)] == once
 
 
+def test_no_piece_of_a_secret_survives(spark):
+    """Secrets that begin with one another, that stand twice, and that stand inside longer words."""
+    import random
+
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    minted = lambda n: "".join(r.choice(letters) for _ in range(n))
+    texts, secrets = [], []
+    for _ in range(120):
+        short = minted(17) + "7"
+        longer = short + minted(12)
+        hub = "gh" + "p_" + minted(36)
+        held = [short, longer, hub, hub + minted(20)]
+        r.shuffle(held)
+        texts.append(" ".join(x if x.startswith("gh") else f'token = "{x}",' for x in held + held[:2]))
+        secrets.append(held)
+    for (text, hits), held in zip(redact(spark, texts), secrets):
+        assert len(hits) == 6
+        assert not [x for x in held for i in range(len(x) - 7) if x[i : i + 8] in text]
+
+
+def test_masks_stand_where_the_match_is(spark):
+    aws = SECRETS["aws"]
+    (text, hits), (one, _) = redact(spark, [f"{aws}X {aws} Y{aws} {aws}", aws])
+    assert text == f"{aws}X {one} Y{aws} {one}" and len(hits) == 2
+    (text, hits), = redact(spark, ["abcdefgh password: abcdefgh%Q1z9-abcdefgh"])
+    assert text.startswith("abcdefgh password: ‹redacted:generic:") and len(hits) == 1
+
+
+def test_redact_long_keys_and_names(spark):
+    body = "\n".join("QUJD" * 16 for _ in range(200_000))
+    texts = ["-----BEGIN " + "PRIVATE KEY-----\n" + body + " end", "data:;base64," + "QUJD" * 10 + "\n" + "QUJD" * 10, "data:image/png" + ";a=b" * 50_000 + ";base64," + "QUJD" * 300, "my_monkey = 'q8Zr2Lx9Vw4Tn6Bk'", "my_key = 'q8Zr2Lx9Vw4Tn6Bk'", "token += 'q8Zr2Lx9Vw4Tn6Bk'"]
+    found = redact(spark, texts)
+    assert found[0][0].startswith("‹redacted:private-key:") and found[0][0].endswith("› end") and len(found[0][0]) < 60
+    assert [len(h) for _, h in found] == [1, 0, 0, 0, 1, 0] and found[2][0] == texts[2]
+    assert elide(spark, [texts[2]])[0].startswith("‹elided:image/png:")
+
+
 def elide(spark, texts):
     return [r.elided for r in R.elided(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text").orderBy("i").collect()]
 
