@@ -75,6 +75,8 @@ def _period(now: datetime, which: int, period: int) -> tuple[datetime, datetime]
 
 def _month(now: datetime, month: int, year: int | None) -> tuple[datetime, datetime]:
     """The given year's, else the latest that has begun."""
+    if year is not None and not 1 < year < 9999:
+        return None
     first = midnight(now).replace(day=1, month=month, year=year or now.year)
     return months(first if year or first <= now else months_back(first, 12), 1)
 
