@@ -67,15 +67,20 @@ def bm25(rows: DataFrame, key: str, columns: dict[str, float], terms: tuple[str,
     """
     if not terms:
         return rows.select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms")).limit(0)
-    n = range(len(terms))
     found = term_frequencies(rows, key, columns, terms, prefixes)
-    # one row; broadcasting it is no join of data
-    corpus = found.agg(F.count("*").alias("__n"), F.avg("length").alias("__avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"__df{i}") for i in n])
+    corpus = found.agg(F.count("*").alias("__n"), F.avg("length").alias("__avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
+    return scored_frequencies(found, corpus, key, len(terms))
+
+
+def scored_frequencies(found: DataFrame, corpus: DataFrame, key: str, n_terms: int) -> DataFrame:
+    """key, score, n_terms from found (key, length, tf0, tf1, ...) and corpus: one row of __n, __avg and __df0, __df1, ..."""
+    n = range(n_terms)
     idf = lambda i: F.greatest(F.lit(LEAST_IDF), F.log((F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5)))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("__avg"))
     part = lambda i: F.when(F.col(f"tf{i}") > 0, idf(i) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm)).otherwise(0.0)
     matched = reduce(lambda a, b: a + b, [F.when(F.col(f"tf{i}") > 0, 1).otherwise(0) for i in n])
     holds = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in n])
+    # one row; broadcasting it is no join of data
     return found.where(holds).join(F.broadcast(corpus)).select(key, _sum([part(i) for i in n]).alias("score"), matched.cast("long").alias("n_terms"))
 
 

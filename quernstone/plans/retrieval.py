@@ -9,6 +9,7 @@ from quernstone.functions import text as T
 from quernstone.functions import vector as V
 from quernstone.operators import search as S
 from quernstone.operators import vectors as N
+from quernstone.plans.indexes import index_of
 from quernstone.plans.tables import table
 
 QUERY = S.term_query("the disgusting license of thintion")
@@ -22,7 +23,8 @@ def r1_query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(table(spark, d, "documents"), "doc_id", {"text": 1.0}, QUERY.any)
+    """From the stored index, which the session builds once."""
+    return index_of(spark, d, "documents", "doc_id", {"text": 1.0}).bm25(QUERY.any).withColumnRenamed("key", "doc_id")
 
 
 def r2_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -115,10 +117,6 @@ def v2_l2_cosine(spark: SparkSession, d: str) -> DataFrame:
     return knn(spark, d, 50).select("probe", "vec_id", R6("similarity").alias("similarity"))
 
 
-def units(spark: SparkSession, d: str, every: int) -> DataFrame:
-    return table(spark, d, "embeddings").where(F.pmod("vec_id", F.lit(every)) == 0)
-
-
 def matches(spark: SparkSession, d: str) -> DataFrame:
     """Of every 50 vectors, a card, each fifth is an item and the others are the units that it may cover."""
     e = table(spark, d, "embeddings").withColumn("card", F.floor(F.col("vec_id") / 50))
@@ -160,11 +158,11 @@ def v9_token_cosine(spark: SparkSession, d: str) -> DataFrame:
 TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
 
 
-def bm25_sql(rel: str, key: str, columns: dict[str, float], terms: tuple[str, ...]) -> str:
+def bm25_sql(rel: str, key: str, columns: dict[str, float], terms: tuple[str, ...], prefixes: frozenset[str] = frozenset()) -> str:
     """CTEs that end in `bm(key, score, n_terms)`."""
     toks = ", ".join(f"{TOK.format(c)} AS t{i}" for i, c in enumerate(columns))
     length = " + ".join(f"len(t{i})" for i in range(len(columns)))
-    tf = lambda t: " + ".join(f"{w} * len(list_filter(t{i}, lambda x: x = '{t}'))" for i, w in enumerate(columns.values()))
+    tf = lambda t: " + ".join(f"{w} * len(list_filter(t{i}, lambda x: {f"starts_with(x, '{t}')" if t in prefixes else f"x = '{t}'"}))" for i, w in enumerate(columns.values()))
     n = range(len(terms))
     idf = lambda i: f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5)))"
     score = " + ".join(f"CASE WHEN tf{i} > 0 THEN {idf(i)} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / avgl)) ELSE 0 END" for i in n)
