@@ -6,8 +6,10 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from ctypes import CDLL
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,33 @@ def single_threaded() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+_models: dict = {}
+
+
+def tidy() -> None:
+    """Gives freed memory of a Python worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def model[T](name: tuple, make: Callable[[], T]) -> T:
+    """The one model that a Python worker holds. Workers outlive jobs, so what another operator left goes first."""
+    if name not in _models:
+        no_model()
+        _models[name] = make()
+        tidy()
+    return _models[name]
+
+
+def no_model() -> None:
+    if _models:
+        _models.clear()
+        tidy()
+
+
 #: Ids up to which joined_ids broadcasts them (8 bytes each, if integers).
 BROADCAST_IDS = 1_000_000
 

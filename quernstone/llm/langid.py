@@ -8,7 +8,7 @@ cost of the text in that language, and the cheapest language wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, slices
+from .common import held_out, model, slices, tidy
 
 #: Bounds of the learned sample: characters a language at most and at least, characters in all (however many languages
 #: there are, each has the least), characters of one row.
@@ -166,9 +166,9 @@ class Languages:
         return names, scores
 
 
-@lru_cache(maxsize=1)  # workers outlive a job, and a model is some 30 MB a language
 def learned(samples: tuple[tuple[str, str], ...]) -> Languages:
-    return Languages(samples)
+    """A model is some 30 MB a language."""
+    return model(("languages", samples), lambda: Languages(samples))
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -178,14 +178,15 @@ def predict_languages(docs: DataFrame, samples: dict[str, str], id_col: str = "d
     letter, and all texts when nothing was learned, get `und` and 0. Equal costs: the alphabetically first language.
     Repeated rows each get their row; a null id stays null and counts as held out. No other column is read.
     """
-    model = tuple(sorted(samples.items()))
+    known = tuple(sorted(samples.items()))
     kept = [c for c in keep if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = learned(model).predict([x or "" for x in b.column("__text").to_pylist()])
+            names, scores = learned(known).predict([x or "" for x in b.column("__text").to_pylist()])
             rest = [i for i, f in enumerate(b.schema.names) if f != "__text" or text_col in keep]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in rest] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[b.schema.names[i] for i in rest] + ["lang_pred", "score"])
+        tidy()
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), held_out(F.col(id_col)).alias("__held"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)])
     out = rows.mapInArrow(run, T.StructType([f for f in rows.schema if f.name != "__text" or text_col in keep]).add("lang_pred", "string").add("score", "double"))

@@ -14,7 +14,6 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import single_threaded, slices, stored
+from .common import model, single_threaded, slices, stored, tidy
 
 #: Pieces an island should hold, packings it evolves, crossovers, and the share of well-filled bins that a child takes.
 ISLAND, PACKINGS, CROSSOVERS, TAKEN = 6_000, 4, 10, 0.7
@@ -72,9 +71,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, self.words.findall(text.lower())))
 
 
-@cache
 def word_ids(vocabulary: str) -> WordIds:
-    return WordIds(vocabulary)
+    return model(("word ids", vocabulary), lambda: WordIds(vocabulary))
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, separator: int, id_col: str, text_col: str) -> DataFrame:
@@ -82,13 +80,13 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, separator: int, i
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = word_ids(vocabulary)
+        known = word_ids(vocabulary)
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             at, piece, start, length, crc = [], [], [], [], []
             for begin, stop in slices([len(x) for x in texts]):
                 for i in range(begin, stop):
-                    data = model.of(texts[i]) + end
+                    data = known.of(texts[i]) + end
                     for k in range(0, len(data), 4 * capacity):
                         part = data[k : k + 4 * capacity]
                         at.append(i)
@@ -97,6 +95,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, separator: int, i
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

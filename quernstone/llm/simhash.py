@@ -21,9 +21,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import joined_ids, slices, stored
+from .common import forget, joined_ids, no_model, slices, stored, tidy
 from .components import components
 from .substrings import FACTOR, mixed
 
@@ -38,6 +39,8 @@ LEAF, BLOCK = 192, 1 << 20
 #: Words of a segment on average; documents that all others with an equal segment are compared with; least shingles
 #: of a short text, and the segments up to which it is short.
 SEGMENT, HEADS, SHORT = 16, 2, 4
+#: Words below which a document's least SKETCH shingles are looked at too, of which the RARE rarest are met.
+SKETCHED, SKETCH, RARE = 320, 64, 4
 
 
 def words_of(text: str) -> list[bytes]:
@@ -248,13 +251,15 @@ def majority(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def with_segments(rows: DataFrame, shingle: int) -> DataFrame:
-    """k, n (different shingles of the document) and f (a segment's fingerprint) for rows of k and text, each once."""
+    """k, n (different shingles of the document) and f (a segment's fingerprint) for rows of k and text, each once; and,
+    `alone`, the least shingles of documents of few segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_model()
         for b in batches:
             texts = b.column(1).to_pylist()
             for begin, end in slices([len(x) for x in texts], 1 << 19):
-                of, parts, sizes, known = [], [], [], {}
+                of, parts, sizes, known, least = [], [], [], {}, []
                 for i in range(begin, end):
                     words = words_of(texts[i])
                     if not words:
@@ -265,13 +270,30 @@ def with_segments(rows: DataFrame, shingle: int) -> DataFrame:
                     own = segments(ids, grams, shingle)
                     of += [i] * len(own)
                     parts += own
-                    sizes += [len(np.unique(grams))] * len(own)
+                    once = np.unique(grams)
+                    sizes += [len(once)] * len(own)
+                    if len(words) < SKETCHED:
+                        least.append((i, len(once), once[:SKETCH]))
                 if parts:
                     f = majority(parts).view(np.int64)
                     once = pd.DataFrame({"of": of, "f": f}).drop_duplicates().index.to_numpy()
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(of)[once])), pa.array(np.array(sizes)[once], pa.int64()), pa.array(f[once])], names=["k", "n", "f"])
+                    own = pa.array(np.zeros(len(once), bool))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(of)[once])), pa.array(np.array(sizes)[once], pa.int64()), pa.array(f[once]), own], names=["k", "n", "f", "alone"])
+                if least:
+                    of = np.repeat([i for i, _, _ in least], [len(x) for _, _, x in least])
+                    n = np.repeat([n for _, n, _ in least], [len(x) for _, _, x in least])
+                    f = np.concatenate([x for _, _, x in least]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(n, pa.int64()), pa.array(f), pa.array(np.ones(len(f), bool))], names=["k", "n", "f", "alone"])
+        tidy()
 
-    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n long, f long")
+    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n long, f long, alone boolean")
+
+
+def rare_shingles(parts: DataFrame) -> DataFrame:
+    """k, n, f: of each document the RARE sketched shingles that the fewest other documents have, but one at least."""
+    counts = parts.groupBy("f").agg(F.count("*").alias("m")).where("m > 1")
+    place = F.row_number().over(W.partitionBy("k").orderBy("m", "f"))
+    return parts.join(counts, "f").withColumn("place", place).where(F.col("place") <= RARE).select("k", "n", "f")
 
 
 def similar(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -295,10 +317,14 @@ def similar_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
     similarity, verified.
 
     Candidates are a document and each of its segments' heads: of all documents with that segment the HEADS that come
-    first in as many fixed random orders. A group with a common segment thus gives HEADS pairs a document, not all;
-    pairs without an equal segment, or that share one with none of its heads, are not met.
+    first in as many fixed random orders. A group with a common segment thus gives HEADS pairs a document, not all. In
+    documents of few segments, which may all hold a change or belong to boilerplate, the rarest shingles that stand
+    elsewhere too are met in the same way. Pairs that share none of these, or share them with none of the heads, are
+    not met.
     """
-    parts = stored(with_segments(rows, shingle))
+    found = stored(with_segments(rows, shingle))
+    parts = stored(found.where("NOT alone").drop("alone").union(rare_shingles(found.where("alone").drop("alone"))))
+    forget(found)
     first = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), "k", "n")) for i in range(HEADS)]
     met = parts.groupBy("f").agg(F.count("*").alias("m"), F.array_distinct(F.array(*[F.struct(x["k"].alias("k"), x["n"].alias("n")) for x in first])).alias("heads")).where("m > 1")
     sides = parts.join(met.select("f", F.explode("heads").alias("head")), "f")

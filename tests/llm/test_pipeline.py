@@ -95,3 +95,37 @@ def test_near_copies_tells_texts_of_one_id_apart(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == [(1, one), (1, two)]
     assert kept.count() == 3
+
+
+@pytest.mark.parametrize("shared", [20, 60, 80])
+def test_near_copies_among_boilerplate(spark, shared):
+    """Pairs of 100 words of which all documents share some; two of a pair's own words are changed."""
+    rng = random.Random(shared)
+    boilerplate = [f"b{i}" for i in range(shared)]
+    texts = []
+    for i in range(150):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(100 - shared)]
+        copy = list(own)
+        at = rng.randrange(len(own) - 1)
+        copy[at], copy[at + 1] = f"c{i}", f"d{i}"
+        texts += [" ".join(boilerplate + own), " ".join(boilerplate + copy)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect()}
+    least = groups(texts)
+    later = [i for i, x in enumerate(least) if x != i]
+    assert len(later) >= 100 and sum(i not in kept for i in later) >= 0.9 * len(later)
+    if shared < 80:  # there unrelated documents are similar enough for equal fingerprints of three words, which link too
+        assert all(i in kept for i in set(least))
+
+
+def test_stages_on_awkward_rows(spark):
+    """Very long texts, ties, repeated rows, nulls and columns named as the operators name theirs."""
+    long = " ".join(f"word{i % 977}" for i in range(30_000))
+    rows = [(1, long), (1, long), (2, long), (3, None), (None, "a few words of an ordinary text"), (4, "line one here\nline one here\nline one here"), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, 7, 7, 7, 7, 7, 7) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, own int, line_text int, k int, f int, n int, lang_pred int")
+    kept = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES}
+    for name in ("language", "lines", "near_copies", "decontaminated"):
+        assert kept[name].columns == docs.columns
+    ids = {name: sorted(str(r.doc_id) for r in kept[name].select("doc_id").collect()) for name in kept}
+    assert ids["language"] == ["1", "1", "2", "4", "None"] and ids["near_copies"] == ["1", "3", "4", "None"]
+    assert set(ids["decontaminated"]) == set(ids["packed"]) == {"1", "2", "3", "4", "5", "None"}
