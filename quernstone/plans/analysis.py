@@ -12,6 +12,7 @@ from quernstone.functions import snippets as N
 from quernstone.functions import text as T
 from quernstone.operators import cards as C
 from quernstone.operators import fold as X
+from quernstone.operators.upkeep import holding_quotes
 from quernstone.plans.tables import table
 
 R6 = lambda c: F.round(c, 6)
@@ -67,9 +68,10 @@ def c9_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c10_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the middle of a benchmark item, verbatim after normalising; the items are a stated, small set of queries."""
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 10, 40).alias("quote"))
-    return table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items), F.contains(T.quote_normalized(F.col("text")), T.quote_normalized(F.col("quote")))).where(F.char_length(T.quote_normalized(F.col("quote"))) >= 16).select("item_id", F.md5("text").alias("text_md5")).distinct()
+    """Texts that hold a whole benchmark item, verbatim after normalising."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = holding_quotes(docs, items, "doc_id", "text", "item_id", "quote").select("doc_id", "item_id")
+    return docs.join(found, "doc_id").select("item_id", F.md5("text").alias("text_md5")).distinct()
 
 
 def c11_word_count(spark: SparkSession, d: str) -> DataFrame:
@@ -206,11 +208,12 @@ def g8_open_threads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g10_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Items as sentences that cite themselves and the next one; of every third the quote is too short."""
     b = table(spark, d, "benchmark")
-    sentences = b.select(F.pmod("item_id", F.lit(4)).alias("answer"), F.col("item_id").alias("place"), F.substring("text", 1, 90).alias("text"), F.array(F.col("item_id"), F.col("item_id") + 1).alias("cites"))
-    evidence = b.select(F.pmod("item_id", F.lit(4)).alias("answer"), F.col("item_id").alias("cite"), F.col("item_id").alias("session"), F.lit(1).alias("seq"), F.substring("text", 5, F.when(F.col("item_id") % 3 == 0, 9).otherwise(30)).alias("quote"))
-    units_ = b.select(F.col("item_id").alias("session"), F.lit(1).alias("seq"), F.upper("text").alias("unit_text"))
-    return C.filter_answer(sentences, evidence, units_, "place", 30).select("answer", "place", F.array_join(F.col("cites").cast("array<string>"), ",").alias("cites"))
+    sentences = b.select(F.pmod("item_id", F.lit(4)).alias("answer"), F.col("item_id").alias("place"), "text", F.array(F.col("item_id"), F.col("item_id") + 1).alias("cites"))
+    evidence = b.select(F.pmod("item_id", F.lit(4)).alias("answer"), F.col("item_id").alias("cite"), F.col("item_id").alias("session"), F.lit(1).alias("seq"), F.when(F.col("item_id") % 3 == 0, F.substring("text", 1, 9)).otherwise(F.replace("text", F.lit(" "), F.lit("\n"))).alias("quote"))
+    units_ = b.select(F.col("item_id").alias("session"), F.lit(1).alias("seq"), F.concat(F.lit("It said: "), "text", F.lit(" -- and so on")).alias("unit_text"))
+    return C.filter_answer(sentences, evidence, units_, "place", 200).select("answer", "place", F.array_join(F.col("cites").cast("array<string>"), ",").alias("cites"))
 
 
 def a25_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +251,8 @@ ORACLE_SQL = {
     "c6_content_tokens": f"SELECT p_partkey, array_to_string({CT('p_name || chr(32) || chr(116) || chr(104) || chr(101) || chr(32) || p_type || chr(32) || p_brand')}, ',') AS tokens FROM part",
     "c7_paths": "SELECT page_id, lower(regexp_replace(regexp_replace('./' || url, '^[.]/', ''), '^/+', '')) AS path, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS slug, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS segment FROM pages",
     "c9_entropy": f"WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS s FROM part) SELECT p_partkey, round({BITS.format('s')}, 6) AS bits FROM p",
-    "c10_quotes": f"SELECT DISTINCT item_id, md5(d.text) AS text_md5 FROM documents d JOIN benchmark b ON contains({QN('d.text')}, {QN('substr(b.text, 10, 40)')}) AND length({QN('substr(b.text, 10, 40)')}) >= 16",
+    "c10_quotes": f"SELECT DISTINCT item_id, md5(d.text) AS text_md5 FROM documents d JOIN benchmark b ON contains({QN('d.text')}, {QN('b.text')}) AND length({QN('b.text')}) >= 16 AND len(regexp_extract_all({QN('b.text')}, '[\\p{{L}}\\p{{N}}_]+')) > 2",
+    "g10_answer": f"WITH k AS (SELECT item_id % 4 AS answer, item_id AS place, {WORDS} AS words FROM benchmark WHERE item_id % 3 <> 0 AND length({QN('text')}) >= 16), r AS (SELECT *, sum(words) OVER w AS used, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY answer ORDER BY place)) SELECT answer, place, CAST(place AS VARCHAR) AS cites FROM r WHERE used <= 200 OR n = 1",
     "c11_word_count": f"SELECT doc_id, CAST({WORDS} AS BIGINT) AS n_words, CAST(ceil(length(coalesce(text, '')) / 3.6::DOUBLE) AS BIGINT) AS n_tokens FROM documents",
     "c12_exchange_id": "SELECT DISTINCT l_orderkey, l_linenumber, substr(sha256(l_orderkey || ':' || l_linenumber), 1, 32) AS id FROM lineitem",
     "c15_epoch": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events",

@@ -110,7 +110,7 @@ def f12_exclude_null_safe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family(spark: SparkSession, d: str) -> DataFrame:
-    return sessions(spark, d).where("o_custkey % 4 > 0").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 3 END").alias("parent"))
+    return sessions(spark, d).select("o_orderkey", F.expr("CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey + 3 WHEN o_orderkey % 10 = 5 THEN -o_orderkey END").alias("parent"))
 
 
 def f13_tri_state(spark: SparkSession, d: str) -> DataFrame:
@@ -394,7 +394,7 @@ f AS (SELECT conv_id, CAST(seq AS BIGINT) AS seq, coalesce(string_agg(text, chr(
 x AS (SELECT * FROM f WHERE trim(u, ' ') <> '' OR trim(a, ' ') <> '')"""
 SESS = "(SELECT *, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) END AS ended FROM orders)"
 EDGE = "(SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)"
-FAM = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 3 END AS parent FROM orders WHERE o_custkey % 4 > 0)"
+FAM = "(SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey + 3 WHEN o_orderkey % 10 = 5 THEN -o_orderkey END AS parent FROM orders)"
 GHOST = "(SELECT * FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey))"
 BARE = "regexp_replace(url, '^https?://', '')"
 LOG = """ev AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts, CASE WHEN event_type = 'error' THEN '' ELSE 'please handle the next ' || event_type END AS display, CASE WHEN value > 5 THEN '/w/p' || (user_id % 9) ELSE '' END AS project FROM events WHERE user_id IS NOT NULL),

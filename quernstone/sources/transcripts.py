@@ -12,10 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import exchange_id
+from quernstone.operators.stored import kept
 from quernstone.sources.jsonl import at
 
 #: Keys of a tool's input that name a file; of a JSON document, that hold its turns.
-FILE_KEYS = ["file_path", "path", "notebook_path", "filePath", "filename"]
+#: Keys of a tool's input that name a file.
+FILE_KEYS = ["file_path", "filePath", "notebook_path", "notebookPath", "path"]
+#: Arrays within arrays' elements that are looked into.
+DEPTH = 8
 TURN_KEYS = ["history", "messages", "contents", "turns", "conversation"]
 TURNS = ("path", "line", "part", "kind", "ts", "text", "call", "name", "input", "is_error")
 
@@ -106,10 +110,22 @@ def english_time(text: Column) -> Column:
     return F.when(part(1) != "", F.date_format(F.timestamp_add("MINUTE", -minutes, local), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
-def tree_chains(recs: DataFrame) -> DataFrame:
+#: Nodes of a file up to which one task follows its pointers; those of larger files are followed by doubling.
+TASK_NODES = 200_000
+
+
+def tree_chains(recs: DataFrame, task_nodes: int = TASK_NODES) -> DataFrame:
     """path, line, chain: nodes that point at their parents, as the main line (0: from the last node to its root) and
-    the side chains (1, 2, ...). Pointers are followed within one file, a task's work."""
+    the side chains (1, 2, ...). A pointer to an id that stands twice means the later node; cycles end where they meet
+    themselves."""
+    nodes = recs.where(at("v", "id").isNotNull() & (at("v", "type") != "session")).select("path", "line", at("v", "id").alias("id"), at("v", "parentId").alias("parent"))
+    large = [r.path for r in nodes.groupBy("path").count().where(F.col("count") > task_nodes).collect()]
+    if not large:
+        return chains_by_task(nodes)
+    return chains_by_task(nodes.where(~F.col("path").isin(large))).unionByName(chains_by_doubling(nodes.where(F.col("path").isin(large))))
 
+
+def chains_by_task(nodes: DataFrame) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("line").reset_index(drop=True)
         of = {i: n for n, i in enumerate(g["id"])}
@@ -124,8 +140,39 @@ def tree_chains(recs: DataFrame) -> DataFrame:
                 last, chain[n] = (last, side) if side > 0 else (last + 1, last + 1)
         return pd.DataFrame({"path": g["path"], "line": g["line"], "chain": chain})
 
-    nodes = recs.where(at("v", "id").isNotNull() & (at("v", "type") != "session")).select("path", "line", at("v", "id").alias("id"), at("v", "parentId").alias("parent"))
-    return nodes.groupBy("path").applyInPandas(run, "path string, line int, chain int")
+    return nodes.groupBy("path").applyInPandas(run, "path string, line long, chain int")
+
+
+def chains_by_doubling(nodes: DataFrame) -> DataFrame:
+    """The same by pointer doubling: after k rounds a node knows its ancestor 2^k generations up, so that a tree of n
+    nodes takes log2(n) joins however deep it is, and no file's nodes meet in one task."""
+    nodes = nodes.withColumn("line", F.col("line").cast("long"))
+    last = nodes.groupBy("path", F.col("id").alias("parent")).agg(F.max("line").alias("up"))
+    up = kept(nodes.join(last, ["path", "parent"], "left").select("path", "line", "up"))
+    most = nodes.groupBy("path").count().agg(F.max("count")).first()[0] or 1
+    rounds = max(1, int(most).bit_length())
+    jump, main = up, up.groupBy("path").agg(F.max("line").alias("line"))
+
+    def hop(rows: DataFrame, over: DataFrame) -> DataFrame:
+        """rows (path, line, up) with the pointer of the node that up points at."""
+        step = over.select("path", F.col("line").alias("up"), F.col("up").alias("further"))
+        return rows.where("up IS NOT NULL").join(step, ["path", "up"]).select("path", "line", F.col("further").alias("up"))
+
+    for _ in range(rounds):
+        above = jump.where("up IS NOT NULL").join(main, ["path", "line"], "left_semi").select("path", F.col("up").alias("line"))
+        main = kept(main.union(above).distinct())
+        jump = kept(hop(jump, jump))
+    # off the main line: up to the node whose parent is on it, is none, or stands later in the file
+    off = up.join(main, ["path", "line"], "left_anti")
+    held = off.join(main.select("path", F.col("line").alias("up"), F.lit(True).alias("on")), ["path", "up"], "left")
+    first = F.col("up").isNull() | F.col("on").isNotNull() | (F.col("up") > F.col("line"))
+    root = kept(held.select("path", "line", F.when(first, F.col("line")).otherwise(F.col("up")).alias("up")))
+    for _ in range(rounds):
+        root = kept(hop(root, root))
+    number = F.dense_rank().over(W.partitionBy("path").orderBy("up"))
+    heads = root.select("path", "up").distinct().withColumn("chain", number)
+    sides = root.join(heads, ["path", "up"]).select("path", "line", "chain")
+    return main.select("path", "line", F.lit(0).alias("chain")).unionByName(sides)
 
 
 def pi_turns(recs: DataFrame) -> DataFrame:
@@ -168,12 +215,20 @@ def all_turns(recs: DataFrame, formats: DataFrame) -> DataFrame:
     return out
 
 
-def files_in(input: Column) -> Column:  # noqa: A002
-    """Files that a tool's input names, also in the elements of its arrays, once each and in order."""
-    v = F.try_parse_json(input)
-    own = [F.nullif(at(v, k), F.lit("")) for k in FILE_KEYS]
-    deep = F.flatten(F.transform(F.coalesce(blocks(v, "edits"), F.array().cast("array<variant>")), lambda b: F.array(*[F.nullif(at(b, k), F.lit("")) for k in FILE_KEYS])))
-    return F.array_distinct(F.filter(F.concat(F.array(*own), deep), lambda x: x.isNotNull()))
+def files_in(input: Column, depth: int = DEPTH) -> Column:  # noqa: A002
+    """Files that a tool's input names: by its own keys, then in the objects that its arrays hold, and so on; once
+    each, in that order. No object, no files."""
+    found = F.array(F.struct(F.array().cast("array<int>").alias("at"), F.try_parse_json(input).alias("v")))
+    named = []
+    for level in range(depth):
+        own = lambda x: F.array(*[F.struct(F.concat(x.at, F.array(F.lit(-1), F.lit(i))).alias("at"), at(x.v, k).alias("file")) for i, k in enumerate(FILE_KEYS)])
+        named.append(F.flatten(F.transform(found, own)))
+        if level < depth - 1:
+            arrays = lambda x: F.transform(F.map_values(F.coalesce(F.try_variant_get(x.v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda a: F.coalesce(F.try_variant_get(a, "$", "array<variant>"), F.array().cast("array<variant>")))
+            inner = lambda x: F.flatten(F.transform(arrays(x), lambda a, i: F.transform(a, lambda e, j: F.struct(F.concat(x.at, F.array(i, j)).alias("at"), e.alias("v")))))
+            found = F.flatten(F.transform(found, inner))
+    good = F.filter(F.concat(*named), lambda x: F.trim(x.file) != "")
+    return F.array_distinct(F.transform(F.array_sort(good), lambda x: x.file))
 
 
 def fold(turns: DataFrame, restamp: bool = False) -> tuple[DataFrame, DataFrame]:

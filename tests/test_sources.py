@@ -212,3 +212,28 @@ def test_open_exchanges(spark, tmp_path):
     last = every.groupBy("conv_id").agg(F.max("seq").alias("m"))
     want = {(r.conv_id, r.seq, r.user_text, r.assistant_text) for r in every.join(last, "conv_id").where("seq < m").collect()}
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == want
+
+
+def nodes_of(spark, files):
+    rows = [(f"f{p}", line, i, up) for p, held in enumerate(files) for line, (i, up) in enumerate(held)]
+    return spark.createDataFrame(rows, "path string, line long, id string, parent string")
+
+
+def test_chains_by_doubling_are_those_of_a_task(spark):
+    import random
+
+    r = random.Random(7)
+    files = [[("a", None)], [("a", "a")], [("a", "b"), ("b", "a"), ("c", "x")], [("a", None), ("a", "a"), ("b", "a")]]
+    for _ in range(12):
+        n = r.randrange(2, 40)
+        files.append([(f"n{r.randrange(n) if r.random() < 0.1 else i}", r.choice([None, "gone", *[f"n{r.randrange(n if r.random() < 0.1 else max(1, i))}" for _ in range(8)]])) for i in range(n)])
+    files.append([(f"n{i}", f"n{i - 1}" if i else None) for i in range(300)])
+    nodes = nodes_of(spark, files)
+    pick = lambda df: sorted(tuple(x) for x in df.select("path", "line", "chain").collect())
+    assert pick(transcripts.chains_by_doubling(nodes)) == pick(transcripts.chains_by_task(nodes))
+
+
+def test_files_at_any_depth(spark):
+    deep = {"path": "/1", "edits": [{"file_path": "/2", "more": [{"path": "/3", "x": [{"notebookPath": "/4", "y": [{"filePath": "/5"}]}]}]}, {"path": "/6"}], "z": ["no", 3, [{"path": "/not-an-object"}], {"path": "/1"}], "o": {"path": "/no"}}
+    rows = spark.createDataFrame([(json.dumps(deep),), ("[]",), ("{",), (None,), ('{"path": " "}',)], "i string")
+    assert [r.f for r in rows.select(transcripts.files_in(F.col("i")).alias("f")).collect()] == [["/1", "/2", "/3", "/4", "/5", "/6"], [], [], [], []]
