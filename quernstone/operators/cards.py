@@ -58,11 +58,15 @@ def open_threads(decisions: DataFrame, tokens: DataFrame, mentions: DataFrame, l
     mentions: project, tokens (array) of what the other side says. Projects meet on the tokens they share, never all
     with all; a mention is compared only where it shares a token with the decision, since without one it is not alike.
     """
-    mine, theirs = tokens.select(F.col("project").alias("a"), "token"), tokens.select(F.col("project").alias("b"), "token")
-    shared = mine.join(theirs, "token").where((F.col("a") != F.col("b")) & ~same_project(F.col("a"), F.col("b")))
-    near = shared.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= overlap).select("a", "b")
+    theirs = tokens.select(F.col("project").alias("b"), "token")
     d = decisions.select("decision", F.col("project").alias("a"), "what", F.array_distinct("tokens").alias("dt"))
-    anchored = d.select("decision", "a", F.explode("dt").alias("token")).join(shared, ["a", "token"]).groupBy("decision", "a", "b").agg(F.count("*").alias("anchor")).where(F.col("anchor") >= anchors)
+    # the decisions' own tokens lead: a word that many projects have makes no pairs of projects unless a decision has it
+    told = d.select("decision", "a", F.explode("dt").alias("token")).join(tokens.withColumnRenamed("project", "a"), ["a", "token"], "left_semi")
+    apart = (F.col("a") != F.col("b")) & ~same_project(F.col("a"), F.col("b"))
+    anchored = told.join(theirs, "token").where(apart).groupBy("decision", "a", "b").agg(F.count("*").alias("anchor")).where(F.col("anchor") >= anchors)
+    pairs = anchored.select("a", "b").distinct()
+    mine = pairs.join(tokens.withColumnRenamed("project", "a"), "a")
+    near = mine.join(theirs, ["b", "token"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= overlap).select("a", "b")
     raised = anchored.join(near, ["a", "b"])
     said = mentions.withColumn("m", F.monotonically_increasing_id()).select("m", F.col("project").alias("b"), F.array_distinct("tokens").alias("mt"))
     words = said.select("m", "b", F.size("mt").alias("size"), F.explode("mt").alias("token"))
@@ -145,11 +149,22 @@ def recall_at(expected: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (1,
     return rows.agg(F.count("*").alias("n_queries"), *[F.count_if(F.col("rank") <= k).alias(f"hits_at_{k}") for k in ks])
 
 
-def nearest_rank(value: str, shares: tuple[float, ...]) -> list[Column]:
-    """Percentiles as elements of the sorted values: the one at floor(p * n), from 0."""
-    listed = F.array_sort(F.collect_list(value))
-    at = lambda p: F.least(F.size(listed), F.floor(F.lit(p) * F.size(listed)).cast("int") + 1)
-    return [F.element_at(listed, at(p)).alias(f"p{round(100 * p)}") for p in shares]
+def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, ...], pieces: int = 256) -> DataFrame:
+    """group, p50, ...: percentiles as elements of the sorted values, the one at floor(p * n), from 0; nulls don't count.
+
+    Equal values are counted before they are sorted. A group's values fall into pieces between approximate quantiles;
+    counts tell the piece that holds a rank, and only that one is sorted, so that no task gets all values of a group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    bounds = counts.groupBy(group).agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("bounds"), F.sum("n").alias("total"))
+    cut = counts.join(bounds, group).withColumn("piece", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    sums = cut.groupBy(group, "piece", "total").agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(W.partitionBy(group).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * p)}").alias("name"), F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total"))).alias("at")) for p in shares]))
+    held = sums.withColumn("before", before).select(group, "piece", "m", "before", wanted.alias("x")).where("x.at >= before AND x.at < before + m")
+    until = F.sum("n").over(W.partitionBy(group, "piece", "name").orderBy("v"))
+    inside = cut.join(held.select(group, "piece", "before", "x.name", "x.at"), [group, "piece"]).withColumn("until", F.col("before") + until)
+    found = inside.where("at < until AND at >= until - n")
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("name") == f"p{round(100 * p)}", F.col("v"))).alias(f"p{round(100 * p)}") for p in shares])
 
 
 def overlap_share(question: Column, target: Column) -> Column:

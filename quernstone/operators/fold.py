@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,16 +41,17 @@ def census(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def chunks(units: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """Greedy chunk number of each unit: a chunk closes when the next unit would exceed `most`. A sequential fold over
-    a group's ordered units, in the JVM."""
-    listed = units.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("u"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,chunk:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = (acc.used > 0) & (acc.used + x.n > most)
-        chunk = F.when(opens, acc.chunk + 1).otherwise(acc.chunk)
-        used = F.when(opens, x.n).otherwise(acc.used + x.n)
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(acc.out, F.array(F.struct(x.o.cast("long").alias("o"), chunk.alias("chunk")))).alias("out"))
-
-    folded = listed.select(group, F.explode(F.aggregate("u", start, step).out).alias("x"))
-    return folded.select(group, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
+    """Greedy chunk number of each unit: a chunk closes when the next unit would exceed `most`. Each depends on the one
+    before, so a group's ordered sizes, without its texts, are run over in one pass of a task."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        chunk, used, out = 0, 0, []
+        g = g.sort_values("o")
+        for n in g["n"]:
+            chunk, used = (chunk + 1, n) if used > 0 and used + n > most else (chunk, used + n)
+            out.append(chunk)
+        return pd.DataFrame({group: g["g"], order: g["o"], "chunk": out})
+
+    rows = units.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))
+    kind = {c: units.schema[c].dataType.simpleString() for c in (group, order)}
+    return rows.groupBy("g").applyInPandas(run, f"{group} {kind[group]}, {order} {kind[order]}, chunk long")

@@ -135,7 +135,7 @@ def d7_elide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r13_snippets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(F.col("text").contains("license"))
+    rows = table(spark, d, "documents").where(F.lower("text").contains("license"))
     return rows.select("doc_id", N.snippet(F.col("text"), ["license", "the"]).alias("snippet"))
 
 
@@ -223,7 +223,7 @@ def a25_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a25_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(*C.nearest_rank("value", (0.5, 0.95)))
+    return C.nearest_rank(table(spark, d, "events"), "event_type", "value", (0.5, 0.95))
 
 
 def a26_overlap(spark: SparkSession, d: str) -> DataFrame:
