@@ -135,8 +135,15 @@ def d7_elide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r13_snippets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(F.lower("text").contains("license"))
-    return rows.select("doc_id", N.snippet(F.col("text"), ["license", "the"]).alias("snippet"))
+    """Of every document the passage that answers best."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return N.dense_snippets(rows, "doc_id", "text", ["license", "the", "and"]).select("doc_id", F.md5("snippet").alias("snippet_md5"))
+
+
+def r12_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the words that match a term, either way round."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(N.hits(F.col("text"), ["then", "un", "lich"])).alias("h"))
+    return rows.groupBy("conv_id", "turn", "h.term").agg(F.count("*").alias("n"), F.sum("h.begin").alias("begins"), F.sum("h.end").alias("ends"))
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +239,7 @@ def a26_overlap(spark: SparkSession, d: str) -> DataFrame:
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", R6(C.overlap_share(F.col("t"), F.col("u"))).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (c1_collapse, c2_boilerplate, c3_substantive, c4_tag_norm, c6_content_tokens, c7_paths, c9_entropy, c10_quotes, c11_word_count, c12_exchange_id, c15_epoch, c17_elide_middle, c22_decisions, d1_redact, d2_secret_counts, d4_assigned, d5_entropy_tokens, a15_mask_tally, d7_elide, r13_snippets, a22_card_plan, a23_estimate, a16_generic_df, a18_calibration_median, a20_session_score, u7_supplement, w5_word_budget, g13_recent_k, g11_fair_excerpts, w13_citation_numbers, j14_citations, g8_open_threads, g10_answer, a25_recall, a25_percentiles, a26_overlap)}
+QUERIES = {f.__name__: f for f in (c1_collapse, c2_boilerplate, c3_substantive, c4_tag_norm, c6_content_tokens, c7_paths, c9_entropy, c10_quotes, c11_word_count, c12_exchange_id, c15_epoch, c17_elide_middle, c22_decisions, d1_redact, d2_secret_counts, d4_assigned, d5_entropy_tokens, a15_mask_tally, d7_elide, r13_snippets, r12_hits, a22_card_plan, a23_estimate, a16_generic_df, a18_calibration_median, a20_session_score, u7_supplement, w5_word_budget, g13_recent_k, g11_fair_excerpts, w13_citation_numbers, j14_citations, g8_open_threads, g10_answer, a25_recall, a25_percentiles, a26_overlap)}
 STOP = "[" + ", ".join(f"'{w}'" for w in T.TOPIC_STOPWORDS) + "]"
 CT = lambda e: f"list_filter(regexp_split_to_array(lower({e}), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND regexp_matches(t, '[a-z]') AND NOT list_contains({STOP}, t))"
 SQUASH = r"trim(regexp_replace({0}, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ')"
@@ -251,6 +258,10 @@ ORACLE_SQL = {
     "c6_content_tokens": f"SELECT p_partkey, array_to_string({CT('p_name || chr(32) || chr(116) || chr(104) || chr(101) || chr(32) || p_type || chr(32) || p_brand')}, ',') AS tokens FROM part",
     "c7_paths": "SELECT page_id, lower(regexp_replace(regexp_replace('./' || url, '^[.]/', ''), '^/+', '')) AS path, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS slug, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS segment FROM pages",
     "c9_entropy": f"WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS s FROM part) SELECT p_partkey, round({BITS.format('s')}, 6) AS bits FROM p",
+    "r12_hits": r"""WITH w AS (SELECT conv_id, turn, unnest(list_zip(regexp_split_to_array(text, '[\p{L}\p{N}_]+'), list_concat(regexp_extract_all(text, '[\p{L}\p{N}_]+'), ['']))) AS z, unnest(range(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) + 1)) AS i FROM conversations),
+p AS (SELECT conv_id, turn, lower(z[2]) AS word, length(z[2]) AS size, sum(length(z[1]) + length(z[2])) OVER (PARTITION BY conv_id, turn ORDER BY i) AS fin FROM w),
+m AS (SELECT *, CASE WHEN starts_with(word, 'then') THEN 0 WHEN starts_with(word, 'lich') THEN 2 WHEN word = 'un' THEN 1 END AS term FROM p)
+SELECT conv_id, turn, CAST(term AS INTEGER) AS term, count(*) AS n, CAST(sum(fin - size) AS BIGINT) AS begins, CAST(sum(fin) AS BIGINT) AS ends FROM m WHERE term IS NOT NULL GROUP BY conv_id, turn, term""",
     "c10_quotes": f"SELECT DISTINCT item_id, md5(d.text) AS text_md5 FROM documents d JOIN benchmark b ON contains({QN('d.text')}, {QN('b.text')}) AND length({QN('b.text')}) >= 16 AND len(regexp_extract_all({QN('b.text')}, '[\\p{{L}}\\p{{N}}_]+')) > 2",
     "g10_answer": f"WITH k AS (SELECT item_id % 4 AS answer, item_id AS place, {WORDS} AS words FROM benchmark WHERE item_id % 3 <> 0 AND length({QN('text')}) >= 16), r AS (SELECT *, sum(words) OVER w AS used, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY answer ORDER BY place)) SELECT answer, place, CAST(place AS VARCHAR) AS cites FROM r WHERE used <= 200 OR n = 1",
     "c11_word_count": f"SELECT doc_id, CAST({WORDS} AS BIGINT) AS n_words, CAST(ceil(length(coalesce(text, '')) / 3.6::DOUBLE) AS BIGINT) AS n_tokens FROM documents",

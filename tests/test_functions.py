@@ -5,7 +5,6 @@ from datetime import UTC, datetime
 
 import pytest
 from quernstone.functions import redact as R
-from quernstone.functions.snippets import dense_snippet
 from quernstone.functions.when import parse_when
 from quernstone.operators.search import term_query
 
@@ -145,12 +144,47 @@ def test_elide(spark):
     assert elide(spark, found) == found
 
 
-def test_snippet():
-    text = "filler words here. " * 30 + "the needle meets the thread again. " + "more filler comes. " * 30
-    found = dense_snippet(text, ["needle", "thread"])
-    assert "needle" in found and "thread" in found and len(found) <= 200
-    assert dense_snippet(text, ["absent"]) == text[: len(dense_snippet(text, ["absent"]))]
-    assert dense_snippet("short", ["x"]) == "short"
+def passage_by_hand(text, terms, most=200, lead=40):
+    import re
+
+    if text is None or len(text) <= most:
+        return text
+    same = lambda w, t: w == t or min(len(w), len(t)) >= 4 and (w.startswith(t) or t.startswith(w))
+    found = [(m.start(), m.end(), max((t for t in terms if same(m.group().lower(), t)), key=lambda t: (len(t), t), default=None)) for m in re.finditer(r"‹[^›]*›|\w+", text) if m.group()[0] != "‹"]
+    found = [h for h in found if h[2]]
+    at, best = 0, None
+    for a, _, _ in found:
+        low = max(0, min(a - lead, len(text) - most))
+        held = [t for x, y, t in found if low <= x and y <= low + most]
+        score = (-len(set(held)), -len(held), a)
+        if best is None or score < best:
+            best, at = score, a
+    low = max(0, min(at - lead, len(text) - most))
+    high = low + most
+    word = lambda i: 0 <= i < len(text) and bool(re.match(r"\w", text[i]))
+    if low and word(low - 1):
+        while word(low):
+            low += 1
+    if high < len(text) and word(high):
+        while word(high - 1):
+            high -= 1
+    return re.sub("‹[^›]*$", "", re.sub("^[^‹›]*›", "", text[low:high])).strip(" ")
+
+
+def test_snippets_by_hand(spark):
+    import random
+
+    from quernstone.functions.snippets import dense_snippets
+
+    r = random.Random(11)
+    words = ["needle", "needles", "need", "thread", "thr", "Threads", "filler", "é漢字", "a", "‹redacted:aws:01234567›", "x_y"]
+    texts = [None, "", "short needle", "needle " * 2000]
+    for _ in range(150):
+        texts.append("".join(r.choice(words if r.random() < 0.2 else words[6:]) + r.choice([" ", ". ", ", ", "\n"]) for _ in range(r.randrange(5, 200))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for terms in (["needle", "thread"], ["thread", "a", "needle"], ["absent"], []):
+        found = {x.k: x.snippet for x in dense_snippets(rows, "k", "t", terms).collect()}
+        assert found == {i: passage_by_hand(t, terms) for i, t in enumerate(texts)}
 
 
 def test_term_query():
