@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.operators import audit as AU
 from quernstone.operators import browse as B
 from quernstone.operators import filters as P
 from quernstone.operators import fold as X
@@ -202,6 +203,34 @@ def j7_ever_deleted(spark: SparkSession, d: str) -> DataFrame:
     return A.ever_and_deleted("user_id", on_disk(spark, d), logged(spark, d), index(spark, d))
 
 
+def audited_files(spark: SparkSession, d: str) -> DataFrame:
+    return on_disk(spark, d).selectExpr("user_id", "project", "user_id * 10 AS bytes", "timestamp_seconds(1700000000 + user_id * 7200) AS modified", "CASE WHEN user_id % 5 = 0 THEN 't' WHEN user_id % 5 = 1 THEN '' END AS title", "CASE WHEN user_id % 4 = 0 THEN 'sdk-ts' ELSE 'cli' END AS entrypoint", "user_id % 7 = 0 AS is_sidechain")
+
+
+def a5_audit(spark: SparkSession, d: str) -> DataFrame:
+    known = index(spark, d).select("user_id", (F.col("user_id") % 3 == 0).alias("is_sidechain"))
+    return AU.audit(audited_files(spark, d), logged(spark, d), known, "user_id", F.expr("timestamp_seconds(1702000000)"), 30)
+
+
+def passed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A pass over a table that has every third customer as a ghost of an earlier pass, with one old prompt each."""
+    held = table(spark, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS user_id", "'old' AS title", "c_nationkey AS message_count", "'b' AS branch", "CAST(1 AS LONG) AS prompts")
+    old = held.selectExpr("concat(user_id, ':0') AS id", "user_id", "0 AS seq", "CAST(0 AS LONG) AS ts", "'gone' AS text")
+    return AU.ghost_pass(logged(spark, d), on_disk(spark, d), index(spark, d), held, old, "user_id")
+
+
+def k3_ghost_pass(spark: SparkSession, d: str) -> DataFrame:
+    return passed(spark, d)[0].select("user_id", "title", "message_count", "branch", "prompts")
+
+
+def k3_ghost_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return passed(spark, d)[1].groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+def h6_pass_totals(spark: SparkSession, d: str) -> DataFrame:
+    return passed(spark, d)[2]
+
+
 def a6_project_totals(spark: SparkSession, d: str) -> DataFrame:
     return A.project_totals(logged(spark, d).select("user_id", "project", "prompts", "last_ts"), on_disk(spark, d), "user_id", "project")
 
@@ -411,7 +440,7 @@ SWEEP = "(SELECT o_orderkey, CAST(30 - floor((epoch_ms(TIMESTAMP '1998-10-10 12:
 YMD = "strftime({0}, '%Y-%m-%d')"
 
 QUERIES = {f.__name__: f for f in (
-    x1_fold_exchanges, m0_top_conversations, x4_paired_results, x5_last_values, x7_type_census, w6_greedy_chunks, f1_point, f2_interval_overlap, f3_equalities, f5_array_like, f7_tag_semi, f9_linked_undirected, j15_links, f10_untitled_anti, f12_exclude_null_safe, f13_tri_state, f15_rollup_orphans, f16_ignored, f18_prefix, f19_project_tiers, f20_title_tokens, f23_min_size, f24_markers, j4_card_owner, j6_ghost_anti, s14_prompt_log, g1_ghosts, g1_ghost_prompts, a13_ghost_fingerprint, j7_ever_deleted, a6_project_totals, j10_path_rollup, j9_conversation_key, g9_link_pairs, j17_neighbours, a1_harness_stats, a3_merged, a3_grand_total, a4_freshness, a7_sweep_countdown, a5_sweep_counts, a8_map_sum, a9_tag_hist, a10_tags_per_session, a11_project_counts, a14_source_fingerprint, u2_distinct_projects, u5_tag_arrays, k6_tag_changes, k6_link_changes, p1_session_row, p2_first_prompt, p3_look_up, p4_titles, p5_last_segment, p6_resume_command, w7_last_rows, w8_slice, o1_merged_branches, h4_hidden, t2_incremental_skip, k1_upsert, k2_replace_children, t6_session_windows, s20_sections,
+    x1_fold_exchanges, m0_top_conversations, x4_paired_results, x5_last_values, x7_type_census, w6_greedy_chunks, f1_point, f2_interval_overlap, f3_equalities, f5_array_like, f7_tag_semi, f9_linked_undirected, j15_links, f10_untitled_anti, f12_exclude_null_safe, f13_tri_state, f15_rollup_orphans, f16_ignored, f18_prefix, f19_project_tiers, f20_title_tokens, f23_min_size, f24_markers, j4_card_owner, j6_ghost_anti, s14_prompt_log, g1_ghosts, g1_ghost_prompts, a13_ghost_fingerprint, j7_ever_deleted, a5_audit, k3_ghost_pass, k3_ghost_prompts, h6_pass_totals, a6_project_totals, j10_path_rollup, j9_conversation_key, g9_link_pairs, j17_neighbours, a1_harness_stats, a3_merged, a3_grand_total, a4_freshness, a7_sweep_countdown, a5_sweep_counts, a8_map_sum, a9_tag_hist, a10_tags_per_session, a11_project_counts, a14_source_fingerprint, u2_distinct_projects, u5_tag_arrays, k6_tag_changes, k6_link_changes, p1_session_row, p2_first_prompt, p3_look_up, p4_titles, p5_last_segment, p6_resume_command, w7_last_rows, w8_slice, o1_merged_branches, h4_hidden, t2_incremental_skip, k1_upsert, k2_replace_children, t6_session_windows, s20_sections,
 )}
 ORACLE_SQL = {
     "x1_fold_exchanges": f"{FOLD} SELECT conv_id, seq, md5(u) AS user_md5, md5(a) AS assistant_md5, n_turns, substr(sha256(conv_id || ':' || seq), 1, 32) AS id FROM x",
@@ -445,6 +474,16 @@ SELECT conv_id, turn, chunk FROM g""",
     "g1_ghosts": f"WITH {LOG} SELECT user_id, coalesce(nullif(trim(summary), ''), texts[1], 'session ' || substr(CAST(user_id AS VARCHAR), 1, 8)) AS title, message_count, prompts FROM gh",
     "g1_ghost_prompts": f"WITH {LOG} SELECT user_id || ':' || seq AS id, ts, md5(text) AS text_md5 FROM gp",
     "a13_ghost_fingerprint": f"WITH {LOG} SELECT count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, 3 AS version FROM gp",
+    "a5_audit": f"""WITH {LOG}, fi AS (SELECT user_id, project, user_id % 7 = 0 AS side, to_timestamp(1700000000 + user_id * 7200) AS m FROM disk),
+e AS (SELECT user_id, max(file) AS file, sum(p) AS p, max(l) AS l, max(said) AS said FROM (SELECT user_id, 1 AS file, 0 AS p, 0 AS l, 0 AS said FROM fi WHERE NOT side UNION ALL SELECT user_id, 0, prompts, 1, CASE WHEN len(texts) > 0 THEN 1 ELSE 0 END FROM log UNION ALL SELECT user_id, 0, 0, 0, 0 FROM idx WHERE user_id % 3 <> 0) GROUP BY user_id),
+s AS (SELECT count(*) AS sessions_ever, count(*) FILTER (WHERE file = 1) AS on_disk, count(*) FILTER (WHERE file = 0) AS deleted, CAST(coalesce(sum(p) FILTER (WHERE file = 0), 0) AS BIGINT) AS prompts_lost, CAST(coalesce(sum(p) FILTER (WHERE file = 1), 0) AS BIGINT) AS prompts_surviving,
+count(*) FILTER (WHERE file = 0 AND l = 1 AND said = 0) AS deleted_without_title, count(*) FILTER (WHERE l = 1) AS logged, count(*) FILTER (WHERE l = 1 AND file = 1) AS logged_on_disk FROM e),
+t AS (SELECT min(first_ts) AS log_first_ts, max(last_ts) AS log_last_ts FROM log),
+f AS (SELECT count(*) FILTER (WHERE NOT side) AS files, count(*) FILTER (WHERE side) AS sidechain_files, CAST(coalesce(sum(user_id * 10), 0) AS BIGINT) AS bytes, count(DISTINCT CASE WHEN NOT side THEN project END) AS projects, count(*) FILTER (WHERE NOT side AND user_id % 4 = 0) AS sdk_sessions, count(*) FILTER (WHERE NOT side AND user_id % 5 = 0) AS titled_sessions,
+count(*) FILTER (WHERE NOT side AND 30 - floor((1702000000 - epoch(m)) / 86400) <= 7) AS within_7, count(*) FILTER (WHERE NOT side AND 30 - floor((1702000000 - epoch(m)) / 86400) <= 1) AS within_1 FROM fi) SELECT * FROM s, t, f""",
+    "k3_ghost_pass": f"WITH {LOG}, held AS (SELECT c_custkey AS user_id, 'old' AS title, c_nationkey AS message_count, 'b' AS branch, 1 AS prompts FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT user_id, coalesce(nullif(trim(summary), ''), texts[1], 'session ' || substr(CAST(user_id AS VARCHAR), 1, 8)) AS title, message_count, c_mktsegment AS branch, prompts FROM gh LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0) SELECT user_id, CASE WHEN n.user_id IS NOT NULL THEN n.title ELSE held.title END AS title, coalesce(n.message_count, held.message_count) AS message_count, coalesce(n.branch, held.branch) AS branch, CASE WHEN n.user_id IS NOT NULL THEN n.prompts ELSE held.prompts END AS prompts FROM held FULL JOIN n USING (user_id) WHERE user_id NOT IN (SELECT user_id FROM disk)",
+    "k3_ghost_prompts": f"WITH {LOG}, p AS (SELECT user_id, unnest(texts) AS text FROM gh UNION ALL SELECT c_custkey, 'gone' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT user_id FROM gh)) SELECT user_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM p WHERE user_id NOT IN (SELECT user_id FROM disk) GROUP BY user_id",
+    "h6_pass_totals": f"WITH {LOG}, held AS (SELECT c_custkey AS user_id, 'old' AS title, c_nationkey AS message_count, 1 AS prompts FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT user_id, coalesce(nullif(trim(summary), ''), texts[1], 'session ' || user_id) AS title, message_count, prompts FROM gh), g AS (SELECT user_id, CASE WHEN n.user_id IS NOT NULL THEN n.title ELSE held.title END AS title, coalesce(n.message_count, held.message_count) AS m, CASE WHEN n.user_id IS NOT NULL THEN n.prompts ELSE held.prompts END AS prompts FROM held FULL JOIN n USING (user_id) WHERE user_id NOT IN (SELECT user_id FROM disk)) SELECT count(*) AS ghosts, count(*) FILTER (WHERE title NOT LIKE 'session %') AS titled, CAST(coalesce(sum(prompts), 0) AS BIGINT) AS prompts, CAST(coalesce(sum(m), 0) AS BIGINT) AS messages, (SELECT count(*) FROM held WHERE user_id IN (SELECT user_id FROM disk)) AS came_back FROM g",
     "j7_ever_deleted": f"WITH {LOG}, ev2 AS (SELECT user_id FROM log UNION SELECT user_id FROM disk UNION SELECT user_id FROM idx) SELECT user_id, user_id NOT IN (SELECT user_id FROM disk) AS deleted FROM ev2",
     "a6_project_totals": f"""WITH {LOG}, r AS (SELECT coalesce(project, 'unknown') AS project, 1 AS total, CAST(user_id IN (SELECT user_id FROM disk) AS INT) AS alive, CASE WHEN user_id IN (SELECT user_id FROM disk) THEN 0 ELSE prompts END AS prompts, last_ts FROM log
 UNION ALL SELECT project, CAST(user_id NOT IN (SELECT user_id FROM log) AS INT), 1, 0, NULL FROM disk) SELECT project, CAST(sum(total) AS BIGINT) AS total, CAST(sum(alive) AS BIGINT) AS alive, CAST(sum(prompts) AS BIGINT) AS prompts, max(last_ts) AS last_ts FROM r GROUP BY project""",
