@@ -176,7 +176,8 @@ def predict_languages(docs: DataFrame, samples: dict[str, str], id_col: str = "d
 
     score is the share of the winner when each language weighs 2 ** -cost. Texts that are null, empty or without a
     letter, and all texts when nothing was learned, get `und` and 0. Equal costs: the alphabetically first language.
-    Repeated rows each get their row; a null id stays null and counts as held out. No other column is read.
+    Repeated rows each get their row; a null id stays null and counts as held out. Very long texts are parsed in blocks
+    side by side; an empty table gives no rows. No other column is read.
     """
     known = tuple(sorted(samples.items()))
     kept = [c for c in keep if c != text_col]

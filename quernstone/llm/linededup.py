@@ -86,7 +86,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     A run counts from min_lines lines on, and, if it has 1, 2, 4, ... lines, from min_chars characters on; lines are
     compared without surrounding blanks, and blank lines neither break runs nor go. Copies are ordered by id
     (null first), then by a hash of the text, then by line. Rows with the same id and text are one document and get the same result. Null texts stay null, with no
-    lines. Columns of docs named as the new ones are replaced.
+    lines. Very long texts are rows of lines like any other; an empty table gives no rows. Columns of docs named as the new
+    ones are replaced.
     """
     found = stored(repeated_lines(docs, min_lines, min_chars, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone")))
     size = found.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("lines")).first()

@@ -203,7 +203,8 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 4096, sep
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
 
     Null texts count as empty; an empty text is one piece, the separator. Only documents longer than the capacity are
-    cut. Repeated rows are packed each; a null id stays null. Other columns are not read. `vocabulary` is a path of a
+    cut. Repeated rows are packed each; a null id stays null. Very long texts become as many pieces as they need; of bins
+    with equal room the one opened first takes a piece; an empty table gives no rows. Other columns are not read. `vocabulary` is a path of a
     tokenizers file that is the same on all executors.
     """
     cut = pieces_of(docs, vocabulary, capacity, separator, id_col, text_col)

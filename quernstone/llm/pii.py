@@ -300,7 +300,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row of docs.
 
     Places are code points, ends exclusive. A null text counts as empty. Repeated rows each get their row; a null id
-    stays null. Other columns are not read.
+    stays null. Very long texts are searched in regions around triggers; of labellings that score the same the one found
+    first by the decoder's order is taken; an empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,7 +91,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, the base statistics, base_failed, kept, zstd_ratio and chunks_out for every row of docs.
 
     A null text counts as empty: no words, so base_failed and not kept; its ratio is 0. Repeated rows each get their
-    row, a null id stays null, other columns are not read.
+    row, a null id stays null, other columns are not read. Very long texts are compressed whole and in chunks; there are
+    no ties; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -274,7 +274,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
 
     One row comes out for each row that goes in: repeated rows are counted each, a null id stays null, a null text
-    counts as empty (no tokens). Other columns are not looked at. `vocabulary` is the path, the same on all
+    counts as empty (no tokens). Very long texts are cut into chunks whose state maps are composed; there are no ties; an
+    empty table gives no rows. Other columns are not looked at. `vocabulary` is the path, the same on all
     executors, of a byte-level tokenizers file; strings of its added tokens count as one token each.
     """
 

@@ -158,7 +158,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A null text counts as empty, and an empty text gets the score of a text without a close window. With no labelled
     rows every text gets one low score. Repeated rows each get their row; a null id stays null and counts as held
-    out. No other column is read.
+    out. Very long texts are scored window by window and the closest window counts; equal ones score the same, so ties
+    decide nothing; an empty table gives no rows. No other column is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
