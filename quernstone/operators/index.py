@@ -10,17 +10,23 @@ segments as one.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import tokens
 from quernstone.operators.search import TermQuery, scored_frequencies
+from quernstone.operators.stored import forget, kept
 
 SHARDS = 32
 #: Words that prefixes may expand to and still be written into the query; more are joined.
 MOST_WORDS = 5_000
+#: Tokens that are counted together; bounds a Python worker's memory.
+TOKENS = 1 << 20
 
 
 def shard_of(term: str) -> int:
@@ -28,10 +34,40 @@ def shard_of(term: str) -> int:
 
 
 def row_terms(rows: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    """key, length, t (term and weight of each token)."""
-    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
-    weighted = [F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), weigh(w)) for c, w in columns.items()]
-    return rows.select(F.col(key).alias("key"), F.concat(*weighted).alias("t")).select("key", F.size("t").cast("double").alias("length"), "t")
+    """key, length (tokens) and, by column, the tokens."""
+    held = [tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)]
+    named = rows.select(F.col(key).alias("key"), *held)
+    return named.withColumn("length", sum((F.size(f"t{i}") for i in range(len(columns))), F.lit(0)).cast("double"))
+
+
+def term_counts(held: DataFrame, weights: list[float]) -> DataFrame:
+    """term, key, tf (weighted), length: a row's tokens are counted where they are, so that only its postings travel."""
+
+    def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = np.cumsum(sum(b.column(2 + i).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(weights))))
+        begin = 0
+        while begin < len(b):  # one row at least
+            end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + TOKENS, "right")))
+            yield b.slice(begin, end - begin)
+            begin = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in pieces(whole)):
+            lists = [b.column(2 + i) for i in range(len(weights))]
+            sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+            coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            if not len(coded):
+                continue
+            n = len(coded.dictionary)
+            of = np.concatenate([np.repeat(np.arange(len(b)), s) for s in sizes])
+            weight = np.concatenate([np.full(s.sum(), w) for s, w in zip(sizes, weights)])
+            pair, at = np.unique(of * n + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            tf = np.bincount(at, weight, len(pair))
+            row = pa.array(pair // n)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(pair % n)), b.column(0).take(row), pa.array(tf), b.column(1).take(row)], names=["term", "key", "tf", "length"])
+
+    named = held.select("key", "length", *[f"t{i}" for i in range(len(weights))])
+    return named.mapInArrow(run, f"term string, key {held.schema['key'].dataType.simpleString()}, tf double, length double")
 
 
 @dataclass(frozen=True)
@@ -54,8 +90,10 @@ class TextIndex:
 
     def _write(self, rows: DataFrame, key: str, columns: dict[str, float], segment: int) -> None:
         held = row_terms(rows, key, columns)
-        each = held.select("key", "length", F.explode("t").alias("t")).groupBy(F.col("t.term").alias("term"), "key").agg(F.sum("t.w").alias("tf"), F.first("length").alias("length"))
-        self._postings(each, segment)
+        # kept, since range partitioning reads its rows twice
+        counted = kept(term_counts(held, list(columns.values())), "postings")
+        self._postings(counted, segment)
+        forget(counted)
         held.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length")).write.mode("overwrite").parquet(f"{self.path}/totals/segment={segment}")
 
     def _postings(self, each: DataFrame, segment: int) -> None:
