@@ -46,11 +46,12 @@ def without_ignored(rows: DataFrame, project: str, entries: list[str], everythin
     return rows.join(ignored_projects(rows, project, entries), project, "left_anti")
 
 
-def ancestors(path: Column, deepest: int = 32) -> Column:
-    """The path and the folders above it, from the deepest up, without the root; of an absolute path."""
+def ancestors(path: Column, deepest: int | None = 32) -> Column:
+    """The path and the folders above it, from the deepest up, without the root; of an absolute path. deepest: how many
+    at most; None: all."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     n = F.size(parts)
-    up = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(deepest)) - 1), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n - i), "/")))
+    up = F.transform(F.sequence(F.lit(0), (n if deepest is None else F.least(n, F.lit(deepest))) - 1), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n - i), "/")))
     return F.when(n > 0, up).otherwise(F.array().cast("array<string>"))
 
 
@@ -72,8 +73,10 @@ def recover_by_slug(slugs: DataFrame, paths: DataFrame, key: str, slug: str, pat
 
 
 def recover_by_hash(hashes: DataFrame, paths: DataFrame, key: str, digest: str, path: str) -> DataFrame:
-    """key, project: the deepest folder above any path whose SHA-256 a session was filed under."""
-    above = paths.select(F.explode(F.slice(ancestors(F.col(path), 40), 2, 40)).alias("project")).distinct().withColumn("__h", F.sha2("project", 256))
+    """key, project: the deepest folder above any path whose SHA-256 a session was filed under. A path that ends in a
+    slash is a folder itself."""
+    own = F.filter(ancestors(F.col(path), None), lambda x: x != F.col(path))
+    above = paths.select(F.explode(own).alias("project")).distinct().withColumn("__h", F.sha2("project", 256))
     found = hashes.select(key, F.lower(digest).alias("__h")).join(above, "__h")
     return found.groupBy(key).agg(F.max_by("project", F.char_length("project")).alias("project"))
 

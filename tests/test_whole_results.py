@@ -6,8 +6,17 @@ import hashlib
 
 from pyspark.sql import functions as F
 from quernstone.functions import snippets as N
+from quernstone.operators import upkeep as K
 
 
 def test_lead_ends_in_a_line_end(spark):
     text = "a" * 20 + " " + "b" * 28 + "\n" + "c" * 9
     assert spark.range(1).select(N.lead(F.lit(text), 50).alias("x")).first().x == text[:49]
+
+
+def test_folder_with_a_slash_at_its_end_and_deep_ones(spark):
+    deep = "/w" + "".join(f"/{i}" for i in range(60))
+    paths = spark.createDataFrame([("/h/en/7/",), (deep,)], "path string")
+    digests = [(1, "/h/en/7"), (2, "/w"), (3, "/h/en/7/"), (4, deep)]
+    hashes = spark.createDataFrame([(k, hashlib.sha256(p.encode()).hexdigest()) for k, p in digests], "k long, h string")
+    assert sorted(tuple(r) for r in K.recover_by_hash(hashes, paths, "k", "h", "path").collect()) == [(1, "/h/en/7"), (2, "/w")]
