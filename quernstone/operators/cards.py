@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import token_estimate
+from quernstone.operators.stored import kept
 
 #: Characters from which a transcript is cut into chunks, of a chunk, of a unit; exchanges and prompts that make a card.
 WHOLE, CHUNK, UNIT, MIN_EXCHANGES, MIN_PROMPTS = 60_000, 40_000, 20_000, 3, 5
@@ -153,10 +154,11 @@ def nearest_rank(rows: DataFrame, group: str, value: str, shares: tuple[float, .
     """group, p50, ...: percentiles as elements of the sorted values, the one at floor(p * n), from 0; nulls don't count.
 
     Equal values are counted before they are sorted. A group's values fall into pieces between approximate quantiles;
-    counts tell the piece that holds a rank, and only that one is sorted, so that no task gets all values of a group."""
+    counts tell the piece that holds a rank, and only that one is sorted, so that no task gets all values of a group.
+    Approximate quantiles differ from one computation to the next, so the pieces are made once and kept."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(group).agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("bounds"), F.sum("n").alias("total"))
-    cut = counts.join(bounds, group).withColumn("piece", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    bounds = kept(counts.groupBy(group).agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("bounds"), F.sum("n").alias("total")))
+    cut = kept(counts.join(bounds, group).withColumn("piece", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds"))
     sums = cut.groupBy(group, "piece", "total").agg(F.sum("n").alias("m"))
     before = F.coalesce(F.sum("m").over(W.partitionBy(group).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     wanted = F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * p)}").alias("name"), F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total"))).alias("at")) for p in shares]))

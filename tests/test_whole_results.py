@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 from quernstone.functions import snippets as N
+from quernstone.operators import cards as C
 from quernstone.operators import upkeep as K
 
 
@@ -20,3 +21,12 @@ def test_folder_with_a_slash_at_its_end_and_deep_ones(spark):
     digests = [(1, "/h/en/7"), (2, "/w"), (3, "/h/en/7/"), (4, deep)]
     hashes = spark.createDataFrame([(k, hashlib.sha256(p.encode()).hexdigest()) for k, p in digests], "k long, h string")
     assert sorted(tuple(r) for r in K.recover_by_hash(hashes, paths, "k", "h", "path").collect()) == [(1, "/h/en/7"), (2, "/w")]
+
+
+def test_percentiles_compute_their_approximate_pieces_once(spark):
+    rows = spark.range(3000).select(F.lit("a").alias("g"), ((F.col("id") * 7919) % 3001).alias("v"))
+    found = C.nearest_rank(rows, "g", "v", (0.5, 0.95), 16)
+    values = sorted(i * 7919 % 3001 for i in range(3000))
+    assert tuple(found.first()) == ("a", values[1500], values[2850])
+    # computed again, with other rows first, they would be others
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
