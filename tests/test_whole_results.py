@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
+from quernstone.functions import redact as R
 from quernstone.functions import snippets as N
+from quernstone.functions import text as T
 from quernstone.operators import cards as C
 from quernstone.operators import upkeep as K
+from quernstone.plans import analysis
 
 
 def test_lead_ends_in_a_line_end(spark):
@@ -30,3 +34,23 @@ def test_percentiles_compute_their_approximate_pieces_once(spark):
     assert tuple(found.first()) == ("a", values[1500], values[2850])
     # computed again, with other rows first, they would be others
     assert "percentile_approx" not in found._jdf.queryExecution().toString()
+
+
+def test_dense_tokens_that_begin_like_an_id_by_chance(spark):
+    """p_partkey 193360 of a larger table: its token begins with reQ_."""
+    tokens = ["reQ_psAZaDcmRxOicNnyO5OKCLHb0_AjSwSDfGIELiU", "Fc_zX6pLMQmXuCoyUV0ADamG4boLAmkRi7KTfU3WNBY", "abcdefghijklmnopqrstuvwxyz0123"]
+    rows = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "i int, text string")
+    hits = lambda **how: [[h.rule for h in r.hits] for r in R.redacted(rows, "text", **how).orderBy("i").collect()]
+    assert hits(spared=False) == [["high-entropy-token"], ["high-entropy-token"], []] and hits() == [[], [], []]
+
+
+@pytest.mark.parametrize("name", ["c9_entropy", "d2_secret_counts", "d5_entropy_tokens"])
+def test_long_work_on_a_small_file_is_dealt(spark, tmp_path, name):
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert analysis.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_entropy(spark):
+    given = ["aabbccdd", "", "aaaa", "ab", None, "é漢é漢x"]
+    found = [r.e for r in spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", T.entropy(F.col("t")).alias("e")).orderBy("i").collect()]
+    assert found[:4] == [2.0, 0.0, 0.0, 1.0] and found[4] is None and round(found[5], 6) == 1.521928
