@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import like_pattern
+from quernstone.operators.deal import dealt
 
 
 def all_of(conditions: Iterable[Column | None]) -> Column:
@@ -58,8 +59,12 @@ def linked_to(rows: DataFrame, links: DataFrame, key: str, a: str, b: str, targe
 
 def roll_up(rows: DataFrame, key: str, parent: str, child: Column) -> DataFrame:
     """Hides children whose parent is among the rows; orphans stay."""
-    parents = rows.select(F.col(key).alias("__parent")).distinct()
-    return rows.join(parents, F.col(parent) == F.col("__parent"), "left").where(~child | F.col("__parent").isNull()).drop("__parent")
+    n = rows.count()
+    parents = dealt(rows.select(F.col(key).alias("__parent")), ["__parent"], n).distinct()
+    # rows without a parent, most of them as a rule, would all meet in one task of the join
+    children = dealt(rows.where(F.col(parent).isNotNull()), [parent], n)
+    shown = children.join(parents, F.col(parent) == F.col("__parent"), "left").where(~child | F.col("__parent").isNull()).drop("__parent")
+    return rows.where(F.col(parent).isNull()).union(shown)
 
 
 def ignored(path: Column, entries: list[str]) -> Column:
