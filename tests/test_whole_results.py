@@ -54,3 +54,23 @@ def test_entropy(spark):
     given = ["aabbccdd", "", "aaaa", "ab", None, "é漢é漢x"]
     found = [r.e for r in spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", T.entropy(F.col("t")).alias("e")).orderBy("i").collect()]
     assert found[:4] == [2.0, 0.0, 0.0, 1.0] and found[4] is None and round(found[5], 6) == 1.521928
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from quernstone.operators import browse as B
+    from quernstone.operators import filters as P
+    from quernstone.operators.deal import dealt
+
+    assert dealt(spark.range(10), ["id"], 10_000_000).rdd.getNumPartitions() == 20 and dealt(spark.range(10), ["id"], 10).rdd.getNumPartitions() == 8
+    rows = spark.createDataFrame([(1, None), (2, 1), (3, 9), (4, None), (None, 1), (1, 2)], "k long, p long")
+    keys = B.conversation_keys(rows, "k", "p")
+    shown = P.roll_up(rows, "k", "p", F.col("p").isNotNull())
+    pairs = B.shared_pairs(spark.createDataFrame([(k, f) for k in range(4) for f in range(3)] * 2, "k long, f long"), "k", "f", 2, 4)
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 5)], "a long, b long")
+    changed = B.link_changes(links, "a", "b", links.where("a > 9"), links.where("a = 4"))
+    assert sorted(map(tuple, keys.collect()), key=repr) == [(1, 1), (1, 2), (2, 1), (3, 3), (4, 4), (None, 1)]
+    assert sorted(map(tuple, shown.collect())) == [(1, None), (3, 9), (4, None)]
+    assert sorted(map(tuple, pairs.collect())) == [(a, b, 3) for a in range(4) for b in range(a + 1, 4)]
+    assert [tuple(r) for r in changed.collect()] == [(1, 2)]
+    for df in (keys, shown, pairs, changed):  # by the number of rows, not by their compressed bytes
+        assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
