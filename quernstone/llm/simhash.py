@@ -6,9 +6,9 @@ the link distance around it overlaps. Every shard builds the lower levels of the
 searches its queries, pruning by the triangle bound, so all pairs within the distance are met. A shard returns
 links that span what it joined, not all pairs.
 
-A few bits over whole texts miss most texts of which a tenth was changed, so `near_copies` adds fingerprints of
-segments, cut where the words say so: documents with an equal segment are compared with the segment's heads, shingle
-by shingle.
+A few bits over whole texts miss most texts of which a tenth was changed, so `near_copies` adds an exact join of the
+sets of shingles by filtered prefixes: rare shingles lead them, groups are joined through a first member, and what
+that leaves apart is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, joined_ids, no_model, slices, stored, tidy
@@ -36,11 +35,9 @@ SEED = 42
 SHARD, OF_SHARD, LEAST_SAMPLE, MOST_SAMPLE = 16_384, 64, 8_192, 1 << 22
 #: Own fingerprints of a leaf, and comparisons made at once.
 LEAF, BLOCK = 192, 1 << 20
-#: Words of a segment on average; documents that all others with an equal segment are compared with; least shingles
-#: of a short text, and the segments up to which it is short.
-SEGMENT, HEADS, SHORT = 16, 2, 4
-#: Words below which a document's least SKETCH shingles are looked at too, of which the RARE rarest are met.
-SKETCHED, SKETCH, RARE = 320, 64, 4
+#: Share of the documents that frequent shingles are counted in, and documents at least; documents that make one
+#: frequent; as many are told apart at most (8 MB); members of a block of those that share a shingle.
+SAMPLED, LEAST_SAMPLED, FREQUENT, MOST_FREQUENT, MEMBERS = 1 / 16, 4_096, 64, 1 << 20, 1_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -231,17 +228,6 @@ def rolled(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(ids: np.ndarray, grams: np.ndarray, shingle: int) -> list[np.ndarray]:
-    """The shingles of each segment. Cuts stand where a run of three words hashes to a multiple of SEGMENT, so that equal
-    passages have equal cuts wherever they stand. Shorter ones than a shingle are left out, unless there is no other.
-    A short text, which may have no cut, adds its least shingles."""
-    cuts = [0, *(np.flatnonzero(rolled(ids, 3) % np.uint64(SEGMENT) == 0) + 3).tolist(), len(ids)]
-    found = [grams[i : j - shingle + 1] for i, j in zip(cuts, cuts[1:]) if j - i >= shingle] or [grams]
-    if len(ids) < SHORT * SEGMENT:
-        found += np.split(np.sort(grams)[:SHORT], range(1, min(SHORT, len(grams))))
-    return found
-
-
 def majority(parts: list[np.ndarray]) -> np.ndarray:
     """The fingerprint of each sequence of shingle hashes, none of them empty."""
     n = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -250,54 +236,78 @@ def majority(parts: list[np.ndarray]) -> np.ndarray:
     return np.packbits((2 * counts > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def with_segments(rows: DataFrame, shingle: int) -> DataFrame:
-    """k, n (different shingles of the document) and f (a segment's fingerprint) for rows of k and text, each once; and,
-    `alone`, the least shingles of documents of few segments."""
+def shingle_sets(texts: list[str], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Position and different shingles, as sorted hashes, of each text that has a word."""
+    for begin, end in slices([len(x) for x in texts], 1 << 19):
+        known: dict[bytes, int] = {}
+        for i in range(begin, end):
+            if words := words_of(texts[i]):
+                known.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in set(words).difference(known))
+                yield i, np.unique(rolled(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), shingle))
+
+
+def frequent_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that some FREQUENT documents or more hold, by a sample, the rarest first. They only set an order,
+    in which the others come first, so what the sample misses costs time and no link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_model()
+        for b in batches:
+            for _, once in shingle_sets(b.column(0).to_pylist(), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], names=["f"])
+        tidy()
+
+    share = min(1.0, max(SAMPLED, LEAST_SAMPLED / max(1, rows.count())))
+    some = rows.where(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+    counts = some.select("text").mapInArrow(run, "f long").groupBy("f").agg(F.count("*").alias("m")).where(F.col("m") >= max(4, FREQUENT * share))
+    most = counts.orderBy(F.desc("m"), "f").limit(MOST_FREQUENT).toArrow()
+    return most.column("f").to_numpy().view(np.uint64)[::-1]
+
+
+def with_prefixes(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """h (the key's hash), n (different shingles of the document) and f: its first shingles, in an order that all documents
+    share, as many as must hold one in common with any text that is similar enough."""
+    spark = rows.sparkSession
+    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_model()
+        by_hash = np.argsort(frequent.value)
+        hashes = frequent.value[by_hash]
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for begin, end in slices([len(x) for x in texts], 1 << 19):
-                of, parts, sizes, known, least = [], [], [], {}, []
-                for i in range(begin, end):
-                    words = words_of(texts[i])
-                    if not words:
-                        continue
-                    known.update((w, xxhash.xxh64_intdigest(w, SEED)) for w in set(words).difference(known))
-                    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    grams = rolled(ids, shingle)
-                    own = segments(ids, grams, shingle)
-                    of += [i] * len(own)
-                    parts += own
-                    once = np.unique(grams)
-                    sizes += [len(once)] * len(own)
-                    if len(words) < SKETCHED:
-                        least.append((i, len(once), once[:SKETCH]))
-                if parts:
-                    f = majority(parts).view(np.int64)
-                    once = pd.DataFrame({"of": of, "f": f}).drop_duplicates().index.to_numpy()
-                    own = pa.array(np.zeros(len(once), bool))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(of)[once])), pa.array(np.array(sizes)[once], pa.int64()), pa.array(f[once]), own], names=["k", "n", "f", "alone"])
-                if least:
-                    of = np.repeat([i for i, _, _ in least], [len(x) for _, _, x in least])
-                    n = np.repeat([n for _, n, _ in least], [len(x) for _, _, x in least])
-                    f = np.concatenate([x for _, _, x in least]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(n, pa.int64()), pa.array(f), pa.array(np.ones(len(f), bool))], names=["k", "n", "f", "alone"])
+            of, sizes, parts = [], [], []
+            for i, once in shingle_sets(b.column(1).to_pylist(), shingle):
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, once), len(hashes) - 1)
+                    last = hashes[at] == once
+                    ordered = np.concatenate([once[~last], once[last][np.argsort(by_hash[at[last]])]])
+                else:
+                    ordered = once
+                parts.append(ordered[: len(once) - met_elsewhere(len(once), similarity)])
+                of.append(i)
+                sizes.append(len(once))
+            if parts:
+                n = list(map(len, parts))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(of, n))), pa.array(np.repeat(sizes, n), pa.int32()), pa.array(np.concatenate(parts).view(np.int64))], names=["h", "n", "f"])
         tidy()
 
-    return rows.select("k", "text").mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, n long, f long, alone boolean")
+    return rows.select(F.xxhash64("k").alias("h"), "text").mapInArrow(run, "h long, n int, f long")
+
 
+def met_elsewhere(n: int, similarity: float) -> int:
+    """Shingles behind the prefix of a set of n: one fewer than it must share with a set to be that similar."""
+    return max(0, math.ceil(similarity * n - 1e-9) - 1)
 
-def rare_shingles(parts: DataFrame) -> DataFrame:
-    """k, n, f: of each document the RARE sketched shingles that the fewest other documents have, but one at least."""
-    counts = parts.groupBy("f").agg(F.count("*").alias("m")).where("m > 1")
-    place = F.row_number().over(W.partitionBy("k").orderBy("m", "f"))
-    return parts.join(counts, "f").withColumn("place", place).where(F.col("place") <= RARE).select("k", "n", "f")
 
+def enough(n: Column, m: Column, similarity: float) -> Column:
+    """Shingles that the prefixes of similar sets of n and m have in common, at least. Up to the lesser of both prefixes'
+    ends they share all that they share there, and behind it no more than one of the sets still has."""
+    behind = F.greatest(F.lit(0), F.ceil(similarity * F.greatest(n, m) - 1e-9) - 1)
+    return F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9) - behind)
 
-def similar(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The a and b of those pairs (a, b, x, y) whose texts x and y share that much of their shingles."""
+
+def similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b: keys of those pairs (a, b: hashes of keys) whose texts share that much of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,32 +318,54 @@ def similar(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 near.append(both > 0 and both >= similarity * (len(s) + len(t) - both))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def similar_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """a, b: keys of different documents (columns k and text, each text once) whose sets of shingles have that Jaccard
-    similarity, verified.
-
-    Candidates are a document and each of its segments' heads: of all documents with that segment the HEADS that come
-    first in as many fixed random orders. A group with a common segment thus gives HEADS pairs a document, not all. In
-    documents of few segments, which may all hold a change or belong to boilerplate, the rarest shingles that stand
-    elsewhere too are met in the same way. Pairs that share none of these, or share them with none of the heads, are
-    not met.
+    ends = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    texts = stored(joined_ids(rows.select(F.xxhash64("k").alias("h"), "k", "text"), ends, "h", "left_semi"))
+    left, right = texts.select(F.col("h").alias("a"), F.col("k").alias("ka"), F.col("text").alias("x")), texts.select(F.col("h").alias("b"), F.col("k").alias("kb"), F.col("text").alias("y"))
+    kind = rows.schema["k"].dataType.simpleString()
+    met = pairs.join(left, "a").join(right, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "x", "y")
+    return met.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def apart_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of documents of different groups (rooted: f, h, n, first, root) that may be similar by what their
+    prefixes share. Of each f the group of its first document is met by the members of the others only."""
+    held = rooted.groupBy("f").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.when(F.col("h") == F.col("first"), F.col("root"))).alias("main"))
+    mixed = stored(rooted.select("f", "h", "n", "root").join(held.where("least < most").select("f", "m", "main"), "f"))
+    # a frequent f is dealt in blocks: every block of the others meets every block of all
+    blocks = F.ceil(F.col("m") / MEMBERS).cast("int")
+    own, other = F.pmod(F.xxhash64("h"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    asks = mixed.where("root <> main").select("f", F.col("h").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main", own.alias("i"), other.alias("j"))
+    told = mixed.select("f", F.col("h").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), own.alias("j"), other.alias("i"))
+    near = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
+    met = asks.join(told, ["f", "i", "j"]).where((F.col("ra") != F.col("rb")) & once & near)
+    sides = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"))
+    return sides.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("na"), F.col("nb"), similarity)).select("a", "b")
+
+
+def similar_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5, known: DataFrame | None = None) -> DataFrame:
+    """a, b: links between keys of different documents (columns k and text, each text once) whose sets of shingles have that
+    Jaccard similarity, verified, that join all such documents, with the known links (a, b: keys), if any are given.
+
+    Two sets of that similarity share a shingle of their prefixes (see `with_prefixes`), and so many of them
+    (`enough`). A first round compares each document with the first one of those that hold the same shingle, which joins
+    large groups by as many links as they have members. A second one compares all pairs that the links so far have not
+    joined. So no similar pair stays in different groups, and pairs of one group need not be links themselves.
     """
-    found = stored(with_segments(rows, shingle))
-    parts = stored(found.where("NOT alone").drop("alone").union(rare_shingles(found.where("alone").drop("alone"))))
-    forget(found)
-    first = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), "k", "n")) for i in range(HEADS)]
-    met = parts.groupBy("f").agg(F.count("*").alias("m"), F.array_distinct(F.array(*[F.struct(x["k"].alias("k"), x["n"].alias("n")) for x in first])).alias("heads")).where("m > 1")
-    sides = parts.join(met.select("f", F.explode("heads").alias("head")), "f")
-    sides = sides.where((F.col("k") != F.col("head.k")) & (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n")))
-    pairs = stored(sides.select(F.least("k", "head.k").alias("a"), F.greatest("k", "head.k").alias("b")).distinct())
-    ends = stored(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
-    texts = stored(joined_ids(rows.select("k", "text"), ends, "k", "left_semi"))
-    left, right = texts.select(F.col("k").alias("a"), F.col("text").alias("x")), texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
-    return similar(pairs.join(left, "a").join(right, "b"), similarity, shingle)
+    parts = stored(with_prefixes(rows, similarity, shingle))
+    met = stored(parts.groupBy("f").agg(F.count("*").alias("m"), F.min("h").alias("first")).where("m > 1").select("f", "first"))
+    shared = stored(parts.join(met, "f"))
+    forget(parts)
+    behind = F.greatest(F.lit(0), F.ceil(similarity * F.col("n") - 1e-9) - 1)
+    heads = shared.where("h <> first").groupBy("h", "n", "first").agg(F.count("*").alias("c"))
+    # a document may share other shingles with its first one; what is left out here is met in the second round
+    pairs = stored(heads.where(3 * F.col("c") >= F.col("n") - behind).select(F.col("first").alias("a"), F.col("h").alias("b")))
+    links = stored(similar(pairs, rows, similarity, shingle))
+    joined = links if known is None else links.union(known.select("a", "b"))
+    roots = stored(components(joined.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "a", "b").withColumnRenamed("node", "h"))
+    rooted = joined_ids(shared, roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    more = similar(stored(apart_pairs(rooted, similarity)), rows, similarity, shingle)
+    return links.union(more)
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, within: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,7 +379,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, with
     groups = near_duplicates(rows, within, id_col="k").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     once = stored(rows.groupBy("k.digest").agg(F.min("k").alias("k")).select("k"))
     different = joined_ids(rows, once, "k", "left_semi").where("trim(translate(text, '\\n\\t\\r', '   ')) <> ''")
-    links = stored(groups.union(similar_links(different, similarity, shingle)))
+    groups = stored(groups)
+    links = stored(groups.union(similar_links(different, similarity, shingle, groups)))
     return components(links, "a", "b").where("node <> root").select(F.col("node").alias("k")).distinct()
 
 

@@ -87,6 +87,30 @@ def test_near_copies_hot_group(spark):
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect()] == [0]
 
 
+def test_similar_links_among_common_passages(spark, monkeypatch):
+    """Long texts made of passages that many others hold too: no link is lost, whatever the passages' first members are."""
+    from quernstone.llm import simhash
+    from quernstone.llm.components import components
+
+    rng = random.Random(8)
+    pool = [[f"p{i}x{j}" for j in range(16)] for i in range(40)]
+    texts = []
+    for i in range(300):
+        first = [w for p in sorted(rng.sample(pool, 31)) for w in p]
+        texts.append(" ".join(first))
+        for at in rng.sample(range(len(first)), 8):
+            first[at] = f"c{i}-{at}"
+        texts.append(" ".join(first))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    least = groups(texts)
+    for frequent, members in ((4, 7), (64, 1_000)):  # passages last in the order, and blocks; neither
+        monkeypatch.setattr(simhash, "FREQUENT", frequent)
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        root = {r.node: r.root for r in components(simhash.similar_links(rows), "a", "b").collect()}
+        assert [root.get(i, i) for i in range(len(texts))] == least
+    assert sum(i != x for i, x in enumerate(least)) >= 250
+
+
 def test_near_copies_tells_texts_of_one_id_apart(spark):
     one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(1, one), (1, one), (1, two), (2, two), (None, one), (3, None), (4, " ")]
