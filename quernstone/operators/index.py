@@ -5,6 +5,9 @@ the term and sorted by term and key, with a frequent term's rows in several file
 which prefixes are expanded; `totals`, number and length of the rows. A query reads the folders of its terms and, by the
 files' statistics, little else in them; texts are not read. New rows become a segment of their own; merging writes all
 segments as one.
+
+An index may be made for stated terms only, as for a few known queries: all rows are read and count in the totals, and
+only the postings of those terms travel and are written.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import tokens
@@ -33,11 +37,38 @@ def shard_of(term: str) -> int:
     return zlib.crc32(term.encode()) % SHARDS
 
 
-def row_terms(rows: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    """key, length (tokens) and, by column, the tokens."""
+@dataclass(frozen=True)
+class Terms:
+    """Terms an index is made for: words, and beginnings of words."""
+
+    words: frozenset[str]
+    prefixes: frozenset[str] = frozenset()
+
+    @staticmethod
+    def of(query: TermQuery) -> Terms:
+        return Terms(frozenset(query.all + query.any), query.prefixes)
+
+    def holds(self, token: Column) -> Column:
+        return reduce(lambda a, p: a | token.startswith(p), sorted(self.prefixes), token.isin(sorted(self.words)))
+
+    def cover(self, terms: tuple[str, ...], prefixes: frozenset[str]) -> bool:
+        longer = tuple(self.prefixes)
+        return all(t.startswith(longer) if t in prefixes else t in self.words or t.startswith(longer) for t in terms)
+
+
+def row_terms(rows: DataFrame, key: str, columns: dict[str, float], only: Terms | None = None) -> DataFrame:
+    """key, length (tokens) and, by column, the tokens (of `only` these terms; all count in the length)."""
     held = [tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)]
-    named = rows.select(F.col(key).alias("key"), *held)
-    return named.withColumn("length", sum((F.size(f"t{i}") for i in range(len(columns))), F.lit(0)).cast("double"))
+    names = [f"t{i}" for i in range(len(columns))]
+    length = sum((F.size(t) for t in names), F.lit(0)).cast("double").alias("length")
+    return rows.select(F.col(key).alias("key"), *held).select("key", *[F.filter(t, only.holds).alias(t) if only else t for t in names], length)
+
+
+def few_term_counts(held: DataFrame, weights: list[float]) -> DataFrame:
+    """As `term_counts`, of rows that hold few tokens each."""
+    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
+    every = F.explode(F.concat(*[F.transform(f"t{i}", weigh(w)) for i, w in enumerate(weights)]))
+    return held.select("key", "length", every.alias("t")).groupBy("t.term", "key").agg(F.sum("t.w").alias("tf"), F.first("length").alias("length"))
 
 
 def term_counts(held: DataFrame, weights: list[float]) -> DataFrame:
@@ -76,11 +107,13 @@ class TextIndex:
 
     spark: SparkSession
     path: str
+    only: Terms | None = None
 
     @staticmethod
-    def build(rows: DataFrame, key: str, columns: dict[str, float], path: str) -> TextIndex:
-        """columns: the texts' weights. Null texts have no tokens; rows without any count in the totals."""
-        found = TextIndex(rows.sparkSession, path)
+    def build(rows: DataFrame, key: str, columns: dict[str, float], path: str, only: Terms | None = None) -> TextIndex:
+        """columns: the texts' weights. Null texts have no tokens; rows without any count in the totals. only: the terms
+        that can be asked, where not all."""
+        found = TextIndex(rows.sparkSession, path, only)
         found._write(rows, key, columns, 0)
         return found
 
@@ -89,18 +122,24 @@ class TextIndex:
         self._write(rows, key, columns, 1 + max(r.segment for r in self.totals().select("segment").collect()))
 
     def _write(self, rows: DataFrame, key: str, columns: dict[str, float], segment: int) -> None:
-        held = row_terms(rows, key, columns)
+        held = row_terms(rows, key, columns, self.only)
+        if self.only:  # what is left of a row is small: kept, so that texts are read once
+            held = kept(held, "terms")
         # kept, since range partitioning reads its rows twice
-        counted = kept(term_counts(held, list(columns.values())), "postings")
+        counted = kept((few_term_counts if self.only else term_counts)(held, list(columns.values())), "postings")
         self._postings(counted, segment)
         forget(counted)
         held.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length")).write.mode("overwrite").parquet(f"{self.path}/totals/segment={segment}")
+        if self.only:
+            forget(held)
 
     def _postings(self, each: DataFrame, segment: int) -> None:
         order = ["shard", "term", "key"]
         sharded = each.withColumn("shard", (F.crc32("term") % SHARDS).cast("int"))
         # frequent terms stand in several ranges, so that no task and no file gets all of one
         sharded.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/segment={segment}")
+        if each.isEmpty():  # no folder of a shard came of it; a file without rows keeps the columns
+            each.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/postings/segment={segment}/shard=0")
         written = self.spark.read.parquet(f"{self.path}/postings/segment={segment}")
         written.groupBy("term").agg(F.count("*").alias("df")).orderBy("term").write.mode("overwrite").parquet(f"{self.path}/terms/segment={segment}")
 
@@ -117,13 +156,15 @@ class TextIndex:
 
     def merged(self, path: str) -> TextIndex:
         """All segments as one, at another path."""
-        found = TextIndex(self.spark, path)
+        found = TextIndex(self.spark, path, self.only)
         found._postings(self.postings().drop("segment", "shard"), 0)
         self.totals().agg(F.sum("n").alias("n"), F.sum("length").alias("length")).coalesce(1).write.parquet(f"{path}/totals/segment=0")
         return found
 
     def matching(self, terms: tuple[str, ...], prefixes: frozenset[str]) -> DataFrame:
         """The postings of the terms, and of the words that begin like one of the prefixes."""
+        if self.only and not self.only.cover(terms, prefixes):
+            raise ValueError(f"the index was made without some of these terms: {', '.join(terms)}")
         open_ends = [t for t in terms if t in prefixes]
         words, postings = set(terms), self.postings()
         if open_ends:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from quernstone.operators.index import TextIndex
+from quernstone.operators.index import Terms, TextIndex
 from quernstone.operators.stored import new_path
 from quernstone.plans.tables import table
 
@@ -21,6 +21,7 @@ def once[T](spark: SparkSession, d: str, what: tuple, make: Callable[[], T]) ->
     return _made[key]
 
 
-def index_of(spark: SparkSession, d: str, of: str, key: str, columns: dict[str, float]) -> TextIndex:
+def index_of(spark: SparkSession, d: str, of: str, key: str, columns: dict[str, float], only: Terms) -> TextIndex:
+    """Of the terms that a registered query asks, as far more is written for all terms than one query reads."""
     rows = table(spark, d, of).selectExpr(f"{key} AS key", *columns)
-    return once(spark, d, ("index", of, key, *columns), lambda: TextIndex.build(rows, "key", columns, new_path(spark, "index")))
+    return once(spark, d, ("index", of, key, *columns, only), lambda: TextIndex.build(rows, "key", columns, new_path(spark, "index"), only))
