@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ WHOLE, CHUNK, UNIT, MIN_EXCHANGES, MIN_PROMPTS = 60_000, 40_000, 20_000, 3, 5
 GENERIC_SHARE, GENERIC_CARDS = 0.3, 20
 #: Shared tokens of two projects, anchors of a decision, similarity that counts as a mention.
 OVERLAP, ANCHORS, MENTION = 3, 2, 0.35
+#: Decisions, and things said, that meet in a task; similarities computed at once; tokens up to which they are broadcast.
+ASKED, SAID, CELLS, FEW_TOKENS = 1_000, 10_000, 1 << 20, 1_000_000
 
 
 def plan_cards(units: DataFrame, cards: DataFrame, session: str, chars: str, modified: str, created: str, least: int = MIN_EXCHANGES) -> DataFrame:
@@ -39,6 +44,21 @@ def generic_tokens(cards: DataFrame, key: str, tokens: str, share: float = GENER
     return df.join(F.broadcast(total)).where((F.col("__total") >= least) & (F.col("n_cards") > share * F.col("__total"))).drop("__total")
 
 
+def telling_tokens(cards: DataFrame, project: str, tokens: str, among: DataFrame | None = None, share: float = GENERIC_SHARE, least: int = GENERIC_CARDS) -> DataFrame:
+    """project, token (distinct) of the cards' tokens without generic ones, counted in one pass. among: a stored table
+    of distinct tokens; the others are dropped before they are counted."""
+    words = cards.select(project, F.explode(F.array_distinct(tokens)).alias("token"))
+    if among is not None:
+        words = words.join(F.broadcast(among) if among.count() <= FEW_TOKENS else among, "token", "left_semi")
+    held = words.groupBy(project, "token").agg(F.count("*").alias("__n"))
+    held = held if among is None else kept(held)
+    total = cards.count()
+    if total < least:
+        return held.select(project, "token")
+    generic = held.groupBy("token").agg(F.sum("__n").alias("__n")).where(F.col("__n") > share * total).select("token")
+    return held.join(F.broadcast(generic), "token", "left_anti").select(project, "token")  # 1 / share times a card's tokens at most
+
+
 def merge_lists(base: Column, extra: Column, most: int) -> Column:
     """base, then what extra adds, compared without case, at most so many."""
     low = F.transform(base, F.lower)
@@ -52,27 +72,72 @@ def same_project(a: Column, b: Column) -> Column:
     return (a == b) | x.startswith(F.concat(y, F.lit("/"))) | y.startswith(F.concat(x, F.lit("/")))
 
 
-def open_threads(decisions: DataFrame, tokens: DataFrame, mentions: DataFrame, limit: int, overlap: int = OVERLAP, anchors: int = ANCHORS, mention: float = MENTION) -> DataFrame:
+def best_alike(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """decision, b, best: of what each project says the highest cosine with each decision, where they share a token.
+
+    asked: decision, tokens; said: b, tokens; both read from stored tables, none null or empty, tokens distinct. They meet block by block, and of each pair
+    of blocks only the best of a decision and project goes on.
+    """
+    blocks, parts = max(1, -(-asked.count() // ASKED)), max(1, -(-said.count() // SAID))
+    one_of = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(one_of(blocks).alias("block"), "decision", "tokens").withColumn("part", each(parts))
+    right = said.select(one_of(parts).alias("part"), "b", "tokens").withColumn("block", each(blocks))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"decision": left["decision"].slice(0, 0), "b": right["b"].slice(0, 0), "best": pa.array([], pa.float64())})
+        flat, n = pc.list_flatten(left["tokens"]).combine_chunks(), pc.list_value_length(left["tokens"]).to_numpy()
+        terms = pc.unique(flat)
+        ids = pc.index_in(flat, terms).to_numpy()
+        order = np.argsort(ids, kind="stable")
+        decision, first = np.repeat(np.arange(len(n)), n)[order], np.searchsorted(ids[order], np.arange(len(terms) + 1))
+        size = pc.list_value_length(right["tokens"]).to_numpy()
+        found = pc.index_in(pc.list_flatten(right["tokens"]), terms, skip_nulls=True).combine_chunks()
+        there = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        term, of = found.fill_null(-1).to_numpy()[there], np.repeat(np.arange(len(size)), size)[there]
+        projects = right["b"].combine_chunks().dictionary_encode()
+        b, best, step = projects.indices.to_numpy(), np.zeros((len(projects.dictionary), len(n))), max(1, CELLS // len(n))
+        for low in range(0, len(size), step):
+            high = min(len(size), low + step)
+            i, j = np.searchsorted(of, (low, high))
+            times = first[term[i:j] + 1] - first[term[i:j]]
+            places = np.repeat(first[term[i:j]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            shared = np.bincount(np.repeat(of[i:j] - low, times) * len(n) + decision[places], minlength=(high - low) * len(n)).reshape(high - low, len(n))
+            np.maximum.at(best, b[low:high], shared / np.sqrt(n.astype(np.float64) * size[low:high, None]))
+        y, x = np.nonzero(best)
+        return pa.table({"decision": left["decision"].combine_chunks().take(pa.array(x)), "b": projects.dictionary.take(pa.array(y)), "best": best[y, x]})
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c, rows in (("decision", asked), ("b", said))]
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, f"{', '.join(kinds)}, best double")
+    return near.groupBy("decision", "b").agg(F.max("best").alias("best"))
+
+
+def open_threads(decisions: DataFrame, tokens: DataFrame, mentions: DataFrame, limit: int, overlap: int = OVERLAP, anchors: int = ANCHORS, mention: float = MENTION, telling: DataFrame | None = None) -> DataFrame:
     """Decisions of one project that bear on another one which never mentions them.
 
     decisions: decision, project, what, tokens (array); tokens: project, token (distinct, no generic ones);
-    mentions: project, tokens (array) of what the other side says. Projects meet on the tokens they share, never all
-    with all; a mention is compared only where it shares a token with the decision, since without one it is not alike.
+    mentions: project, tokens (array) of what the other side says; telling: those rows of tokens whose token a decision
+    has, where they are at hand for less. Projects meet on the tokens they share, never all with all. All tokens are
+    read only for projects that share too few of the decisions' tokens to be known as overlapping.
     """
-    theirs = tokens.select(F.col("project").alias("b"), "token")
     d = decisions.select("decision", F.col("project").alias("a"), "what", F.array_distinct("tokens").alias("dt"))
+    telling = kept(tokens.join(d.select(F.explode("dt").alias("token")).distinct(), "token", "left_semi") if telling is None else telling)
     # the decisions' own tokens lead: a word that many projects have makes no pairs of projects unless a decision has it
-    told = d.select("decision", "a", F.explode("dt").alias("token")).join(tokens.withColumnRenamed("project", "a"), ["a", "token"], "left_semi")
+    told = d.select("decision", "a", F.explode("dt").alias("token")).join(telling.withColumnRenamed("project", "a"), ["a", "token"], "left_semi")
     apart = (F.col("a") != F.col("b")) & ~same_project(F.col("a"), F.col("b"))
-    anchored = told.join(theirs, "token").where(apart).groupBy("decision", "a", "b").agg(F.count("*").alias("anchor")).where(F.col("anchor") >= anchors)
-    pairs = anchored.select("a", "b").distinct()
-    mine = pairs.join(tokens.withColumnRenamed("project", "a"), "a")
-    near = mine.join(theirs, ["b", "token"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= overlap).select("a", "b")
-    raised = anchored.join(near, ["a", "b"])
-    said = mentions.withColumn("m", F.monotonically_increasing_id()).select("m", F.col("project").alias("b"), F.array_distinct("tokens").alias("mt"))
-    words = said.select("m", "b", F.size("mt").alias("size"), F.explode("mt").alias("token"))
-    asked = raised.join(d, ["decision", "a"]).select("decision", "b", F.size("dt").alias("n"), F.explode("dt").alias("token"))
-    alike = asked.join(words, ["b", "token"]).groupBy("decision", "b", "m").agg((F.count("*") / F.sqrt(F.first("n").cast("double") * F.first("size"))).alias("c")).groupBy("decision", "b").agg(F.max("c").alias("best"))
+    met = told.join(telling.select(F.col("project").alias("b"), "token"), "token").where(apart)
+    anchored = kept(met.groupBy("decision", "a", "b").agg(F.count("*").alias("anchor"), F.collect_set("token").alias("by")).where(F.col("anchor") >= anchors))
+    known = anchored.select("a", "b", F.explode("by").alias("token")).distinct().groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = kept(known.select("a", "b", (F.col("n") >= overlap).alias("near")))
+    near, rest = pairs.where("near").select("a", "b"), pairs.where("NOT near").select("a", "b")
+    if not rest.isEmpty():
+        mine = rest.join(tokens.withColumnRenamed("project", "a"), "a")
+        near = near.union(mine.join(tokens.withColumnRenamed("project", "b"), ["b", "token"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= overlap).select("a", "b"))
+    raised = kept(anchored.select("decision", "a", "b", "anchor").join(near, ["a", "b"]))
+    asked = kept(raised.select("decision", "a").distinct().join(d, ["decision", "a"]).select("decision", F.col("dt").alias("tokens")))
+    said = mentions.where("project IS NOT NULL AND size(tokens) > 0").select(F.col("project").alias("b"), F.array_distinct("tokens").alias("tokens"))
+    alike = best_alike(asked, said)
     scored = raised.join(alike, ["decision", "b"], "left").fillna(0.0, ["best"]).where(F.col("best") < mention)
     rows = scored.join(d.select("decision", "what"), "decision").withColumn("score", F.col("anchor") * (1 - F.least(F.lit(1.0), F.col("best") / mention)))
     first = F.row_number().over(W.partitionBy(F.lower("what")).orderBy(F.desc("score"), "decision", "b"))

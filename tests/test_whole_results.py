@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,48 @@ def test_tasks_grow_with_the_rows(spark):
     assert [tuple(r) for r in changed.collect()] == [(1, 2)]
     for df in (keys, shown, pairs, changed):  # by the number of rows, not by their compressed bytes
         assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_open_threads_by_hand(spark, monkeypatch):
+    """Blocks of any size give the same; all tokens are read only for projects that share too few of the decisions' own."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    some = lambda n: r.sample(words, n)
+    cards = [(f"p{r.randrange(6)}", some(r.randrange(0, 9))) for _ in range(90)] + [(None, some(4)), ("p1", None)]
+    decided = [(i, f"p{i % 6}", f"what {i}", some(6)) for i in range(25)]
+    held = {(p, t) for p, ts in cards if p for t in ts or ()}
+    want = {}
+    for i, a, _, dt in decided:
+        for b in {p for p, _ in held} - {a}:
+            anchor = sum((a, t) in held and (b, t) in held for t in dt)
+            best = max(len({*dt} & {*ts}) / (len(dt) * len(ts)) ** 0.5 for p, ts in cards if p == b and ts)
+            if anchor >= 2 and best < 0.5 and sum((a, t) in held and (b, t) in held for t in words) >= 3:
+                want[i] = max(want.get(i, 0), round(anchor * (1 - best / 0.5), 9))
+    decisions = spark.createDataFrame(decided, "decision long, project string, what string, tokens array<string>")
+    mentions = spark.createDataFrame(cards, "project string, tokens array<string>")
+    tokens = spark.createDataFrame(sorted(held), "project string, token string")
+    for asked, said, cells in ((1000, 10_000, 1 << 20), (4, 7, 30)):
+        for name, value in (("ASKED", asked), ("SAID", said), ("CELLS", cells)):
+            monkeypatch.setattr(C, name, value)
+        found = C.open_threads(decisions, tokens, mentions, 100, mention=0.5).collect()
+        assert {x.decision: round(x.score, 9) for x in found} == want and want
+    rest = C.open_threads(decisions.where("decision < 2"), tokens, mentions, 100, overlap=7, mention=0.5).collect()
+    assert {x.decision for x in rest} == {i for i in want if i < 2}  # no two decisions have seven tokens: the others count
+
+
+def test_open_threads_leave_other_tokens_alone(spark):
+    """Where the decisions' own tokens show which projects overlap, no other token is counted."""
+    read = F.udf(lambda t: 1 / 0, "string")
+    rows = spark.createDataFrame([(p, t) for p in "ab" for t in ("one", "two", "six")], "project string, token string")
+    decisions = spark.createDataFrame([(1, "a", "x", ["one", "two", "six"])], "decision long, project string, what string, tokens array<string>")
+    said = spark.createDataFrame([("b", ["seven"])], "project string, tokens array<string>")
+    (row,) = C.open_threads(decisions, rows.withColumn("token", read("token")), said, 5, telling=rows).collect()
+    assert (row.project, row.other, row.score) == ("a", "b", 3.0)
+
+
+def test_telling_tokens(spark):
+    cards = spark.createDataFrame([("a", ["x", "y", "x"])] * 15 + [("b", ["z", f"u{i}"]) for i in range(7)], "project string, tokens array<string>")
+    among = spark.createDataFrame([("x",), ("z",), ("u3",)], "token string")
+    every = {("b", "z")} | {("b", f"u{i}") for i in range(7)}  # 7 of 22 cards are over 0.3 of them, so z is generic
+    assert {tuple(r) for r in C.telling_tokens(cards, "project", "tokens").collect()} == every - {("b", "z")}
+    assert {tuple(r) for r in C.telling_tokens(cards, "project", "tokens", among).collect()} == {("b", "u3")}
