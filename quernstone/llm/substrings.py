@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ from pyspark.sql import Window as W
 from .common import forget, joined_ids, slices, stored
 from .components import components
 
-TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words of a shingle and of the shortest passage; similarity of two passages' shingle sets.
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Words of the tokens that are hashed; hash functions (7 at most), and how many must agree on a place. Comparing is
@@ -36,40 +36,50 @@ TOKEN, HASHES, AGREE = 8, 3, 1
 #: Shingles of a tile, the unit in which texts are fetched for comparison; shingles fetched beyond a candidate (what a
 #: passage around a window can reach, so that members of a group get the same masks); bytes of a shingle's hash.
 TILE, SLACK, BYTES = 64, 46, 6
-MOST_WORDS = 400_000
 #: Pairs of windows aligned at once.
 MOST_ALIGNED = 1 << 18
+#: Tiles of pairs compared at once, and so fewer pairs than 1 << 16, which a key beside a shingle's hash can tell apart.
+MOST_TILES = 1 << 12
 #: Documents of a group whose open members are compared with each other at once, instead of going on without their head.
 FEW = 32
 #: The value of a masked shingle: no window is formed around it.
 MASKED = (1 << 63) - 1
 FACTOR = 0x9E3779B97F4A7C15
-_words: dict[bytes, int] = {}
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """One hash of each `width` neighbours."""
+    n = max(0, len(x) - width + 1)
+    out = x[:n].copy()
+    for i in range(1, width):
+        out = mixed(out * np.uint64(FACTOR) + x[i : n + i])
+    return out
+
+
+def shingles_of(texts: pa.Array, width: int = SHINGLE, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle of some texts, end to end, and their number in each text. With more, those of each run of
+    so many shingles."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded, of = words.flatten().dictionary_encode(), np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+    known = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    code = coded.indices.to_numpy()
+    there = (pc.binary_length(coded.dictionary).to_numpy() > 0)[code]  # space around a text leaves an empty word
+    hashes, of = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[code[there]], of[there]
+    out = folded(folded(hashes, width), more)
+    inside = of[: len(out)] == of[width + more - 2 :][: len(out)]
+    return out[inside], np.bincount(of[: len(out)][inside], minlength=len(texts))
 
 
 def shingles(text: str) -> np.ndarray:
     """The 64-bit hash of each shingle of a text, in order."""
-    words = text.encode().translate(TO_LOWER).split()
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    if len(_words) > MOST_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    out = ids[: len(ids) - SHINGLE + 1].copy()
-    for i in range(1, SHINGLE):
-        out = mixed(out * np.uint64(FACTOR) + ids[i : len(ids) - SHINGLE + 1 + i])
-    return out
+    return shingles_of(pa.array([text]))[0]
 
 
-def tokens(s: np.ndarray) -> np.ndarray:
-    """The hash of each run of TOKEN words, from those of the shingles that make it up."""
-    n = len(s) - (TOKEN - SHINGLE)
-    out = s[: max(0, n)].copy()
-    for i in range(1, TOKEN - SHINGLE + 1):
-        out = mixed(out * np.uint64(FACTOR) + s[i : n + i] if n > 0 else out)
-    return out
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc and the number of words of each doc and text."""
+    for b in batches:
+        n = [len(x.encode().split()) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["doc", "n"])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -140,10 +150,11 @@ def window_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             active, masked = (b.column(2).to_pylist(), b.column(3).to_pylist()) if again else (None, None)
-            for begin, end in slices([len(x) for x in texts]):
-                parts = [tokens(shingles(x)) for x in texts[begin:end]]
+            for begin, end in slices(pc.binary_length(texts).to_pylist()):
+                values, counts = shingles_of(texts.slice(begin, end - begin), more=TOKEN - SHINGLE + 1)
+                parts = np.split(values, np.cumsum(counts)[:-1])
                 use = [i for i, p in enumerate(parts) if len(p) >= length]
                 if not use:
                     continue
@@ -235,21 +246,80 @@ def longest(weights: np.ndarray) -> tuple[int, int]:
     return int(begins[end]), end
 
 
+def matched(keys: np.ndarray, x: np.ndarray, y: np.ndarray, place: np.ndarray, want: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For many pairs at once (keys name a shingle and its pair, place tells where it stands): those of x whose shingle is
+    in y less than a passage away from the place wanted, and the nearest such places."""
+    order = np.argsort(keys[y], kind="stable")
+    sorted_, there = keys[y][order], place[y][order]
+    kinds = np.cumsum(np.append(False, np.diff(sorted_) != 0)[: len(sorted_)])
+    first = np.searchsorted(sorted_, keys[x])
+    hit = np.flatnonzero(sorted_[np.minimum(first, len(sorted_) - 1)] == keys[x]) if len(sorted_) else np.zeros(0, np.int64)
+    if not len(hit):
+        return x[hit], hit
+    kind, want = kinds[first[hit]], want[x[hit]]
+    ordered = kinds << 32 | there
+    after, best = np.searchsorted(ordered, kind << 32 | np.maximum(want, 0)), None
+    for k in (np.maximum(after - 1, 0), np.minimum(after, len(ordered) - 1)):
+        found = np.where(kinds[k] == kind, there[k], -(1 << 40))
+        best = found if best is None else np.where(np.abs(found - want) < np.abs(best - want), found, best)
+    near = np.abs(best - want) <= length
+    return x[hit[near]], best[near]
+
+
 def matches(x: np.ndarray, y: np.ndarray, shift: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of x whose shingle y has less than a passage away from the same place, and the nearest such places."""
-    order = np.argsort(y, kind="stable")
-    kinds = np.cumsum(np.append(False, np.diff(y[order]) != 0))
-    first = np.searchsorted(y[order], x)
-    hit = np.flatnonzero(y[order][np.minimum(first, len(y) - 1)] == x)
-    keys = kinds << 32 | order
-    want = np.clip(hit + shift, 0, len(y) - 1)
-    after = np.searchsorted(keys, kinds[first[hit]] << 32 | want)
-    best = None
-    for k in (np.maximum(after - 1, 0), np.minimum(after, len(keys) - 1)):
-        place = np.where(kinds[k] == kinds[first[hit]], order[k], -(1 << 40))
-        best = place if best is None else np.where(np.abs(place - want) < np.abs(best - want), place, best)
-    near = np.abs(best - hit - shift) <= length if len(hit) else np.zeros(0, bool)
-    return hit[near], best[near]
+    both, at = np.concatenate([x, y]), np.concatenate([np.arange(len(x)), np.arange(len(y))])
+    return matched(both, np.arange(len(x)), np.arange(len(x), len(both)), at, at + shift, length)
+
+
+def passages_of(shift: np.ndarray, tiles: pa.ListArray, length: int) -> pa.RecordBatch:
+    """shift, and tiles (side, doc, at, hashes; in order) of some pairs. Returns doc, other, links and hits, as compared does."""
+    flat, pair = tiles.flatten(), np.repeat(np.arange(len(tiles)), tiles.value_lengths().to_numpy())
+    part = 2 * pair + flat.field("side").to_numpy()
+    read = flat.field("hashes").cast(pa.large_binary())
+    offsets = np.frombuffer(read.buffers()[1], np.int64)[read.offset : read.offset + len(read) + 1]
+    n, sides = np.diff(offsets) // BYTES, np.arange(2 * len(tiles))
+    hashes = np.zeros((int(n.sum()), 8), np.uint8)
+    if len(hashes):
+        hashes[:, :BYTES] = np.frombuffer(read.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, BYTES)
+    hashes = hashes.view("<u8").reshape(-1)
+    head = np.searchsorted(part, sides)  # the first tile of each side
+    both = np.flatnonzero((np.searchsorted(part, sides, "right") > head).reshape(-1, 2).all(axis=1))
+    head = np.minimum(head, len(part) - 1)
+    at, docs = flat.field("at").to_numpy().astype(np.int64)[head], flat.field("doc").to_numpy()[head]
+    size = np.bincount(part, n, 2 * len(tiles)).astype(np.int64)
+    start, of = np.cumsum(size) - size, np.repeat(part, n)
+    place = np.arange(len(of)) - start[of]
+    moved = shift + at[0::2] - at[1::2]
+    x, y = np.flatnonzero(of & 1 == 0), np.flatnonzero(of & 1)
+    hit, there = matched(hashes << np.uint64(16) | (of >> 1).astype(np.uint64), x, y, place, place + moved[of >> 1], length)
+    mine, here = of[hit] >> 1, place[hit]
+    turn = np.diff(mine) != 0
+    cut = np.append(True, turn | (np.diff(here) > 1))[: len(hit)]
+    begin, end = np.flatnonzero(cut), np.append(np.flatnonzero(cut)[1:], len(hit))
+    counts = np.bincount(mine, minlength=len(tiles))
+    # of one unbroken run both sides are equal: that is the passage; else it is looked for
+    broken = np.bincount(mine[1:][~turn & ((np.diff(here) != 1) | (np.diff(there) != 1))], minlength=len(tiles)) > 0
+    ends = np.cumsum(counts)
+    whole = np.flatnonzero(~broken & (counts >= length))
+    f, g = here[ends[whole] - counts[whole]], there[ends[whole] - counts[whole]]
+    rows = [np.stack([whole, f, f + counts[whole], g, g + counts[whole], np.ones(len(whole))], axis=1)]
+    for k in np.flatnonzero((counts >= SIMILAR * length) & (broken | (counts < length))).tolist():
+        a, z, i, j = ends[k] - counts[k], ends[k], 2 * k, 2 * k + 1
+        found = similar_passages(hashes[start[i] : start[i] + size[i]], hashes[start[j] : start[j] + size[j]], here[a:z], there[a:z], length)
+        if found:
+            rows.append(np.array([(k, *p) for p in found]))
+    links = np.concatenate(rows)
+    links = links[np.argsort(links[:, 0], kind="stable")]
+    of = links[:, 0].astype(np.int64)
+    shifts = [at[0::2][of], at[0::2][of], at[1::2][of], at[1::2][of]]
+    kinds = [pa.array(links[:, c + 1].astype(np.int64) + s, pa.int32()) for c, s in enumerate(shifts)]
+    listed = lambda of, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(tiles)))), pa.int32()), values)
+    found = listed(of, pa.StructArray.from_arrays([*kinds, pa.array(links[:, 5])], names=["begin", "end", "other_begin", "other_end", "similarity"]))
+    own = at[0::2][mine[begin]]
+    runs = listed(mine[begin], pa.StructArray.from_arrays([pa.array(here[begin] + own, pa.int32()), pa.array(here[end - 1] + own + 1, pa.int32())], names=["b", "e"]))
+    out = pa.RecordBatch.from_arrays([pa.array(docs[0::2]), pa.array(docs[1::2]), found, runs], names=["doc", "other", "links", "hits"])
+    return out.take(pa.array(both))
 
 
 def similar_passages(x: np.ndarray, y: np.ndarray, hit: np.ndarray, places: np.ndarray, length: int) -> list[tuple[int, int, int, int, float]]:
@@ -260,11 +330,11 @@ def similar_passages(x: np.ndarray, y: np.ndarray, hit: np.ndarray, places: np.n
     weights = np.full(len(x), -2 * cost)
     weights[hit] = 1.0
     more, theirs = np.diff(hit) - 1, np.abs(np.diff(places) - 1)
-    for k in np.flatnonzero((more > 0) | (theirs > 0)):
-        if more[k]:
-            weights[hit[k] + 1 : hit[k + 1]] = -cost * (1 + theirs[k] / more[k])
-        else:
-            weights[hit[k + 1]] -= cost * theirs[k]
+    gap = more > 0
+    if gap.any():
+        between = weights[hit[0] : hit[-1]]
+        between[between < 0] = np.repeat(-cost * (1 + theirs[gap] / more[gap]), more[gap])
+    weights[hit[1:][~gap]] -= cost * theirs[~gap]
     out, todo = [], [(0, len(x))]
     while todo:
         low, high = todo.pop()
@@ -311,14 +381,14 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs_, tiles, hashes = [], [], []
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
-                for k in range(0, len(s), TILE):
-                    docs_.append(d)
-                    tiles.append(k // TILE)
-                    hashes.append(s[k : k + TILE].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(tiles, pa.int32()), pa.array(hashes, pa.binary())], names=["doc", "tile", "hashes"])
+            for begin, end in slices(pc.binary_length(b.column(1)).to_pylist()):
+                values, counts = shingles_of(b.column(1).slice(begin, end - begin))
+                n = -(-counts // TILE)
+                of, tiles = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                ends = np.minimum((tiles + 1) * TILE, counts[of]) + (np.cumsum(counts) - counts)[of]
+                body = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+                hashes = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.append(0, ends * BYTES).astype(np.int32)), pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin).take(pa.array(of)), pa.array(tiles, pa.int32()), hashes], names=["doc", "tile", "hashes"])
 
     tiles = joined_ids(docs.select("doc", "text"), wanted, "doc", "left_semi").mapInArrow(tile, "doc long, tile int, hashes binary")
     far = lambda c, by: F.greatest(F.col(c) + by, F.lit(0)).alias("to" if by > 0 else "from")
@@ -328,25 +398,10 @@ def compared(docs: DataFrame, grouped: DataFrame, length: int) -> DataFrame:
     part = F.struct("side", "doc", (F.col("tile") * TILE + begin).alias("at"), F.substring("hashes", begin * BYTES + 1, (end - begin) * BYTES).alias("hashes"))
     fetched = sides.join(tiles, ["doc", "tile"]).select("pair", "shift", part.alias("x")).groupBy("pair").agg(F.first("shift").alias("shift"), F.array_sort(F.collect_list("x")).alias("t"))
 
-    def joined(parts: list[dict]) -> np.ndarray:
-        read = np.frombuffer(b"".join(p["hashes"] for p in parts), np.uint8).reshape(-1, BYTES)
-        return np.pad(read, ((0, 0), (0, 8 - BYTES))).view("<u8").reshape(-1)
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for shift, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                mine, theirs = ([x for x in t if x["side"] == k] for k in (0, 1))
-                if not mine or not theirs:
-                    continue
-                x, y, a, o = joined(mine), joined(theirs), mine[0]["at"], theirs[0]["at"]
-                hit, places = matches(x, y, shift + a - o, length)
-                found = similar_passages(x, y, hit, places, length) if len(hit) >= SIMILAR * length else []
-                cuts = np.flatnonzero(np.diff(hit) > 1)
-                runs = zip(hit[np.append(0, cuts + 1)].tolist(), hit[np.append(cuts, len(hit) - 1)].tolist()) if len(hit) else ()
-                rows.append((mine[0]["doc"], theirs[0]["doc"], [dict(zip(("begin", "end", "other_begin", "other_end", "similarity"), (f + a, e + a, g + o, h + o, s))) for f, e, g, h, s in found], [{"b": f + a, "e": e + a + 1} for f, e in runs]))
-            kinds = [pa.int64()] * 2 + [pa.list_(pa.struct([(n, pa.int32()) for n in ("begin", "end", "other_begin", "other_end")] + [("similarity", pa.float64())])), pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc", "other", "links", "hits"])
+            for begin, end in slices(b.column(1).value_lengths().to_pylist(), MOST_TILES):
+                yield passages_of(b.column(0).slice(begin, end - begin).to_numpy().astype(np.int64), b.column(1).slice(begin, end - begin), length)
 
     found = stored(fetched.select("shift", "t").mapInArrow(verify, f"doc long, other long, links {LINKS}, hits array<struct<b:int,e:int>>"))
     forget(candidates)
@@ -431,7 +486,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = links.select("doc", "begin", "end").union(links.select(F.col("other").alias("doc"), F.col("other_begin").alias("begin"), F.col("other_end").alias("end")))
     # equal texts repeat all of their words
     heads = stored(same.select(F.col("first").alias("doc")).distinct())
-    whole = joined_ids(texts, heads, "doc", "left_semi").select("doc", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n")).where(F.col("n") >= PASSAGE)
+    whole = joined_ids(texts, heads, "doc", "left_semi").select("doc", "text").mapInArrow(word_counts, "doc long, n int").where(F.col("n") >= PASSAGE)
     spans = spans.union(whole.select("doc", F.lit(0).alias("begin"), F.col("n") - SHINGLE + 1))
     ranges = spans.groupBy("doc", "begin").agg(F.max("end").alias("end"))
     order = W.partitionBy("doc").orderBy("begin")

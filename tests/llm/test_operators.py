@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import compare, duck
@@ -466,3 +467,30 @@ def test_toxicity_on_held_out_rows(spark):
     # some 350 toxic rows to learn from, of which each language but English has a few dozen
     assert above > 0.85 and np.mean((s >= 0.5) == y) > 0.93
     assert all(x.predicted == (x.score >= 0.5) for x in rows)
+
+
+def test_many_pairs_are_compared_as_one_by_one():
+    """Pairs of one batch, tiles of any size and pairs without a side among them, have the passages that each has alone."""
+    r, rows, want, length = random.Random(12), [], [], 20
+    for k in range(120):
+        x = [r.randrange(1 << 48) for _ in range(r.randrange(0, 90))]
+        y = [h if r.random() < r.choice((0.5, 0.95, 1)) else r.randrange(1 << 48) for h in x[r.randrange(5) :]] + x[: r.randrange(30)]
+        a, o, shift = r.randrange(100), r.randrange(100), r.randrange(-3, 4)
+        cut = lambda side, at, v: [(side, 10 * k + side, at + i, b"".join(h.to_bytes(6, "little") for h in v[i : i + 16])) for i in range(0, len(v), 16)]
+        rows.append((shift + o - a, cut(0, a, x) + cut(1, o, y)))
+        if x and y:
+            hit, there = substrings.matches(np.array(x, np.uint64), np.array(y, np.uint64), shift, length)
+            found = substrings.similar_passages(np.array(x, np.uint64), np.array(y, np.uint64), hit, there, length) if len(hit) >= 0.8 * length else []
+            want.append((10 * k, 10 * k + 1, sorted((f + a, e + a, g + o, h + o, s) for f, e, g, h, s in found), sorted({i + a for i in hit.tolist()})))
+    kind = pa.list_(pa.struct([("side", pa.int32()), ("doc", pa.int64()), ("at", pa.int32()), ("hashes", pa.binary())]))
+    tiles = pa.array([[dict(zip(("side", "doc", "at", "hashes"), t)) for t in ts] for _, ts in rows], kind)
+    got = substrings.passages_of(np.array([s for s, _ in rows]), tiles, length).to_pylist()
+    assert [(g["doc"], g["other"], sorted(tuple(x.values()) for x in g["links"]), [i for h in g["hits"] for i in range(h["b"], h["e"])]) for g in got] == want
+    assert sum(bool(w[2]) for w in want) > 20
+
+
+def test_words_are_hashed_alike_whatever_stands_beside_them():
+    texts = ["", " ", "A b\x0bC\x0cd e\r\n", " lead a b c d e f g h ", "É é ß  x y z w q  r s", "one"]
+    values, counts = substrings.shingles_of(pa.array(texts))
+    assert counts.tolist() == [0, 0, 1, 5, 6, 0] and len(values) == 12
+    assert values.tolist() == [h for t in texts for h in substrings.shingles(t.lower() if t.isascii() else t).tolist()]
